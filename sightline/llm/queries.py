@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import ann, langid, near, quality, warc
+from sightline.llm import ann, langid, near, pieces, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+#: The vocabulary of op2 and of the pipeline's last stage.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    decoded = pieces.decode(encoded.select("doc_id", "text", "ids", "nbest"), PIECE_MODEL)
+    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), "nbest", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(langid.held_out(), F.lit(False)))
     model = langid.train(docs.filter("not held_out"))
@@ -41,7 +51,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language": op5_language, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
+    return {"op2_pieces": op2_pieces, "op5_language": op5_language, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
 
 
 def oracle_sql() -> dict[str, str]:

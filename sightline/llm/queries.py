@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import ann, langid, near, pieces, quality, warc
+from sightline.llm import ann, langid, near, pieces, quality, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 #: The vocabulary of op2 and of the pipeline's last stage.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -51,7 +55,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pieces": op2_pieces, "op5_language": op5_language, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
+    return {"op1_main_text": op1_main_text, "op2_pieces": op2_pieces, "op5_language": op5_language, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import ann, langid, near, pieces, quality, warc, wrappers
+from sightline.llm import ann, chat, langid, licences, near, pieces, quality, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), "nbest", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licences").alias("n_licences"), "licences")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(langid.held_out(), F.lit(False)))
     model = langid.train(docs.filter("not held_out"))
@@ -39,6 +44,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.pair_neighbours(chat.gather(_table(spark, sf_dir, "conversations")))
+    formatted = chat.format_pairs(pairs)
+    learned = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return formatted.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", learned("chosen_spans").alias("chosen_learned"), learned("rejected_spans").alias("rejected_learned"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -55,11 +67,28 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_main_text": op1_main_text, "op2_pieces": op2_pieces, "op5_language": op5_language, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
+    return {"op1_main_text": op1_main_text, "op2_pieces": op2_pieces, "op3_licences": op3_licences, "op5_language": op5_language, "op6_preferences": op6_preferences, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_preferences": """
+            with t as (select conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, 'user') as role, coalesce(text, '') as text,
+                              row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'user'), coalesce(text, '')) as pos
+                       from conversations where conv_id is not null),
+                 r as (select *, '<|im_start|>' || role || chr(10) || replace(text, '<|', '<\\|') || '<|im_end|>' || chr(10) as shown,
+                              case when role = 'assistant' then length(replace(text, '<|', '<\\|')) + length('<|im_end|>') else 0 end as learned from t),
+                 m as (select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.pos, b.pos) as pos,
+                              a.role is not distinct from b.role and a.text is not distinct from b.text as same
+                       from (select * from t where side = 0) a full join (select * from t where side = 1) b on a.pair_id = b.pair_id and a.pos = b.pos),
+                 p as (select pair_id, coalesce(min(pos) filter (not same) - 1, count(*)) as prompt_turns from m group by pair_id)
+            select p.pair_id, cast(p.prompt_turns as int) as prompt_turns,
+                   coalesce(string_agg(shown, '' order by pos) filter (side = 0 and pos <= prompt_turns), '') as prompt,
+                   coalesce(string_agg(shown, '' order by pos) filter (side = 0 and pos > prompt_turns), '') as chosen,
+                   coalesce(string_agg(shown, '' order by pos) filter (side = 1 and pos > prompt_turns), '') as rejected,
+                   cast(coalesce(sum(learned) filter (side = 0 and pos > prompt_turns), 0) as int) as chosen_learned,
+                   cast(coalesce(sum(learned) filter (side = 1 and pos > prompt_turns), 0) as int) as rejected_learned
+            from p join r on p.pair_id = r.pair_id group by p.pair_id, p.prompt_turns""",
         "op9_warc": """
             with p as (select page_id, url, coalesce(html, '') as body from pages),
                  q as (select page_id, url, strlen(body) as payload_bytes, sha1(body) as payload_digest from p),

@@ -400,6 +400,7 @@ def infer(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars appended (columns by these names are replaced)."""
     source = pages.select([c for c in pages.columns if c not in ("text", "n_chars")])
+    kept = list(source.columns)
     hosted = source.withColumn("_host", host_of("url"))
     found = materialize(infer(hosted.select(F.col("_host").alias("host"), "html")), "wrappers").select(F.col("host").alias("_host"), F.col("root").alias("_root"))
     joined = hosted.join(broadcast_if_small(found, 200), "_host", "left").drop("_host")
@@ -408,6 +409,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [text_of(Page(h or ""), r) for h, r in zip(b["html"].to_pylist(), b["_root"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in source.columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     return joined.mapInArrow(work, schema)

@@ -1,7 +1,7 @@
 """Hashed word and character n-gram features and softmax regression over them.
 
-A text's features are four families (words, word pairs, character triples and fours), each as relative frequencies over
-hashed buckets, so a text's length doesn't scale its score. Scoring sums weights over the whole text.
+A text's features are families of n-grams (words, word pairs, character triples and fours), each as relative frequencies
+over hashed buckets, so a text's length doesn't scale its score. Scoring sums weights over the whole text.
 """
 
 from __future__ import annotations
@@ -18,24 +18,24 @@ from sightline.llm import ragged
 
 #: Buckets of each family.
 BUCKETS = 1 << 14
-FAMILIES = 4
+#: Families by name: word or character n-grams.
+ALL, FEW = ("w1", "w2", "c3", "c4"), ("w1", "c3")
 
 
-def families(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def families(data: np.ndarray, offs: np.ndarray, kinds: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bucket of each occurrence, row offsets) of each family."""
     starts, ends, rows = ragged.words(data, offs)
     h = ragged.span_hashes(data, starts, ends)
-    out = [(h, rows), ragged.grams(h, rows, 2)]
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(ragged._LEAD[data])])[offs]
     cp += np.uint64(1)
-    out += [ragged.grams(cp, at, 3), ragged.grams(cp, at, 4)]
+    out = [(h, rows) if kind == "w1" else ragged.grams(*((h, rows) if kind[0] == "w" else (cp, at)), int(kind[1])) for kind in kinds]
     return [((g >> np.uint64(40)).astype(np.int64) % BUCKETS + k * BUCKETS, r) for k, (g, r) in enumerate(out)]
 
 
-def sparse_rows(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sparse_rows(data: np.ndarray, offs: np.ndarray, kinds: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each row's (indices, relative frequencies)."""
-    found = families(data, offs)
+    found = families(data, offs, kinds)
     for i in range(len(offs) - 1):
         index, value = [], []
         for g, r in found:
@@ -47,19 +47,20 @@ def sparse_rows(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray
 
 @dataclass
 class Model:
-    """weights: (FAMILIES * BUCKETS, classes); scale and shift calibrate the logits class by class."""
+    """weights: (families * BUCKETS, classes); scale and shift calibrate the logits class by class."""
 
     weights: np.ndarray
     bias: np.ndarray
+    kinds: tuple[str, ...] = ALL
     scale: float = 1.0
     shift: np.ndarray | float = 0.0
 
     def logits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         out = np.tile(self.bias.astype(np.float64), (len(offs) - 1, 1))
-        for g, r in families(data, offs):
-            n = np.maximum(np.diff(r), 1)
-            for k in range(out.shape[1]):
-                out[:, k] += ragged.row_sums(self.weights[:, k][g], r) / n
+        for g, r in families(data, offs, self.kinds):
+            full = np.diff(r) > 0
+            if full.any():
+                out[full] += np.add.reduceat(self.weights[g], r[:-1][full], axis=0, dtype=np.float64) / np.diff(r)[full][:, None]
         return out * self.scale + self.shift
 
     def probabilities(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -71,24 +72,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def feature_table(df: DataFrame, text: str, label: str) -> DataFrame:
+def feature_table(df: DataFrame, text: str, label: str, kinds: tuple[str, ...] = ALL) -> DataFrame:
     """(label, index, value) of each row of df."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ragged.chunks(batches, text, 1 << 20):
-            found = list(sparse_rows(*ragged.buffer_of(b[text])))
+            found = list(sparse_rows(*ragged.buffer_of(b[text]), kinds))
             yield pa.RecordBatch.from_arrays([b[label], pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["label", "index", "value"])
 
     return df.select(text, label).mapInArrow(work, "label int, index array<int>, value array<float>")
 
 
-def fit(table: pa.Table, classes: int, rounds: int = 80, penalty: float = 1e-5, held: float = 0.2) -> Model:
+def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int = 80, penalty: float = 1e-5, held: float = 0.2) -> Model:
     """Softmax regression by full-batch Adam on class-weighted rows, then temperature and bias scaling on a held-out part.
 
     The rows have to be in a fixed order; the held-out part is every (1 / held)th row.
     """
     if not table.num_rows:
-        return Model(np.zeros((FAMILIES * BUCKETS, classes), np.float32), np.zeros(classes))
+        return Model(np.zeros((len(kinds) * BUCKETS, classes), np.float32), np.zeros(classes), kinds)
     y = np.asarray(table["label"].combine_chunks(), dtype=np.int64)
     index, value = table["index"].combine_chunks(), table["value"].combine_chunks()
     rows = np.asarray(index.offsets, dtype=np.int64)
@@ -99,7 +100,7 @@ def fit(table: pa.Table, classes: int, rounds: int = 80, penalty: float = 1e-5,
     share = np.bincount(y[used], minlength=classes)
     weight = np.where(used, 1.0 / np.maximum(share, 1)[y], 0.0)
     weight /= weight.sum()
-    w, bias = np.zeros((FAMILIES * BUCKETS, classes)), np.zeros(classes)
+    w, bias = np.zeros((len(kinds) * BUCKETS, classes)), np.zeros(classes)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(classes), np.zeros(classes)
     hot = np.eye(classes)[y]
 
@@ -115,7 +116,7 @@ def fit(table: pa.Table, classes: int, rounds: int = 80, penalty: float = 1e-5,
             m2 += 0.01 * (gr * gr - m2)
             p -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
     scale, shift = calibrate(forward()[apart], y[apart], classes)
-    return Model((w * 30).astype(np.float32), bias, scale, shift)
+    return Model((w * 30).astype(np.float32), bias, kinds, scale, shift)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300) -> tuple[float, np.ndarray]:
@@ -142,8 +143,8 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, most: int, key: str =
     return texts.join(F.broadcast(chosen), key).dropDuplicates([key])
 
 
-def fit_on(docs: DataFrame, labelled: DataFrame, classes: int, most: int) -> Model:
+def fit_on(docs: DataFrame, labelled: DataFrame, classes: int, most: int, kinds: tuple[str, ...] = ALL) -> Model:
     """Train on a bounded sample; features are made on the executors and only they come to the driver."""
     sample = labelled_sample(docs, labelled, most).repartition(8, "doc_id").sortWithinPartitions("doc_id")
-    table = feature_table(sample, "text", "label").toArrow()
-    return fit(table, classes)
+    table = feature_table(sample, "text", "label", kinds).toArrow()
+    return fit(table, classes, kinds)

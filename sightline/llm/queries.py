@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import ann, chat, langid, licences, near, pieces, quality, warc, wrappers
+from sightline.llm import ann, chat, langid, licences, mixing, near, pieces, quality, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,16 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licences").alias("n_licences"), "licences")
 
 
+#: Target shares of clean, low-quality and toxic tokens.
+TARGETS = [0.90, 0.07, 0.03]
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.domains_of(_table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labels, TARGETS)
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "n_copies")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(langid.held_out(), F.lit(False)))
     model = langid.train(docs.filter("not held_out"))
@@ -67,7 +77,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_main_text": op1_main_text, "op2_pieces": op2_pieces, "op3_licences": op3_licences, "op5_language": op5_language, "op6_preferences": op6_preferences, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
+    return {"op1_main_text": op1_main_text, "op2_pieces": op2_pieces, "op3_licences": op3_licences, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_preferences": op6_preferences, "op7_quality": op7_quality, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_nearest": op10_nearest}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,9 +5,8 @@ shorter text is one shingle of all its words. A sketch has SLOTS registers: each
 whose rate is its weight, each arrival falls in a random register, and the earliest owns it; a shingle is given up once
 its next arrival comes later than every register's. Two registers agree with the probability Jaccard similarity J_P.
 
-Texts of equal words are one text from the start. Texts that share a band are candidates, each is verified exactly
-against the smallest of its bucket, and what that leaves open is settled by a pass over pairs that the triangle
-inequality of 1 - J_P doesn't rule out, so no link is lost and a group of thousands of copies gives one link a member.
+Texts of equal words are one text from the start. Texts that share a band are candidates and are verified exactly, as
+far as they aren't connected otherwise: see links().
 
 Defined cases: a null text or one without words is in a class of its own and isn't a duplicate of anything, so is a row
 with a null id (its class is null); a class's id is its smallest doc_id and that document stays; ids are unique; an
@@ -32,8 +31,8 @@ SHINGLE, LEAST = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 30 = 7e-6.
 ROWS, BANDS = 5, 30
 SLOTS = ROWS * BANDS
-#: Pairs of one leader that a task compares at once.
-SHARE = 128
+#: Pairs of one leader that a task compares at once; texts of a block; members beyond which a bucket is settled in blocks.
+SHARE, BLOCK, LARGE = 128, 512, 32
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -142,8 +141,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(work, "doc_id long, hi long, lo long, bands array<long>")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(leader, member, sim): J_P of each pair (leader, member), from the whole texts.
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(leader, member, sim): J_P of each pair (leader, member), from the whole texts (rep, text).
 
     The members of one leader are dealt in shares, each with a copy of the leader's text, and a task holds one leader's
     shingles and one chunk of members at a time.
@@ -151,11 +150,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     size = pairs.groupBy("leader").agg(F.count("*").alias("n")).select("leader", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
     members = pairs.join(size, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"))
     leaders = size.select("leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    asked = members.select("leader", "share", F.lit(1).alias("kind"), F.col("member").alias("doc_id")).union(leaders.select("leader", "share", F.lit(0), F.col("leader")))
-    asked = materialize(asked, "verify")
-    rows = text.join(broadcast_if_small(asked, 40), "doc_id").select("leader", "share", "kind", "doc_id", "text")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    asked = members.select("leader", "share", F.lit(1).alias("kind"), F.col("member").alias("rep")).union(leaders.select("leader", "share", F.lit(0), F.col("leader")))
+    rows = texts.hint("merge").join(asked, "rep").select("leader", "share", "kind", "rep", "text")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.repartition(tasks, "leader", "share").sortWithinPartitions("leader", "share", "kind")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +160,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for b in ragged.chunks(batches, "text", 1 << 20):
             g, w, at, _ = shingles(b["text"])
             found = []
-            for i, (leader, kind, doc) in enumerate(zip(b["leader"].to_pylist(), b["kind"].to_pylist(), b["doc_id"].to_pylist(), strict=True)):
+            for i, (leader, kind, doc) in enumerate(zip(b["leader"].to_pylist(), b["kind"].to_pylist(), b["rep"].to_pylist(), strict=True)):
                 own = g[at[i] : at[i + 1]], w[at[i] : at[i + 1]]
                 if kind == 0:
                     now, held = leader, own
@@ -174,17 +171,105 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "leader long, member long, sim double")
 
 
-def links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) among the distinct texts (rep, bands): verified pairs a, b and components of at least two."""
-    keyed = texts.select("rep", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
+def block_links(g: np.ndarray, w: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs (a row of left, a row of right) that are similar enough, from products of membership matrices.
+
+    Between texts whose shingles all weigh the same J_P is the Jaccard similarity of the sets; for others the product
+    bounds it (it can't exceed the share of either's weight in common shingles) and the rest is computed pair by pair.
+    """
+    own = ragged.owner(at)
+    _, column, times = np.unique(g, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    code = np.cumsum(np.unique(column[shared], return_index=True)[1] >= 0)
+    dense = np.full(len(times), -1)
+    dense[np.unique(column[shared])] = code - 1
+    n, width = len(at) - 1, len(code)
+    size = np.diff(at).astype(np.float64)
+    total = ragged.row_sums(w, at)
+    even = np.array([at[i] == at[i + 1] or w[at[i] : at[i + 1]].min() == w[at[i] : at[i + 1]].max() for i in range(n)])
+    both = np.zeros((len(left), len(right)))
+    mass_l, mass_r = np.zeros_like(both), np.zeros_like(both)
+    uneven = not even.all()
+    step = max(1, int(4e6 // max(1, n)))
+    for lo in range(0, width, step):
+        pick = shared & (dense[column] >= lo) & (dense[column] < lo + step)
+        x = np.zeros((n, min(step, width - lo)), np.float32)
+        x[own[pick], dense[column[pick]] - lo] = 1
+        both += x[left] @ x[right].T
+        if uneven:
+            y = np.zeros_like(x)
+            y[own[pick], dense[column[pick]] - lo] = w[pick] / total[own[pick]]
+            mass_l += y[left] @ x[right].T
+            mass_r += x[left] @ y[right].T
+    jaccard = both / np.maximum(size[left][:, None] + size[right][None, :] - both, 1)
+    plain = even[left][:, None] & even[right][None, :]
+    found = [(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(plain & (jaccard >= LEAST - 1e-9)), strict=True)]
+    if uneven:
+        for i, j in zip(*np.nonzero(~plain & (np.minimum(mass_l, mass_r) >= LEAST - 1e-3)), strict=True):
+            a, b = int(left[i]), int(right[j])
+            if probability_jaccard(g[at[a] : at[a + 1]], w[at[a] : at[a + 1]], g[at[b] : at[b + 1]], w[at[b] : at[b + 1]]) >= LEAST - 1e-9:
+                found.append((a, b))
+    return found
+
+
+def dense_links(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) inside clusters, from members (cluster, rep, label, open): every open member meets every other.
+
+    Open members and all members of a cluster are dealt in blocks, and each pair of blocks is compared in one task, which
+    returns only links between labels that it hasn't connected yet: rows grow with members times blocks, not with pairs.
+    """
+    count = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("nu"))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    dealt = members.join(count.filter("nu > 0"), "cluster")
+    left = dealt.filter("open").select("cluster", own("nu").alias("u"), blocks("nv").alias("v"), "rep", "label", F.lit(True).alias("left"))
+    right = dealt.select("cluster", blocks("nu").alias("u"), own("nv").alias("v"), "rep", "label", F.lit(False).alias("left"))
+    rows = texts.hint("merge").join(left.union(right), "rep")
+
+    def meet(t: pa.Table) -> pa.Table:
+        g, w, at, _ = shingles(t["text"].combine_chunks())
+        side = np.asarray(t["left"].combine_chunks().cast(pa.int8())) == 1
+        rep, label = t["rep"].to_pylist(), t["label"].to_pylist()
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        out = []
+        for a, b in block_links(g, w, at, np.flatnonzero(side), np.flatnonzero(~side)):
+            p, q = find(label[a]), find(label[b])
+            if p != q:
+                parent[p] = q
+                out.append((rep[a], rep[b]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("cluster", "u", "v").applyInArrow(meet, "a long, b long")
+
+
+def linked(seen: DataFrame) -> DataFrame:
+    return seen.filter(F.col("sim") >= LEAST - 1e-9).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+
+
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, label): the components of at least two among the distinct texts (rep, bands).
+
+    First each text meets the leaders of its buckets, the smallest id each: that settles nearly all of a group of copies
+    by one link a member. What isn't connected to its leader then meets the rest of its bucket: in pairs where the bucket
+    is small, in blocks of the clusters that large buckets form. So no link between texts that share a band is lost.
+    """
+    keyed = reps.select("rep", F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     cells = materialize(keyed.join(buckets, "band"), "cells")
+    involved = cells.select("rep").distinct()
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null").hint("merge").join(involved, "rep", "left_semi"), "involved")
     pairs = materialize(cells.filter("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")), "pairs")
-    # the leader that shares most bands first: it settles nearly every member of a group of copies
+    # the leader that shares most bands first
     top = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    seen = materialize(verify(docs, top.select("leader", "member")), "seen")
-    linked = seen.filter(F.col("sim") >= LEAST).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-    labels = components(linked)
+    seen = materialize(verify(texts, top.select("leader", "member")), "seen")
+    edges = linked(seen)
+    labels = components(edges)
 
     def open_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
         """Rows of df whose x and y aren't known to be connected."""
@@ -192,36 +277,40 @@ def links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = df.join(one, x, "left").join(two, y, "left")
         return joined.filter(F.coalesce(f"_{x}", x) != F.coalesce(f"_{y}", y)).drop(f"_{x}", f"_{y}")
 
-    rest = open_pairs(pairs.join(seen, ["leader", "member"], "left_anti").select("leader", "member"), "leader", "member")
-    seen2 = materialize(verify(docs, materialize(rest, "rest")), "seen")
+    rest = materialize(open_pairs(pairs.join(seen, ["leader", "member"], "left_anti").select("leader", "member"), "leader", "member"), "rest")
+    seen2 = materialize(verify(texts, rest), "seen")
     known = seen.union(seen2)
-    linked = linked.union(seen2.filter(F.col("sim") >= LEAST).select(F.col("leader").alias("a"), F.col("member").alias("b")))
-    labels = components(linked)
-    # members still apart from their bucket's leader may be linked to others of the bucket
+    edges = edges.union(linked(seen2))
+    labels = components(edges)
     cell = cells.join(known.withColumnRenamed("member", "rep"), ["leader", "rep"], "left").withColumn("sim", F.when(F.col("rep") == F.col("leader"), F.lit(1.0)).otherwise(F.col("sim")))
     cell = cell.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     cell = cell.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("head")), "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    cell = materialize(cell.select("band", "rep", "leader", "sim", "label", "head"), "cell")
-    apart = cell.filter("label <> head and rep <> leader").select("band", F.col("rep").alias("u"), F.col("label").alias("ul"), F.col("sim").alias("us"))
-    busy = apart.select("band").distinct()
-    others = cell.filter("rep <> leader").join(busy, "band", "left_semi").select("band", F.col("rep").alias("v"), F.col("label").alias("vl"), F.col("sim").alias("vs"), (F.col("label") != F.col("head")).alias("va"))
+    cell = materialize(cell.select("band", "n", "rep", "leader", "sim", "label", (F.col("label") != F.coalesce("head", "leader")).alias("open")), "cell")
+    busy = cell.filter("open").select("band").distinct()
+    cell = cell.join(busy, "band", "left_semi")
+    large, small = cell.filter(F.col("n") > LARGE), cell.filter(F.col("n") <= LARGE)
+    cluster = components(large.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    members = large.groupBy("rep").agg(F.first("label").alias("label"), F.max("open").alias("open")).join(cluster.select(F.col("id").alias("rep"), F.col("label").alias("cluster")), "rep")
+    edges = edges.union(materialize(dense_links(texts, materialize(members, "members")), "dense"))
+    apart = small.filter("open").select("band", F.col("rep").alias("u"), F.col("label").alias("ul"), F.col("sim").alias("us"))
+    others = small.filter("rep <> leader").select("band", F.col("rep").alias("v"), F.col("label").alias("vl"), F.col("sim").alias("vs"), F.col("open").alias("va"))
+    # 1 - J_P is a metric, so similarities to the leader that differ by more than 1 - LEAST rule a link out
     possible = F.col("us").isNull() | F.col("vs").isNull() | (F.abs(F.col("us") - F.col("vs")) <= 1 - LEAST + 1e-9)
     left = apart.join(others, "band").filter((F.col("ul") != F.col("vl")) & (~F.col("va") | (F.col("u") < F.col("v"))) & possible)
-    open_ = materialize(left.select(F.least("u", "v").alias("leader"), F.greatest("u", "v").alias("member")).distinct(), "open")
-    if not open_.isEmpty():
-        last = materialize(verify(docs, open_), "seen")
-        linked = linked.union(last.filter(F.col("sim") >= LEAST).select(F.col("leader").alias("a"), F.col("member").alias("b")))
-        labels = components(linked)
-    for t in (cells, pairs, cell, open_):
+    named = cluster.select("id", "label")
+    left = left.join(named.select(F.col("id").alias("u"), F.col("label").alias("uc")), "u", "left").join(named.select(F.col("id").alias("v"), F.col("label").alias("vc")), "v", "left").filter("uc is null or vc is null or uc <> vc")
+    last = materialize(verify(texts, materialize(left.select(F.least("u", "v").alias("leader"), F.greatest("u", "v").alias("member")).distinct(), "open")), "seen")
+    out = components(edges.union(linked(last)))
+    for t in (cells, texts, pairs, rest):
         discard(t)
-    return linked, labels
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept) of every row of docs."""
     made = materialize(sketches(docs), "sketches")
     texts = materialize(made.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    _, labels = links(docs, texts.select("rep", "bands"))
+    labels = links(docs, texts.select("rep", "bands"))
     named = texts.select("hi", "lo", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("class_id"))
     found = made.select("doc_id", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "class_id")
     # the smallest id among the distinct texts' smallest ids is the smallest of the class

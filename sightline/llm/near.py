@@ -32,7 +32,7 @@ SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 5, 30
 SLOTS = ROWS * BANDS
 #: Pairs of one leader that a task compares at once; texts of a block; members beyond which a bucket is settled in blocks.
-SHARE, BLOCK, LARGE = 128, 512, 32
+SHARE, BLOCK, LARGE = 32, 512, 32
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.grouped import column, map_groups
+
 
 def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of a matching of least total cost, as large as the smaller side; shortest augmenting paths."""
@@ -56,22 +59,24 @@ def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str,
 
     With `most`, matched pairs of a higher cost are dropped afterwards.
     """
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, left, right]) + f", {cost} double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, x = np.unique(g[left], return_inverse=True)
-        b, y = np.unique(g[right], return_inverse=True)
-        high = 1e6 * (1 + np.abs(g[cost]).max())
-        m = np.full((len(a), len(b)), high)
-        m[x, y] = g[cost]
-        i, j = hungarian(m)
-        fine = m[i, j] < high
-        i, j = i[fine], j[fine]
-        out = pd.DataFrame({**{k: [g[k].iloc[0]] * len(i) for k in keys}, left: a[i], right: b[j], cost: m[i, j]})
-        return out if most is None else out[out[cost] <= most]
-
-    return pairs.groupBy(*keys).applyInPandas(run, schema)
+    rows = pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost))
+
+    def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
+        sides = [np.asarray(pc.dictionary_encode(t[c].combine_chunks()).indices, dtype=np.int64) for c in (left, right)]
+        value, taken = column(t, cost), np.zeros(t.num_rows, bool)
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if e - s == 1:
+                taken[s] = True
+                continue
+            (a, x), (b, y) = (np.unique(c[s:e], return_inverse=True) for c in sides)
+            high = 1e6 * (1 + np.abs(value[s:e]).max())
+            m, at = np.full((len(a), len(b)), high), np.zeros((len(a), len(b)), np.int64)
+            m[x, y], at[x, y] = value[s:e], np.arange(s, e)
+            i, j = hungarian(m)
+            taken[at[i, j][m[i, j] < high]] = True
+        return t.filter(pa.array(taken if most is None else taken & (value <= most)))
+
+    return map_groups(rows, keys, [left, right], run, rows.schema)
 
 
 def one_to_many(pairs: DataFrame, keys: list[str], target: str, query: str, score: str, overlap: str, alpha: float, k: int, least: float) -> DataFrame:

@@ -1,7 +1,6 @@
 """Greedy suppression inside groups: rows in falling order of score stay unless they conflict with one that stayed.
 
-Each group (a frame, an image, a video's tracks) is one call of a vectorized function; groups are bounded by what one
-frame or video holds, and different groups run in parallel.
+Groups (a frame, an image, a shot's tracks) are bounded by what one frame or shot holds and run in parallel.
 """
 
 from __future__ import annotations
@@ -10,7 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sightline.operators.grouped import column, map_groups
 
 Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 XYXY = ["x1", "y1", "x2", "y2"]
@@ -71,11 +74,16 @@ def suppress(df: DataFrame, keys: list[str], score: str, ties: list[str], confli
     """The rows of df that stay; equal scores go in the order of `ties`."""
     cols = boxes or XYXY
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, *ties], ascending=[False] + [True] * len(ties), kind="stable").reset_index(drop=True)
-        return g[greedy(g[cols].to_numpy(float), np.arange(len(g)), conflict)]
+    def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
+        xyxy = np.stack([column(t, c).astype(float) for c in cols], 1)
+        kept = np.zeros(len(xyxy), bool)
+        kept[cut[:-1]] = True
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if e - s > 1:
+                kept[s:e] = greedy(xyxy[s:e], np.arange(e - s), conflict)
+        return t.filter(pa.array(kept))
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    return map_groups(df, keys, [F.desc(score), *ties], run, df.schema)
 
 
 def track_overlaps(t: pd.DataFrame, track: str, frame: str) -> dict[tuple, tuple[float, float, np.ndarray, np.ndarray]]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import timeline
+from sightline.plans import detections, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [timeline]
+MODULES = [timeline, detections]
 
 
 def queries() -> dict[str, Query]:

@@ -54,10 +54,11 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str, most: float | None = None) -> DataFrame:
+def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str, most: float | None = None, missing: float | None = None) -> DataFrame:
     """(keys, left, right, cost) of the least-cost matching in each group of a pair table; pairs not listed can't match.
 
-    With `most`, matched pairs of a higher cost are dropped afterwards.
+    With `most`, matched pairs of a higher cost are dropped afterwards. Unlisted pairs stand in the matrix with the cost
+    `missing`, by default one so high that as many listed pairs as possible are matched.
     """
     rows = pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost))
 
@@ -66,10 +67,10 @@ def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str,
         value, taken = column(t, cost), np.zeros(t.num_rows, bool)
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             if e - s == 1:
-                taken[s] = True
+                taken[s] = missing is None or value[s] < missing
                 continue
             (a, x), (b, y) = (np.unique(c[s:e], return_inverse=True) for c in sides)
-            high = 1e6 * (1 + np.abs(value[s:e]).max())
+            high = 1e6 * (1 + np.abs(value[s:e]).max()) if missing is None else missing
             m, at = np.full((len(a), len(b)), high), np.zeros((len(a), len(b)), np.int64)
             m[x, y], at[x, y] = value[s:e], np.arange(s, e)
             i, j = hungarian(m)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import detections, timeline
+from sightline.plans import detections, evaluation, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [timeline, detections]
+MODULES = [timeline, detections, evaluation]
 
 
 def queries() -> dict[str, Query]:

@@ -336,10 +336,10 @@ def benchmark_averages(spark, d):
     return top.union(s.select(F.lit("video"), "video_id", "mean"))
 
 
-@add("meters", ["v_scores"], "select track_id, pos, round(sum(score) over w, 6) as total, count(*) over w as n, round(avg(score) over w, 6) as mean from v_scores window w as (partition by track_id order by pos)")
+@add("meters", ["v_scores"], "select track_id, pos, round(sum(score) over w, 6) as total, count(*) over w as n, round(sum(score) over w, 6) / count(*) over w as mean from v_scores window w as (partition by track_id order by pos)")
 def meters(spark, d):
     w = Window.partitionBy("track_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return view(spark, d, "v_scores").select("track_id", "pos", F.round(F.sum("score").over(w), 6).alias("total"), F.count("*").over(w).alias("n"), F.round(F.avg("score").over(w), 6).alias("mean"))
+    return view(spark, d, "v_scores").select("track_id", "pos", F.round(F.sum("score").over(w), 6).alias("total"), F.count("*").over(w).alias("n"), (F.round(F.sum("score").over(w), 6) / F.count("*").over(w)).alias("mean"))
 
 
 @add("count_metric", ["v_gt", "v_pred"], """with g as (select video_id, count(*) as gt_dets, count(distinct track_id) as gt_ids from v_gt group by 1), p as (select video_id, count(*) as dets, count(distinct track_id) as ids from v_pred group by 1), f as (select video_id, count(distinct frame) as frames from v_boxes group by 1)

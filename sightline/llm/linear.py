@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sightline.llm import ragged
 
-#: Buckets of each family.
-BUCKETS = 1 << 14
+#: Buckets of each family, and feature values that training works on at once.
+BUCKETS, NONZEROS = 1 << 14, 1 << 19
 #: Families by name: word or character n-grams.
 ALL, FEW = ("w1", "w2", "c3", "c4"), ("w1", "c3")
 
@@ -93,8 +93,9 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
     y = np.asarray(table["label"].combine_chunks(), dtype=np.int64)
     index, value = table["index"].combine_chunks(), table["value"].combine_chunks()
     rows = np.asarray(index.offsets, dtype=np.int64)
-    idx, val = np.asarray(index.flatten()), np.asarray(value.flatten()).astype(np.float64) * 30
-    of = ragged.owner(rows)
+    idx, val = np.asarray(index.flatten()), np.asarray(value.flatten()) * np.float32(30)
+    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(rows))
+    parts = [slice(lo, lo + NONZEROS) for lo in range(0, len(idx), NONZEROS)]
     apart = np.arange(len(y)) % max(2, round(1 / held)) == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     used = ~apart
     share = np.bincount(y[used], minlength=classes)
@@ -105,11 +106,22 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
     hot = np.eye(classes)[y]
 
     def forward() -> np.ndarray:
-        return np.stack([np.bincount(of, weights=val * w[:, k][idx], minlength=len(y)) for k in range(classes)], 1) + bias
+        out = np.tile(bias, (len(y), 1))
+        for s in parts:
+            for k in range(classes):
+                out[:, k] += np.bincount(of[s], weights=val[s] * w[:, k][idx[s]], minlength=len(y))
+        return out
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        out = penalty * w
+        for s in parts:
+            for k in range(classes):
+                out[:, k] += np.bincount(idx[s], weights=val[s] * r[:, k][of[s]], minlength=len(w))
+        return out
 
     for t in range(1, rounds + 1):
         r = (softmax(forward()) - hot) * weight[:, None]
-        g = np.stack([np.bincount(idx, weights=val * r[:, k][of], minlength=len(w)) for k in range(classes)], 1) + penalty * w
+        g = backward(r)
         gb = r.sum(0)
         for p, gr, m1, m2 in ((w, g, m, v), (bias, gb, mb, vb)):
             m1 += 0.1 * (gr - m1)

@@ -26,6 +26,8 @@ from sightline.llm import ragged
 
 #: Segmentations listed of each text; segments longer than this many bytes are searched one by one.
 NBEST, LONG = 4, 40
+#: Segments whose alternatives a worker remembers, and cells (segments times bytes) that are searched at once.
+KNOWN, CELLS = 20_000, 100_000
 #: Score of a byte piece below the lowest piece, and the score under which the model marks a piece as reserved.
 BYTE_PENALTY, RESERVED = 10.0, -1e8
 ENCODED = "ids array<int>, nbest array<double>, swaps array<array<struct<segment:int,ids:array<int>>>>"
@@ -47,12 +49,11 @@ class Lattice:
 
     def __init__(self, pieces: tuple[str, ...], scores: tuple[float, ...], first_byte: int) -> None:
         self.first_byte = first_byte
-        self.bytes = [p.replace("\u2581", " ").encode() for p in pieces]
-        used = [i for i, p in enumerate(self.bytes) if p and scores[i] > RESERVED]
+        self.spelling = Spelling(pieces, first_byte)
+        self.bytes = self.spelling.bytes
+        used = [i for i, p in enumerate(pieces) if p and scores[i] > RESERVED]
         if any(b" " in self.bytes[i][1:] for i in used):
             raise ValueError("a piece reaches over a space")
-        for i in range(256):
-            self.bytes[first_byte + i] = bytes([i])
         alphabet = sorted({b for i in used for b in self.bytes[i]})
         self.classes = np.zeros(256, np.int64)
         self.classes[alphabet] = np.arange(1, len(alphabet) + 1)
@@ -75,8 +76,6 @@ class Lattice:
         self.score[list(ends)] = [scores[i] for i in ends.values()]
         self.byte_score = min(scores[i] for i in used) - BYTE_PENALTY
         self.longest = max(len(self.bytes[i]) for i in used)
-        sizes = np.array([len(b) for b in self.bytes])
-        self.flat, self.offs = np.frombuffer(b"".join(self.bytes), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
         self.known: dict[bytes, list[tuple[float, tuple[int, ...]]]] = {}
 
     def edges(self, word: bytes) -> list[list[tuple[int, float, int]]]:
@@ -112,10 +111,10 @@ class Lattice:
                 into[end].append((i, s, p))
                 if forward[i] + s > forward[end]:
                     forward[end] = forward[i] + s
-        queue = [(-forward[size], 0, size, 0.0, ())]
+        queue = [(-forward[size], size, 0, 0.0, ())]  # of equal promise, what is nearest to the start goes first
         out, made = [], 0
         while queue and len(out) < NBEST:
-            _, _, at, done, path = heapq.heappop(queue)
+            _, at, _, done, path = heapq.heappop(queue)
             if at == 0:
                 ids = []
                 while path:
@@ -126,8 +125,8 @@ class Lattice:
             for i, s, p in into[at]:
                 if forward[i] > -np.inf:
                     made += 1
-                    heapq.heappush(queue, (-(forward[i] + s + done), made, i, done + s, (p, path)))
-        if len(self.known) > 200_000:
+                    heapq.heappush(queue, (-(forward[i] + s + done), i, made, done + s, (p, path)))
+        if len(self.known) > KNOWN:
             self.known.clear()
         self.known[word] = out
         return out[:n]
@@ -224,7 +223,7 @@ class Lattice:
                     pool.append(np.array(got, np.int32))
                     held += len(got)
                 continue
-            for part in np.array_split(own, max(1, len(own) * int(length) // 200_000)):
+            for part in np.array_split(own, max(1, len(own) * int(length) // CELLS)):
                 ids, c, s, g = self.best(data[starts[first[part]][:, None] + np.arange(length)])
                 count[part], score[part], loss[part] = c, s, g
                 pool.append(ids[np.arange(length)[None, :] >= length - c[:, None]])
@@ -254,6 +253,17 @@ class Lattice:
             swaps.append([[{"segment": near[j], "ids": list(options[j][o][1])} for j, o in enumerate(choice) if o] for _, choice in found])
         return lists, pa.array(best, pa.list_(pa.float64())), pa.array(swaps, pa.list_(pa.list_(pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))]))))
 
+
+class Spelling:
+    """The bytes of each piece."""
+
+    def __init__(self, pieces: tuple[str, ...], first_byte: int) -> None:
+        self.bytes = [p.replace("\u2581", " ").encode() for p in pieces]
+        for i in range(256):
+            self.bytes[first_byte + i] = bytes([i])
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.offs = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])])
+
     def decode(self, lists: pa.Array) -> pa.Array:
         """The text of each list of ids; null for null."""
         null = np.asarray(lists.is_null())
@@ -304,19 +314,27 @@ def lattice(model: tuple) -> Lattice:
     return _READY[key]
 
 
-def encode(docs: DataFrame, path: str, nbest: int = NBEST, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with ids, the scores of the n best segmentations and where they differ from ids."""
+def encode(docs: DataFrame, path: str, nbest: int = NBEST, keep: tuple[str, ...] | None = None, check: bool = False) -> DataFrame:
+    """docs (or its columns `keep`) with ids, the scores of the n best segmentations and where they differ from ids.
+
+    check=True adds round_trip, whether the ids decode to the text.
+    """
     if not 1 <= nbest <= NBEST:
         raise ValueError(f"nbest has to be 1 to {NBEST}")
-    new = StructType.fromDDL(ENCODED)
+    new = StructType.fromDDL(ENCODED + (", round_trip boolean" if check else ""))
     source = docs.select(*[c for c in (keep or docs.columns) if c not in new.names], *(["text"] if keep and "text" not in keep else []))
     schema = StructType(source.schema.fields + new.fields)
     model = load(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model)
-        for b in ragged.chunks(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns, *own.encode(b["text"], nbest)], schema.names)
+        for b in ragged.chunks(batches, "text", 1 << 20):
+            made = own.encode(b["text"], nbest)
+            if check:
+                back = own.spelling.decode(made[0])
+                same = pc.if_else(b["text"].is_null(), back.is_null(), pc.fill_null(pc.equal(back, b["text"]), False))
+                made = (*made, same)
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
 
     return source.mapInArrow(work, schema)
 
@@ -324,10 +342,10 @@ def encode(docs: DataFrame, path: str, nbest: int = NBEST, keep: tuple[str, ...]
 def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     """encoded with the text of its ids."""
     schema = StructType([f for f in encoded.schema.fields if f.name != column] + StructType.fromDDL(f"{column} string").fields)
-    model = load(path)
+    pieces, _, first_byte = load(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(model)
+        own = Spelling(pieces, first_byte)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

@@ -27,9 +27,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
-    decoded = pieces.decode(encoded.select("doc_id", "text", "ids", "nbest"), PIECE_MODEL)
-    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), "nbest", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, check=True)
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), "nbest", "round_trip")
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

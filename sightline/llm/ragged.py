@@ -107,7 +107,7 @@ def owner(rows: np.ndarray) -> np.ndarray:
 
 def row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of values over each row's run of items; empty rows give 0."""
-    return np.bincount(owner(rows), weights=values, minlength=len(rows) - 1)
+    return np.bincount(owner(rows), weights=values, minlength=len(rows) - 1).astype(np.float64)
 
 
 def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 The directions of a tree's levels are random; its thresholds are medians of a bounded sample. Every vector is indexed.
 A query walks all trees at once: the queue holds branches not taken, cheapest sum of squared margins first, and is
-drained until the leaves taken hold `effort` times the number of vectors (leaves of all trees counted, so the distinct
+drained until the leaves taken hold `effort` times the number of vectors, or LEAST_EFFORT of them (leaves of all trees counted, so the distinct
 candidates are fewer). The candidates are then ranked exactly, in double precision, on the original vectors.
 
 Queries and vectors meet in blocks of bounded size; equal vectors are one entry that carries its smallest ids, as many
@@ -29,9 +29,9 @@ from sightline.runtime import materialize
 #: Vectors that the thresholds are fitted on at most.
 SAMPLE_ROWS = 20_000
 TREES, LEAF_ROWS, MAX_DEPTH = 32, 32, 14
-#: Rows of the leaves visited, over all trees, as a share of the vectors: gives a recall of about 0.95 at 5 neighbours
-#: on vectors without any low-dimensional structure, and more on others.
-EFFORT = 0.6
+#: Rows of the leaves visited, over all trees, as a share of the vectors, and at least: gives a recall of about 0.95 at 5
+#: neighbours on vectors without any low-dimensional structure, and more on others.
+EFFORT, LEAST_EFFORT = 0.6, 8000
 #: Rows of a block of vectors and of queries.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
 
@@ -147,7 +147,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, effort: float = EFFORT,
     asked = queries.groupBy("vector").agg(F.min("id").alias("query"), F.count("*").alias("n"))
     n_queries = max(1, asked.count())
     vector_blocks, query_blocks = -(-count // VECTOR_BLOCK), -(-n_queries // QUERY_BLOCK)
-    most = effort * count
+    most = max(effort * count, LEAST_EFFORT)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

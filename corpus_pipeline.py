@@ -48,9 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text and checks that it decodes to itself."""
-    encoded = pieces.encode(docs, PIECE_MODEL, keep=("doc_id", "lang", "text")).select("doc_id", "lang", "text", "ids", F.element_at("nbest", 1).alias("score"))
-    decoded = pieces.decode(encoded, PIECE_MODEL)
-    return decoded.select("doc_id", "lang", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "score", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = pieces.encode(docs, PIECE_MODEL, keep=("doc_id", "lang", "text"), check=True)
+    return encoded.select("doc_id", "lang", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.element_at("nbest", 1).alias("score"), "round_trip")
 
 
 STAGES = [

@@ -143,12 +143,12 @@ def identity_clusters(spark, d):
 
 
 def _edges(spark, d):
-    c = pairs.co_presence(view(spark, d, "v_track_frames"), ["video_id"], "track_id", "frame", 1).filter("mean_iou >= 0.55")
+    c = pairs.co_presence(view(spark, d, "v_track_frames"), ["video_id"], "track_id", "frame", 1).filter("mean_iou >= 0.03")
     return c.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"))
 
 
 @add("track_components", ["v_track_frames"], f"""with m as (select a.video_id, a.track_id as a, b.track_id as b, {_iou('a.', 'b.')} as iou from v_track_frames a join v_track_frames b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id),
-  g as (select a, b from m group by video_id, a, b having avg(iou) >= 0.55), e as (select a, b from g union select b, a from g),
+  g as (select a, b from m group by video_id, a, b having avg(iou) >= 0.03), e as (select a, b from g union select b, a from g),
   r as (select a as id, least(a, b) as l0 from e), n as (select id, min(l0) as label from r group by id),
   n2 as (select n.id, least(n.label, min(x.label)) as label from n join e on e.a = n.id join n x on x.id = e.b group by n.id, n.label),
   n3 as (select n.id, least(n.label, min(x.label)) as label from n2 n join e on e.a = n.id join n2 x on x.id = e.b group by n.id, n.label),

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sightline.functions import boxes as bx
-from sightline.functions import rle
-from sightline.operators import cluster, metrics, pairs
+from sightline.functions import rle, rotated
+from sightline.operators import cluster, linking, metrics, pairs
 from sightline.operators.components import components
 from sightline.plans.detections import _dist, _iou
 from sightline.plans.views import oracle, table, view
@@ -179,3 +179,53 @@ def track_boxes(spark, d):
 def giou_pairs(spark, d):
     t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"))
     return t.select("gt_det_id", "dt_det_id", F.round(bx.giou(bx.box("gt_"), bx.box("dt_")), 9).alias("giou"), F.round(bx.centre_distance(bx.box("gt_"), bx.box("dt_")), 9).alias("dist"))
+
+
+@add("linked_tracks")
+def linked_tracks(spark, d):
+    """Tracks by overlap inside shots."""
+    b = view(spark, d, "v_boxes").withColumn("shot", F.floor(F.col("frame") / 100))
+    return linking.link_tracks(b, ["video_id", "shot"], 10, 0.5, 2)
+
+
+@add("rotated_overlaps")
+def rotated_overlaps(spark, d):
+    """Overlap of boxes turned by an angle of their own."""
+    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame", "category_id"], ("det_id", "det_id"), (["conf"], ["conf"]))
+    cols = [F.array(*bx.xyxy_to_cxcywh(bx.box(p)), F.col(f"{p}conf") * 90).alias(f"{p}r") for p in ("gt_", "dt_")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["gt_det_id", "dt_det_id"]].assign(iou=[rotated.iou(p, q) for p, q in zip(b["gt_r"], b["dt_r"], strict=True)])
+
+    return t.select("gt_det_id", "dt_det_id", *cols).mapInPandas(work, "gt_det_id string, dt_det_id string, iou double")
+
+
+@add("refined_segments", ["v_segments"])
+def refined_segments(spark, d):
+    """Ten-second segments of a document snapped to its words."""
+    w = view(spark, d, "v_words")
+    seg = w.groupBy("doc_id", F.floor(F.col("start_s") / 10).alias("win")).agg(F.min("start_s").alias("start_s"), (F.max("end_s") + 0.2).alias("end_s")).withColumn("label", (F.col("win") % 2).cast("string"))
+    return linking.refine_segments(seg, w, "doc_id")
+
+
+@add("best_annotators", ["v_gt"], """with s as (select video_id, frame, track_id % 3 as who, case when count(*) > 3 then null else round(avg(conf), 9) end as f from v_gt group by 1, 2, 3)
+  select video_id, frame, who, f from (select *, row_number() over (partition by video_id, frame order by case when f is null then 0 else 1 end, f desc nulls last, who) as r from s) where r = 1""")
+def best_annotators(spark, d):
+    s = view(spark, d, "v_gt").groupBy("video_id", "frame", (F.col("track_id") % 3).alias("who")).agg(F.when(F.count("*") <= 3, F.round(F.avg("conf"), 9)).alias("f"))
+    return linking.best_annotator(s, ["video_id", "frame"], "who", "f")
+
+
+@add("match_costs", ["v_gt", "v_pred"], f"""with p as (select g.det_id as gt_det_id, p.det_id as dt_det_id, 1 / (1 + exp(-(p.conf * 4 - 2))) as p, (abs(g.x1 - p.x1) + abs(g.y1 - p.y1) + abs(g.x2 - p.x2) + abs(g.y2 - p.y2)) / 600 as l1, {_iou('g.', 'p.')} as iou
+    from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame and g.category_id = p.category_id)
+  select gt_det_id, dt_det_id, round(2 * (0.25 * power(1 - p, 2) * -ln(p + 1e-8) - 0.75 * power(p, 2) * -ln(1 - p + 1e-8)) + 5 * l1 - 2 * iou, 9) as cost from p""")
+def match_costs(spark, d):
+    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame", "category_id"], ("det_id", "det_id"), ([], ["conf"]))
+    l1 = sum((F.abs(F.col(f"gt_{c}") - F.col(f"dt_{c}")) for c in pairs.XYXY), F.lit(0.0)) / 600
+    return t.select("gt_det_id", "dt_det_id", F.round(linking.match_cost(F.col("dt_conf") * 4 - 2, l1, F.col("iou"), 2.0, 5.0, 2.0), 9).alias("cost"))
+
+
+@add("key_frames", ["v_track_frames"])
+def key_frames(spark, d):
+    t = view(spark, d, "v_track_frames").groupBy("video_id", "track_id").agg(F.count("*").cast("int").alias("n"))
+    return t.select("video_id", "track_id", F.explode(linking.key_frames(F.col("n"), F.array(F.lit(0), F.lit(2), F.lit(4)))).alias("pos"))

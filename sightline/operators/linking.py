@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +59,8 @@ def link_tracks(dets: DataFrame, keys: list[str], gap: int = 10, iou: float = 0.
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["frame", "det_id"])
-        frames = [list(f[["frame", "det_id", *XYXY]].itertuples(index=False, name=None)) for _, f in g.groupby("frame", sort=True)]
+        rows = zip(*(g[c].tolist() for c in ("frame", "det_id", *XYXY)), strict=True)
+        frames = [list(f) for _, f in groupby(rows, key=lambda r: r[0])]
         kept = [t for t in link(frames, gap, iou) if len(t) > least]
         rows = [(i, d[0], d[1]) for i, t in enumerate(kept) for d in t]
         out = pd.DataFrame(rows, columns=["track", "frame", "det_id"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -105,8 +106,10 @@ class Tracker:
 
 
 def _frames(g: pd.DataFrame) -> Iterator[tuple[int, list[tuple]]]:
-    for frame, f in g.sort_values("frame").groupby("frame", sort=True):
-        yield int(frame), list(f[["det_id", "x1", "y1", "x2", "y2", "conf"]].itertuples(index=False, name=None))
+    g = g.sort_values("frame")
+    rows = zip(*(g[c].tolist() for c in ("frame", "det_id", "x1", "y1", "x2", "y2", "conf")), strict=True)
+    for frame, f in groupby(rows, key=lambda r: r[0]):
+        yield int(frame), [r[1:] for r in f]
 
 
 def track(dets: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -64,5 +64,5 @@ def keep_available(tables: list[tuple[DataFrame, list[str]]], available: DataFra
 
 def sample_queries(df: DataFrame, keys: list[str], positive: str, most: int, seed: int, order: list[str]) -> DataFrame:
     """All positive rows and, up to `most` in all, others in the order of a seeded hash: the same rows on every run."""
-    w = Window.partitionBy(*keys).orderBy(F.col(positive).desc(), F.xxhash64(*order, F.lit(seed)), *order)
+    w = Window.partitionBy(*keys).orderBy(F.col(positive).desc(), F.md5(F.concat(F.concat_ws("/", *[F.col(c).cast("string") for c in order]), F.lit(f"/{seed}"))), *order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col(positive) | (F.col("_r") <= most)).drop("_r")

@@ -367,7 +367,8 @@ def set_operations(spark, d):
     return n("both", g.intersect(p)).union(n("gt only", g.subtract(p))).union(n("any", g.union(p).distinct()))
 
 
-@add("hash_sample", ["v_pred"])
+@add("hash_sample", ["v_pred"], """with r as (select *, conf > 0.95 as positive, row_number() over (partition by video_id, category_id order by (conf > 0.95) desc, md5(concat(det_id, '/7')), det_id) as r from v_pred)
+  select video_id, category_id, det_id, positive from r where positive or r <= 10""")
 def hash_sample(spark, d):
     """Up to ten detections a video and category, all confident ones among them, the same on every run."""
     p = view(spark, d, "v_pred").withColumn("positive", F.col("conf") > 0.95)
@@ -443,21 +444,34 @@ def palette(spark, d):
     return ids.select("track_id", (F.col("i") % 10).alias("colour"))
 
 
+def _greedy_sql(view_sql: str, conflict: str) -> str:
+    """Greedy suppression as a recursion over ranks that carries the list of boxes kept so far."""
+    return f"""with recursive ranked as (select video_id, frame, {{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} as b, row_number() over (partition by video_id, frame order by conf desc, det_id) as rn from {view_sql}),
+  r as (select video_id, frame, rn, [b] as kept from ranked where rn = 1 union all
+    select n.video_id, n.frame, n.rn, case when len(list_filter(r.kept, lambda k: {conflict})) = 0 then list_append(r.kept, n.b) else r.kept end from r join ranked n on n.video_id = r.video_id and n.frame = r.frame and n.rn = r.rn + 1)
+  select video_id, frame, unnest(list_transform(kept, lambda k: k.det_id)) as det_id from (select *, row_number() over (partition by video_id, frame order by rn desc) as q from r) where q = 1"""
+
+
+def _iom(a: str, b: str) -> str:
+    i = f"greatest(least({a}x2, {b}x2) - greatest({a}x1, {b}x1), 0) * greatest(least({a}y2, {b}y2) - greatest({a}y1, {b}y1), 0)"
+    return f"{i} / least(({a}x2 - {a}x1) * ({a}y2 - {a}y1), ({b}x2 - {b}x1) * ({b}y2 - {b}y1))"
+
+
 # --- suppression and assignment -------------------------------------------------------------------------------------
 
 
-@add("frame_nms")
+@add("frame_nms", ["v_boxes"], _greedy_sql("v_boxes", f"{_iou('k.', 'n.b.')} >= 0.70 or {_dist('k.', 'n.b.')} <= 0.25"))
 def frame_nms(spark, d):
     b = view(spark, d, "v_boxes")
     return suppress.suppress(b, ["video_id", "frame"], "conf", ["det_id"], suppress.iou_or_centre(0.70, 0.25)).select("video_id", "frame", "det_id")
 
 
-@add("strict_nms")
+@add("strict_nms", ["v_boxes"], _greedy_sql("v_boxes where conf > 0.2", f"{_iou('k.', 'n.b.')} > 0.3"))
 def strict_nms(spark, d):
     return suppress.suppress(view(spark, d, "v_boxes").filter("conf > 0.2"), ["video_id", "frame"], "conf", ["det_id"], suppress.iou_above(0.3)).select("video_id", "frame", "det_id")
 
 
-@add("overlap_removal")
+@add("overlap_removal", ["v_boxes"], _greedy_sql("v_boxes", f"{_iom('k.', 'n.b.')} > 0.3"))
 def overlap_removal(spark, d):
     return suppress.suppress(view(spark, d, "v_boxes"), ["video_id", "frame"], "conf", ["det_id"], suppress.iom_above(0.3)).select("video_id", "frame", "det_id")
 

@@ -104,7 +104,10 @@ def mask_boxes(spark, d):
     return view(spark, d, "v_boxes").select("det_id", *pairs.XYXY).mapInPandas(work, "det_id string, area long, bx1 int, by1 int, bx2 int, by2 int")
 
 
-@add("mask_iou", ["v_gt", "v_pred"])
+@add("mask_iou", ["v_gt", "v_pred"], """with g as (select video_id, frame, category_id, det_id, floor(x1 / 10) as x1, floor(y1 / 10) as y1, floor(x2 / 10) as x2, floor(y2 / 10) as y2 from v_gt),
+  p as (select video_id, frame, category_id, det_id, floor(x1 / 10) as x1, floor(y1 / 10) as y1, floor(x2 / 10) as x2, floor(y2 / 10) as y2 from v_pred),
+  m as (select g.det_id as gt_det_id, p.det_id as dt_det_id, greatest(least(g.x2, p.x2) - greatest(g.x1, p.x1), 0) * greatest(least(g.y2, p.y2) - greatest(g.y1, p.y1), 0) as i, (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) as s
+    from g join p on g.video_id = p.video_id and g.frame = p.frame and g.category_id = p.category_id) select gt_det_id, dt_det_id, i / greatest(1, s - i) as iou from m""")
 def mask_iou(spark, d):
     t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame", "category_id"], ("det_id", "det_id"))
     cols = [f"{p}{c}" for p in ("gt_", "dt_") for c in pairs.XYXY]
@@ -225,7 +228,9 @@ def match_costs(spark, d):
     return t.select("gt_det_id", "dt_det_id", F.round(linking.match_cost(F.col("dt_conf") * 4 - 2, l1, F.col("iou"), 2.0, 5.0, 2.0), 9).alias("cost"))
 
 
-@add("key_frames", ["v_track_frames"])
+@add("key_frames", ["v_track_frames"], """with t as (select video_id, track_id, count(*) as n from v_track_frames group by 1, 2),
+  a as (select video_id, track_id, list_sort(list_distinct(list_concat([0, 2, 4], list_transform(range(5), lambda k: cast(floor(k * (n - 1) / 4.0) as bigint))))) as f from t)
+  select video_id, track_id, cast(unnest(f) as int) as pos from a""")
 def key_frames(spark, d):
     t = view(spark, d, "v_track_frames").groupBy("video_id", "track_id").agg(F.count("*").cast("int").alias("n"))
     return t.select("video_id", "track_id", F.explode(linking.key_frames(F.col("n"), F.array(F.lit(0), F.lit(2), F.lit(4)))).alias("pos"))

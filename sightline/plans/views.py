@@ -69,4 +69,6 @@ def oracle(names: list[str], query: str) -> str:
     rest = query.strip()
     if not body:
         return rest
+    if rest[:14].lower() == "with recursive":
+        return f"with recursive {body}, {rest[14:]}"
     return f"with {body}, {rest[5:]}" if rest[:5].lower() == "with " else f"with {body} {rest}"

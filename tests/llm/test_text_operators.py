@@ -145,6 +145,8 @@ def set_of(text):
 
 
 def jp(a, b):
+    if all(v == 1 for v in a.values()) and all(v == 1 for v in b.values()):
+        return len(a.keys() & b.keys()) / max(1, len(a.keys() | b.keys()))
     return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in set(a) | set(b)) for i in a if i in b)
 
 

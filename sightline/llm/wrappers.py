@@ -41,6 +41,7 @@ NAMES = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended "
     "comment comments commentlist discussion disqus reply replies respond widget toolbar pagination pager login signup search skip".split()
 )
+STEMS = ("cookie", "advert", "adsby", "sponsor", "newsletter", "sidebar", "breadcrumb", "subscri", "comment", "navbar", "menubar")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -68,7 +69,7 @@ def mark(name: str, attributes: str) -> tuple[str, bool]:
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
             parts = [w for w in _WORDS.split(value) if w]
-            outside |= any(w in NAMES for w in parts)
+            outside |= any(w in NAMES or (w.startswith(STEMS) and w != "commentary") for w in parts)
             words += [w for w in parts if not w.isdigit()]
         elif key == "role":
             outside |= value in ROLES

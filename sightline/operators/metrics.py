@@ -166,21 +166,24 @@ def ap_matches(found: DataFrame, sim: DataFrame, keys: list[str], steps: list[fl
         dt = np.asarray(pc.dictionary_encode(t["dt_id"].combine_chunks()).indices, dtype=np.int64)
         gt = np.asarray(pc.fill_null(pc.dictionary_encode(t["gt_id"].combine_chunks()).indices, -1), dtype=np.int64)
         iou = np.asarray(pc.fill_null(t["iou"].combine_chunks(), 0.0))
-        first, hits = [], []
+        new = np.zeros(t.num_rows, bool)
+        new[1:] = dt[1:] != dt[:-1]
+        new[cut[:-1]] = True
+        first = np.flatnonzero(new)
+        place = np.cumsum(new) - 1
+        hits = np.zeros((len(first), len(steps)), bool)
+        near = iou >= steps[0]
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            new = np.flatnonzero(np.append(True, dt[s + 1 : e] != dt[s : e - 1]))
-            row = np.cumsum(np.append(True, dt[s + 1 : e] != dt[s : e - 1])) - 1
-            names, col = np.unique(gt[s:e], return_inverse=True)
-            m = np.zeros((len(new), len(names)))
-            m[row, col] = iou[s:e]
-            m[:, names < 0] = 0
-            first.extend(s + new)
-            if m.max(initial=0.0) < steps[0]:
-                hits.extend([[False] * len(steps)] * len(new))
+            if not near[s:e].any():
                 continue
-            hits.extend(np.stack([assign.greedy_match(m, a) >= 0 for a in steps], 1).tolist())
+            used = s + np.flatnonzero(near[s:e])  # no other pair can match at any threshold
+            rows, row = np.unique(place[used], return_inverse=True)
+            names, col = np.unique(gt[used], return_inverse=True)
+            m = np.zeros((len(rows), len(names)))
+            m[row, col] = iou[used]
+            hits[rows] = np.stack([assign.greedy_match(m, a) >= 0 for a in steps], 1)
         out = t.take(pa.array(first)).drop_columns(["gt_id", "iou"])
-        return out.append_column("hits", pa.array(hits, pa.list_(pa.bool_())))
+        return out.append_column("hits", pa.array(hits.tolist(), pa.list_(pa.bool_())))
 
     schema = StructType([f for f in joined.schema.fields if f.name not in ("gt_id", "iou")] + [StructField("hits", ArrayType(BooleanType()))])
     return map_groups(joined, keys, [F.desc("score"), "dt_id", "gt_id"], run, schema)
@@ -193,7 +196,9 @@ def average_precision(matches: DataFrame, truth_counts: DataFrame, keys: list[st
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     curve = rows.withColumns({"tp": F.sum(F.col("hit").cast("long")).over(up), "rank": F.row_number().over(w)})
     curve = curve.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("rank")})
-    best = curve.withColumn("p", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).filter("hit")
+    # the best precision from here on, as a running maximum from the other end: frames that end unbounded are quadratic
+    back = Window.partitionBy(*keys, "level").orderBy("score", F.desc("dt_id")).rowsBetween(Window.unboundedPreceding, 0)
+    best = curve.withColumn("p", F.max("precision").over(back)).filter("hit")
     # each true positive raises recall to tp / n_gt and answers the grid points above the previous one
     low, high = F.ceil(100 * (F.col("tp") - 1) / F.col("n_gt") + 1e-9), F.floor(100 * F.col("recall") + 1e-9)
     points = F.greatest(F.lit(0), high - F.when(F.col("tp") == 1, F.lit(0)).otherwise(low) + 1)

@@ -43,14 +43,15 @@ def fill_times(df: DataFrame, keys: list[str], order: str, t: str, name: str = "
     """
     w = Window.partitionBy(*keys).orderBy(order)
     whole = Window.partitionBy(*keys)
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     known = F.col(t).isNotNull()
     prior = F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     delta = F.when(known & (F.col(t) - prior > 0), F.col(t) - prior)
     marked = df.withColumns({"_delta": delta, "_i": F.row_number().over(w)})
     step = marked.withColumns({
         "_dt": F.coalesce(F.median("_delta").over(whole), F.lit(0.0)), "_back": F.last(F.when(known, F.col("_i")), ignorenulls=True).over(up), "_tb": F.last(t, ignorenulls=True).over(up),
-        "_fore": F.first(F.when(known, F.col("_i")), ignorenulls=True).over(down), "_tf": F.first(t, ignorenulls=True).over(down),
+        "_fore": F.last(F.when(known, F.col("_i")), ignorenulls=True).over(down), "_tf": F.last(t, ignorenulls=True).over(down),
     })
     value = F.coalesce(F.col("_tb") + (F.col("_i") - F.col("_back")) * F.col("_dt"), F.when(F.col("_tf").isNotNull(), F.greatest(F.lit(0.0), F.col("_tf") - (F.col("_fore") - F.col("_i")) * F.col("_dt"))))
     return step.withColumn("_v", value).withColumn(name, F.max("_v").over(up)).drop("_delta", "_i", "_dt", "_back", "_tb", "_fore", "_tf", "_v")

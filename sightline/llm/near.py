@@ -291,14 +291,16 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     large, small = cell.filter(F.col("n") > LARGE), cell.filter(F.col("n") <= LARGE)
     cluster = components(large.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     members = large.groupBy("rep").agg(F.first("label").alias("label"), F.max("open").alias("open")).join(cluster.select(F.col("id").alias("rep"), F.col("label").alias("cluster")), "rep")
-    edges = edges.union(materialize(dense_links(texts, materialize(members, "members")), "dense"))
+    members = materialize(members, "members")
+    edges = edges.union(materialize(dense_links(texts, members), "dense"))
     apart = small.filter("open").select("band", F.col("rep").alias("u"), F.col("label").alias("ul"), F.col("sim").alias("us"))
     others = small.filter("rep <> leader").select("band", F.col("rep").alias("v"), F.col("label").alias("vl"), F.col("sim").alias("vs"), F.col("open").alias("va"))
     # 1 - J_P is a metric, so similarities to the leader that differ by more than 1 - LEAST rule a link out
     possible = F.col("us").isNull() | F.col("vs").isNull() | (F.abs(F.col("us") - F.col("vs")) <= 1 - LEAST + 1e-9)
     left = apart.join(others, "band").filter((F.col("ul") != F.col("vl")) & (~F.col("va") | (F.col("u") < F.col("v"))) & possible)
-    named = cluster.select("id", "label")
-    left = left.join(named.select(F.col("id").alias("u"), F.col("label").alias("uc")), "u", "left").join(named.select(F.col("id").alias("v"), F.col("label").alias("vc")), "v", "left").filter("uc is null or vc is null or uc <> vc")
+    # dense_links has compared two members of one cluster if either is open in a large bucket
+    one, two = (members.select(F.col("rep").alias(c), F.col("cluster").alias(f"{c}c"), F.col("open").alias(f"{c}o")) for c in ("u", "v"))
+    left = left.join(one, "u", "left").join(two, "v", "left").filter("uc is null or vc is null or uc <> vc or not (uo or vo)")
     last = materialize(verify(texts, materialize(left.select(F.least("u", "v").alias("leader"), F.greatest("u", "v").alias("member")).distinct(), "open")), "seen")
     out = components(edges.union(linked(last)))
     for t in (cells, texts, pairs, rest):

@@ -207,6 +207,24 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert got == truth(texts)
 
 
+def test_small_buckets_inside_clusters_lose_no_link(spark):
+    """10 and 30 share a small bucket only, and neither is open in the large buckets that one cluster holds."""
+
+    def edited(words, at, n, name):
+        return words[:at] + [f"{name}{k}" for k in range(n)] + words[at + n :]
+
+    base = [f"w{k}" for k in range(200)]
+    thirty = edited(base, 0, 15, "c")
+    texts = {10: base, 1: edited(base, 185, 15, "a"), 30: thirty, 2: edited(thirty, 100, 12, "b"), 20: [f"z{k}" for k in range(200)]}
+    in_x, in_y = range(100, 100 + near.LARGE), range(300, 300 + near.LARGE)
+    texts |= {k: [*texts[1], f"e{k}"] for k in in_x} | {k: [*texts[2], f"e{k}"] for k in in_y}
+    buckets = {7: [1, 10, 20, *in_x], 8: [2, 20, 30, *in_y], 9: [1, 10, 30]}
+    reps = spark.createDataFrame([(k, [b for b, m in buckets.items() if k in m]) for k in texts], "rep long, bands array<long>")
+    labels = {r["id"]: r["label"] for r in near.links(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"), reps).collect()}
+    assert jp(set_of(" ".join(base)), set_of(" ".join(thirty))) >= near.LEAST > jp(set_of(" ".join(texts[1])), set_of(" ".join(thirty)))
+    assert labels == {k: 1 for k in texts if k != 20}
+
+
 def test_block_links_by_brute_force():
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)]

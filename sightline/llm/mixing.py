@@ -1,20 +1,23 @@
 """Mixing to target weights by soft membership: document rates whose expected domain tokens meet the targets.
 
 A classifier fitted on a labelled table gives each document posteriors p over the domains. With n its words and r its
-rate, the expected tokens of domain d are the sum of r * n * p[d]; projected gradient descent with momentum minimizes the
-squared distance to the targets over 0 <= r <= limit. The gradient of a rate is its document's posteriors times the
-residual (scaled by its words), so documents of equal posteriors have equal rates: posteriors are defined to three
-decimals, and the descent runs over their distinct values, a table of bounded size whatever the number of documents.
+rate, the expected tokens of domain d are the sum of r * n * p[d], and the squared distance to the targets is minimized
+over 0 <= r <= limit. Where the posteriors' moments are even, projected gradient descent with momentum does it. Where they
+aren't, or the descent ends beyond TOLERANCE of a target, Newton steps on the dual do: of the rates of least distance,
+those nearest to 1 are clip(1 + p . x) with one number x[d] a domain, see solve(). Documents of equal posteriors have equal
+rates either way: posteriors are defined to three decimals, and each round is one aggregation over their distinct values, a
+table of bounded size whatever the number of documents. Targets that aren't met within TOLERANCE are logged.
 A document's copies are its rate's whole part and one more where a hash of its id falls below the rest, so runs agree.
 
 Defined cases: a null or empty text has no words, weighs nothing and gets the rate of its posteriors; without labelled
-rows the posteriors are even; an unreachable target is met as nearly as the limits allow; weights are scaled to sum to 1;
+rows the posteriors are even; an unreachable target is met as nearly as the limits allow, and logged; weights are scaled to sum to 1;
 a null id draws from the hash of null; equal texts get equal rates; further columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,12 @@ from sightline.runtime import discard, materialize
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 3000
 DIGITS, ROUNDS = 3, 40
+#: Share of a target that its total may be off; moments whose eigenvalues differ by more are beyond the descent.
+TOLERANCE, UNEVEN = 1e-3, 8.0
+#: Weights of the distance from 1 against that to the targets, as shares of the words; the last one counts.
+WEIGHTS = (1e-1, 1e-3, 1e-5, 1e-7, 1e-9)
+
+LOG = logging.getLogger(__name__)
 
 
 def posteriors(docs: DataFrame, model: linear.Model | None, domains: int) -> DataFrame:
@@ -46,10 +55,43 @@ def posteriors(docs: DataFrame, model: linear.Model | None, domains: int) -> Dat
     return source.mapInArrow(work, schema)
 
 
+def off_target(got: np.ndarray, targets: np.ndarray, words: float) -> float:
+    """The largest distance of a total to its target, as a share of that (of the words where the target is 0)."""
+    return float((np.abs(got - targets) / np.where(targets > 0, targets, words)).max())
+
+
+def solve(totals: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], targets: np.ndarray, words: float) -> np.ndarray:
+    """x for which the rates clip(1 + p . x) are optimal; totals(x) gives their totals and the moments of unclipped ones.
+
+    Minimized is |targets - totals|**2 / 2 + w / 2 * sum of n * (r - 1)**2, whose optimum has x = (targets - totals) / w. w
+    falls through WEIGHTS, and each Newton step is shortened until the dual's slope along it has fallen by half or turned.
+    """
+    x = np.zeros(len(targets))
+    got, m = totals(x)
+    for w in WEIGHTS:
+        w *= words
+        for _ in range(100):
+            if off_target(got + w * x, targets, words) <= TOLERANCE / 10:
+                break
+            g = got - targets + w * x
+            step = -np.linalg.solve(m + w * np.eye(len(x)), g)
+            slope, size = -(g @ step), 1.0
+            while True:
+                got, m = totals(x + size * step)
+                ahead = (got - targets + w * (x + size * step)) @ step
+                if ahead <= 0.5 * slope or size < 1e-12:
+                    break
+                size *= min(0.5, max(0.1, slope / (slope + ahead)))
+            x = x + size * step
+        else:
+            LOG.warning("mixing: no optimum of weight %g after 100 steps", w / words)
+    return x
+
+
 def fit_rates(scored: DataFrame, weights: list[float], limit: float | None, total: float | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, targets): the descent's steps in posterior space, from which each rate follows, and the target totals.
+    """(steps, targets): the steps in posterior space from which each rate follows, and the target totals.
 
-    One aggregation a round over the distinct posteriors; only sums by domain come to the driver.
+    The steps are the descent's, or a single one from solve(). One aggregation a round over the distinct posteriors; only sums by domain come to the driver.
     """
     d = len(weights)
     groups = materialize(scored.groupBy("posterior").agg(F.sum("n_tokens").cast("double").alias("n")).filter("n > 0"), "posteriors")
@@ -64,16 +106,37 @@ def fit_rates(scored: DataFrame, weights: list[float], limit: float | None, tota
     m = np.zeros((d, d))
     m[np.triu_indices(d)] = moments[1:]
     m = np.maximum(m, m.T)
-    eta = 1 / np.linalg.eigvalsh(m)[-1]
+    low, *_, high = np.linalg.eigvalsh(m)
+    eta = 1 / high
     steps: list[np.ndarray] = []
-    for _ in range(rounds):
-        r = rate(F.col("posterior"), np.array(steps).reshape(-1, d), limit, ahead=True)
-        sums = groups.agg(*[F.sum(F.col("n") * r * p[k]) for k in range(d)]).first()
-        step = eta * (targets - np.array(sums, float))
-        steps.append(step)
-        if np.abs(step).max() < 1e-7:
-            break
+
+    def totals(r: Column) -> np.ndarray:
+        return np.array(groups.agg(*[F.sum(F.col("n") * r * p[k]) for k in range(d)]).first(), float)
+
+    def with_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = sum((p[k] * float(x[k]) for k in range(d)), F.lit(1.0))
+        free = (y > 0) if limit is None else (y > 0) & (y < float(limit))
+        r = rate(F.col("posterior"), x[None, :], limit)
+        sums = groups.select("n", "posterior", r.alias("r"), free.cast("double").alias("free")).agg(
+            *[F.sum(F.col("n") * F.col("r") * p[k]) for k in range(d)], *[F.sum(F.col("n") * F.col("free") * p[i] * p[j]) for i in range(d) for j in range(i, d)]
+        ).first()
+        own = np.zeros((d, d))
+        own[np.triu_indices(d)] = sums[d:]
+        return np.array(sums[:d], float), np.maximum(own, own.T)
+
+    if high <= UNEVEN * low:
+        for _ in range(rounds):
+            step = eta * (targets - totals(rate(F.col("posterior"), np.array(steps).reshape(-1, d), limit, ahead=True)))
+            steps.append(step)
+            if np.abs(step).max() < 1e-7:
+                break
+        got = totals(rate(F.col("posterior"), np.array(steps), limit))
+    if not steps or off_target(got, targets, words) > TOLERANCE:
+        steps = [solve(with_moments, targets, words)]
+        got = with_moments(steps[0])[0]
     discard(groups)
+    report = LOG.warning if off_target(got, targets, words) > TOLERANCE else LOG.info
+    report("mixing: shares %s for targets %s, in tokens %s for %s", got / words, share, got, targets)
     return np.array(steps), targets
 
 

@@ -347,6 +347,33 @@ def test_rates_meet_targets(spark):
     assert np.abs(last - r).max() < 1e-6
 
 
+@pytest.mark.parametrize(("gap", "weights", "limit"), [(2, [0.9, 0.07, 0.03], None), (5, [0.9, 0.07, 0.03], None), (4, [0.985, 0.01, 0.005], 1.0)])
+def test_soft_posteriors_and_a_rare_domain(spark, gap, weights, limit):
+    """Reachable targets are met; unreachable ones as nearly as by a long descent."""
+    rng = np.random.default_rng(5)
+    label = rng.choice(3, 4000, p=[0.8, 0.15, 0.05])
+    z = rng.normal(size=(4000, 3))
+    z[np.arange(4000), label] += gap
+    q = np.rint(np.exp(z) / np.exp(z).sum(1, keepdims=True) * 1000).astype(int)
+    n = rng.integers(10, 500, 4000)
+    df = spark.createDataFrame([(int(n[i]), [int(v) for v in q[i]]) for i in range(4000)], "n_tokens long, posterior array<short>")
+    steps, targets = mixing.fit_rates(df, weights, limit)
+    r = np.array([x["r"] for x in df.select(mixing.rate(F.col("posterior"), steps, limit).alias("r")).collect()])
+    assert r.min() >= 0 and r.max() <= (limit or np.inf)
+    got = (q / 1000 * (n * r)[:, None]).sum(0)
+    y = last = np.ones(4000)
+    m = (q.T / 1000 * n) @ (q / 1000)
+    for t in range(3000):
+        res = targets - (q / 1000 * (n * y)[:, None]).sum(0)
+        new = np.clip(y + q / 1000 @ res / np.linalg.eigvalsh(m)[-1], 0, limit)
+        y, last = new + (new - last) * t / (t + 3), new
+    best = np.linalg.norm(targets - (q / 1000 * (n * last)[:, None]).sum(0))
+    if limit is None:
+        assert np.abs(got / targets - 1).max() < 1e-3
+    else:
+        assert best > 0.1 * n.sum() and np.linalg.norm(targets - got) <= best * (1 + 1e-6)
+
+
 def test_mix_of_odd_rows(spark):
     labels = spark.createDataFrame([(3, 0), (5, 1)], "doc_id long, label int")
     out = mixing.mix(docs(spark, ODD), labels, [0.5, 0.5]).collect()

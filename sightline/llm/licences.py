@@ -4,15 +4,18 @@ Shingles are five words (lower case, ASCII punctuation as space); a template of
 them. Windows are three adjacent blocks, taken at every block, whose size fits the template's so that a run as long as
 the template lies whole in some window. A window that holds 0.8 of a template then has a Jaccard similarity of a third or
 more with it; with one register a band and 40 bands it shares a band with probability 1 - (2/3) ** 40 = 1 - 9e-8.
-A template is found where a window holds at least LEAST of its distinct shingles; the span runs from the first to the
-last word of those.
+A template is found where a window holds at least LEAST of its distinct shingles. Its spans there begin and end with a
+shingle of the template. Those that begin with its first and end with its last come first, then those that have more of the
+template for their length, then the earliest, and each span that is disjoint from those before it is a match of its own.
 
-Defined cases: a null or empty text has no matches; equal texts get equal matches; overlapping windows that find one
-template give the window that holds most of it, ties to the earliest; further columns are left alone.
+Defined cases: a null or empty text has no matches; equal texts get equal matches; a notice that a text holds several
+times, side by side or apart, gives a match each; matches are in order of template and place; further columns are left
+alone.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +58,53 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ragged.span_hashes(data, starts, ends), rows
 
 
+#: (rough, -fit, start, end, share): how many ends aren't the template's own, and common shingles to all of both.
+Match = tuple[int, float, int, int, float]
+
+
+def spans(code: np.ndarray, width: int, head: int, tail: int) -> list[Match]:
+    """Disjoint matches of a window, start and end as its first and last shingle, best first.
+
+    code is each shingle's number among the template's width distinct ones, or -1; head and tail are the template's ends.
+    """
+    place = np.flatnonzero(code >= 0)
+    code = code[place]
+    n = len(code)
+    order = np.argsort(code, kind="stable")
+    again = code[order][1:] == code[order][:-1]
+    before, after = np.full(n, -1), np.full(n, n)
+    before[order[1:][again]] = order[:-1][again]
+    after[order[:-1][again]] = order[1:][again]
+    k = np.arange(n)
+    new = (before[None, :] < k[:, None]) & (k[None, :] >= k[:, None])
+    share = np.cumsum(new, axis=1) / width
+    # an end that isn't the template's own has to be held once, else the span is longer than need be
+    tight = ((after[:, None] > k[None, :]) | (code == head)[:, None]) & (new | (code == tail)[None, :])
+    first, last = np.nonzero(tight & (k[None, :] >= k[:, None]) & (share >= LEAST - 1e-12))
+    size, share = place[last] - place[first] + 1, share[first, last]
+    rough = (code[first] != head).astype(int) + (code[last] != tail)
+    fit = share * width / (width + size - share * width)
+    rank = np.lexsort((first, -fit, rough))
+    out = []
+    while len(rank):
+        best = rank[0]
+        out.append((int(rough[best]), -float(fit[best]), int(place[first[best]]), int(place[last[best]]), float(share[best])))
+        rank = rank[(last[rank] < first[best]) | (first[rank] > last[best])]
+    return out
+
+
+def disjoint(matches: set[Match]) -> list[Match]:
+    """The matches that overlap no better one, by place."""
+    starts: list[int] = []
+    kept: list[Match] = []
+    for m in sorted(matches):
+        i = bisect.bisect_left(starts, m[2])
+        if (i == 0 or kept[i - 1][3] <= m[2]) and (i == len(kept) or m[3] <= starts[i]):
+            starts.insert(i, m[2])
+            kept.insert(i, m)
+    return kept
+
+
 class Templates:
     """The templates by shingle size and block size, with their registers."""
 
@@ -62,6 +112,7 @@ class Templates:
         self.names = sorted(texts)
         h, rows = word_hashes(pa.array([texts[n] for n in self.names]))
         self.sets: list[np.ndarray] = []
+        self.ends: list[tuple[int, int]] = []
         self.groups: dict[int, dict[int, list[int]]] = {}
         for i in range(len(self.names)):
             own = h[rows[i] : rows[i + 1]]
@@ -70,13 +121,14 @@ class Templates:
                 raise ValueError(f"template {self.names[i]!r} has no words")
             g, _ = ragged.grams(own, np.array([0, len(own)]), size)
             self.sets.append(np.unique(g))
+            self.ends.append(tuple(np.searchsorted(self.sets[-1], g[[0, -1]])))
             block = max(1, round(2 ** (np.ceil(2 * np.log2(len(g))) / 2) / 2 + 0.49))
             self.groups.setdefault(size, {}).setdefault(block, []).append(i)
 
     def scan(self, column: pa.Array) -> dict[int, list[tuple[str, int, int, float]]]:
         """Matches by row."""
         h, rows = word_hashes(column)
-        out: dict[int, dict[int, tuple[float, int, int]]] = {}
+        out: dict[int, dict[int, set[Match]]] = {}
         for size, blocks in self.groups.items():
             g, at = ragged.grams(h, rows, size)
             if not len(g):
@@ -106,15 +158,12 @@ class Templates:
                     begin, own, _ = cuts[block]
                     row = int(own[b])
                     lo, hi = int(begin[b]), min(int(begin[b]) + 3 * block, int(at[row + 1]))
-                    inside = np.isin(g[lo:hi], own_set)
-                    share = len(np.unique(g[lo:hi][inside])) / len(own_set)
-                    if share >= LEAST - 1e-12:
-                        place = np.flatnonzero(inside)
-                        match = (-share, lo - int(at[row]) + int(place[0]), lo - int(at[row]) + int(place[-1]) + size)
-                        old = out.setdefault(row, {}).get(t)
-                        if old is None or match < old:
-                            out[row][t] = match
-        return {r: [(self.names[t], s, e, -c) for t, (c, s, e) in sorted(m.items())] for r, m in out.items()}
+                    place = np.minimum(np.searchsorted(own_set, g[lo:hi]), len(own_set) - 1)
+                    code = np.where(own_set[place] == g[lo:hi], place, -1)
+                    if len(np.unique(code[code >= 0])) >= (LEAST - 1e-12) * len(own_set):
+                        lo -= int(at[row])
+                        out.setdefault(row, {}).setdefault(t, set()).update((r, f, lo + s, lo + e + size, c) for r, f, s, e, c in spans(code, len(own_set), *self.ends[t]))
+        return {r: [(self.names[t], s, e, c) for t, matches in sorted(m.items()) for _, _, s, e, c in disjoint(matches)] for r, m in out.items()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

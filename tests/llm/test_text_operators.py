@@ -323,6 +323,25 @@ def test_licence_spans(spark):
     assert (m["name"], m["start"], m["end"], m["containment"]) == ("mit-short", 2, 7, 1.0)
 
 
+def test_licences_held_several_times(spark):
+    """A notice twice side by side, far apart, edited, and often: a match each."""
+    short, mit, bsd = licences.TEMPLATES["mit-short"], licences.TEMPLATES["mit"], licences.TEMPLATES["bsd"]
+    fill = " ".join(f"f{k}" for k in range(700))
+    edited = mit.split()
+    edited[40] = "zzz"
+    texts = [f"{mit} {mit}", f"{bsd} {fill} {bsd}", f"x {short} y {short} {short}", f"{' '.join(edited)} {fill} {mit} end", " ".join([bsd] * 30), f"{short} {fill} {mit}"]
+    texts.append(" ".join([*edited, *mit.replace("Software.", "zzz", 1).split()]))
+    got = {r["doc_id"]: [(m["name"], m["start"], m["end"], m["containment"]) for m in r["licences"]] for r in licences.scan(docs(spark, texts)).collect()}
+    (n, k, b), rows = [len(licences.word_hashes(pa.array([x]))[0]) for x in (mit, short, bsd)], range(30)
+    assert got[0] == [("mit", 0, n, 1.0), ("mit", n, 2 * n, 1.0)]
+    assert got[1] == [("bsd", 0, b, 1.0), ("bsd", b + 700, 2 * b + 700, 1.0)]
+    assert got[2] == [("mit-short", 1, 1 + k, 1.0), ("mit-short", 2 + k, 2 + 2 * k, 1.0), ("mit-short", 2 + 2 * k, 2 + 3 * k, 1.0)]
+    assert [m[:3] for m in got[3]] == [("mit", 0, n), ("mit", n + 700, 2 * n + 700)] and 0.8 <= got[3][0][3] < got[3][1][3] == 1.0
+    assert got[4] == [("bsd", i * b, (i + 1) * b, 1.0) for i in rows]
+    assert got[5] == [("mit", 700 + k, 700 + k + n, 1.0), ("mit-short", 0, k, 1.0)]
+    assert [m[:3] for m in got[6]] == [("mit", 0, n), ("mit", n, 2 * n)] and all(0.8 <= m[3] < 1 for m in got[6])
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 

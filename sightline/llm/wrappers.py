@@ -5,7 +5,9 @@ then aligned one after another with the wrapper so far, and what one of the two
 differs in text a slot. A wrapper's slots carry the path of open elements and how much text and how much of it in links
 they were seen with; the article is the subtree of the slots that an article or main element marks, or else of the
 container whose slots hold most text outside links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are told by element, role, class and id names, and are no part of any slot.
+styles and comments are told by element, role, class and id names, and are no part of any slot. An element told by class
+or id alone is kept if it holds an article or main, or half of the page's text outside links, unless the name is one of
+readers' comments; a main resumes inside any element left out, an article in those but comments, aside and footer.
 
 Streams are folded and pre-aggregated by host before a shuffle, and merged in bounded shares, so a host may hold any
 number of pages. Defined cases: null html gives an empty text, a null or odd url the host ''; a page without the chosen
@@ -58,18 +60,24 @@ _OPENS_BLOCK = BLOCKS - frozenset(["html", "body", "head"])
 _SCOPE = frozenset("article main section div table ul ol dl blockquote body html td th aside nav form".split())
 
 
-def mark(name: str, attributes: str) -> tuple[str, bool]:
-    """(name with its class and id words, whether it is outside any article)."""
+#: Why an element is outside any article: its name, role or style; a class or id; one that tells comments.
+ELEMENT, NAMED, REMARKS = 1, 2, 3
+
+
+def mark(name: str, attributes: str) -> tuple[str, int]:
+    """(name with its class and id words, why it is outside any article, or 0)."""
     if name in ASIDE:
-        return name, True
+        return name, ELEMENT
     if not attributes or attributes.isspace():
-        return name, False
-    words, outside = [], False
+        return name, 0
+    words, outside, named = [], False, 0
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
             parts = [w for w in _WORDS.split(value) if w]
-            outside |= any(w in NAMES or (w.startswith(STEMS) and w != "commentary") for w in parts)
+            for w in parts:
+                if w in NAMES or (w.startswith(STEMS) and w != "commentary"):
+                    named = max(named, REMARKS if w.startswith(("comment", "disqus", "discussion", "repl", "respond")) else NAMED)
             words += [w for w in parts if not w.isdigit()]
         elif key == "role":
             outside |= value in ROLES
@@ -77,8 +85,66 @@ def mark(name: str, attributes: str) -> tuple[str, bool]:
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             outside = True
     if name in ("html", "body", "article", "main"):
-        outside = False
-    return (f"{name}.{'.'.join(sorted(set(words))[:4])}" if words else name), outside
+        outside, named = False, 0
+    return (f"{name}.{'.'.join(sorted(set(words))[:4])}" if words else name), ELEMENT if outside else named
+
+
+def implied(opened: list[tuple], name: str) -> int:
+    """How many of the open elements stay open at a start tag: a block ends an open p, an item its like, body the head."""
+    ends = _CLOSES.get(name, frozenset("p") if name in _OPENS_BLOCK else frozenset(["head"]) if name == "body" else frozenset())
+    stay = len(opened)
+    for i in range(len(opened) - 1 if ends else -1, -1, -1):
+        if opened[i][0] in ends:
+            stay = i
+        elif opened[i][0] in _SCOPE:
+            break
+    return stay
+
+
+def extents(s: str) -> tuple[dict[int, tuple[int, int, bool]], int]:
+    """(place of each start tag -> (end of its element, text outside links in it, whether it holds an article or main), all such text)."""
+    out: dict[int, tuple[int, int, bool]] = {}
+    opened: list[tuple[str, int, int, int]] = []
+    at = plain = marked = links = 0
+
+    def pop(depth: int, end: int) -> None:
+        nonlocal links
+        while len(opened) > depth:
+            name, place, before, seen = opened.pop()
+            links -= name == "a"
+            out[place] = end, plain - before, marked > seen
+
+    found = _TOKEN.search(s)
+    while found:
+        if not links:
+            plain += len(s[at : found.start()].strip())
+        at = found.end()
+        name = found[2].lower() if found[2] else None
+        if name and found[1]:
+            depth = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
+            if depth is not None:
+                pop(depth, at)
+        elif name in RAW:
+            at = raw_end(found, s)
+            out[found.start()] = at, 0, False
+        elif name and name not in VOID:
+            pop(implied(opened, name), found.start())
+            marked += name in ("article", "main")
+            opened.append((name, found.start(), plain, marked))
+            links += name == "a"
+        found = _TOKEN.search(s, at)
+    if not links:
+        plain += len(s[at:].strip())
+    pop(0, len(s))
+    return out, plain
+
+
+def raw_end(found: re.Match, s: str) -> int:
+    """Where an element of raw text ends; svg and math may end themselves."""
+    name = found[2].lower()
+    if name in ("svg", "math") and found[3].endswith("/"):
+        return found.end()
+    return _RAW_END[name].search(s, found.end()).end()
 
 
 class Page:
@@ -115,64 +181,57 @@ class Page:
             self._links += len(text.strip())
 
     def _read(self, s: str) -> None:
-        at, skip, depth = 0, None, 0
+        # skips: (end, whether an article may resume) of the elements that are left out and that resume, innermost last
+        at, skips, extent = 0, [], None
         found = _TOKEN.search(s)
         while found:
+            skip = self._skipped(skips, at)
             if not skip and found.start() > at:
                 self._text(s[at : found.start()])
             at = found.end()
+            skip = self._skipped(skips, found.start())
             name = found[2].lower() if found[2] else None
             if name is None:
                 pass
             elif found[1]:
-                if skip:
-                    if name == skip:
-                        depth -= 1
-                        if not depth:
-                            skip = None
-                    elif name in ("article", "main", "body", "html") and any(n == name for n, _ in self._open):
-                        skip = None
-                        self._close(name)
-                else:
+                if not skip:
                     self._close(name)
+            elif name in RAW:
+                at = raw_end(found, s)
             else:
                 key, outside = mark(name, found[3].rstrip("/"))
-                if name in RAW:
-                    at = _RAW_END[name].search(s, at).end()
-                elif skip:
-                    if name in ("article", "main") and skip in ("nav", "header", "menu", "head"):
-                        skip = None
-                        self._start(name, key)
-                    elif name == "body" and skip == "head":
-                        skip = None
+                if (outside or skip) and name not in VOID and extent is None:
+                    extent, plain = extents(s)
+                end, held, marked = extent[found.start()] if extent and name not in VOID else (at, 0, False)
+                if skip:
+                    if name == "main" or (name == "article" and skips[-1][1]):
+                        skips.append((end, None))
                         self._start(name, key)
-                    elif name == skip and name not in VOID:
-                        depth += 1
+                elif outside == NAMED and (marked or (held > 0 and 2 * held >= plain)):
+                    self._start(name, key)
                 elif outside:
                     if name in BLOCKS:
                         self._close_for(name)
                         self._flush()
                     if name not in VOID:
-                        skip, depth = name, 1
+                        skips.append((end, outside != REMARKS and name not in ("aside", "footer")))
                 else:
                     self._start(name, key)
             found = _TOKEN.search(s, at)
-        if not skip and at < len(s):
+        if not self._skipped(skips, at) and at < len(s):
             self._text(s[at:])
         self._flush()
         self._pop(0)
 
+    @staticmethod
+    def _skipped(skips: list[tuple[int, bool | None]], at: int) -> bool:
+        while skips and skips[-1][0] <= at:
+            skips.pop()
+        return bool(skips) and skips[-1][1] is not None
+
     def _close_for(self, name: str) -> None:
-        """End the elements that a start tag ends: a block ends an open p, an item its like."""
-        ends = _CLOSES.get(name, frozenset("p") if name in _OPENS_BLOCK else frozenset())
-        if not ends:
-            return
-        for i in range(len(self._open) - 1, -1, -1):
-            n = self._open[i][0]
-            if n in ends:
-                self._pop(i)
-            elif n in _SCOPE and n not in ends:
-                return
+        """End the elements that a start tag ends."""
+        self._pop(implied(self._open, name))
 
     def _start(self, name: str, key: str) -> None:
         self._close_for(name)

@@ -68,6 +68,20 @@ def test_pages_against_their_article(spark):
         assert "".join(got[r["page_id"]].split()) == "".join(words)
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='layout has-sidebar'><article><p>{0}</p></article></div>", "<div class=no-sidebar><div><p>{0}</p></div></div>", "<div class=page-with-menu><main><p>{0}</p></main></div>",
+        "<section class=social-science><p>{0}</p></section>", "<div class=search-result><p>{0}</p><div class=sidebar>menu</div></div>", "<p class=ad>x<p>{0}</p>", "<ul><li class=ad>x<li>{0}</ul>",
+        "<svg/><p>{0}</p><svg><text>no</text></svg>", "<form><article><p>{0}</p></article><p>q</p></form>",
+    ],
+)
+def test_names_and_implied_ends_keep_the_article(body):
+    text = ("long text " * 30).strip()
+    page = wrappers.Page(f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav>{body.format(text)}<div class=comments><article>so true</article></div></body></html>")
+    assert wrappers.text_of(page, None) == text and [t for _, t, _ in page.blocks] == [text]
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ pyarrow's file systems, so the folder may be local (one machine), a shared mount
 
 Defined cases: a null payload is an empty one; a null uri is written as an empty target; an empty table gives an empty
 result and no file; rows may repeat or tie in anything but `record_id`, which has to be unique; further columns of the
-input are ignored. A null record_id is an error, as no record can be written for it.
+input are ignored. Rows with a null record_id, any number of them, are written in full under a name of their own and read
+back with a null record_id.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of payload and of dictionary that a task's first records give the dictionary trainer.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 32 << 10
+#: What the name of a record without an id begins with.
+UNNUMBERED = "null-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "archive string, records long, bytes long"
 RECORD = "record_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -54,14 +57,14 @@ def sha1_label(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record_bytes(record_id: int, uri: str, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def record_bytes(record_id: int | None, uri: str, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     """One WARC record, headers and block; a revisit keeps the HTTP header and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:record:{record_id}>",
+        f"WARC-Record-ID: <urn:record:{UNNUMBERED + uuid.uuid4().hex if record_id is None else record_id}>",
         f"WARC-Target-URI: {' '.join(uri.split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: {sha1_label(digest)}",
@@ -161,7 +164,8 @@ def parse_record(record: bytes) -> dict:
         raise ArchiveError("block digest differs")
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(x.partition(":")[2]) for x in http.decode().split("\r\n") if x.lower().startswith("content-length:"))
-    number = lambda name: int(fields[name].removeprefix("<urn:record:").removesuffix(">"))
+    named = lambda name: fields[name].removeprefix("<urn:record:").removesuffix(">")
+    number = lambda name: None if named(name).startswith(UNNUMBERED) else int(named(name))
     kind = fields["warc-type"]
     if kind == "response" and (len(payload) != length or sha1_label(hashlib.sha1(payload).digest()) != fields["warc-payload-digest"]):
         raise ArchiveError("payload doesn't fit its length or digest")

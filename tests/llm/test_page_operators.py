@@ -123,6 +123,17 @@ def test_broken_archives_are_refused():
             list(warc.read_archive(io.BytesIO(raw)))
 
 
+def test_pages_without_an_id(spark):
+    """Null ids come back as nulls, in full; a page with an id never refers to one without."""
+    big = "z" * 2000
+    rows = [(None, "u", big), (None, "v", big), (1, "w", big), (2, "x", big), (None, None, None), (None, "y", "y" * 1500), (None, "y", "y" * 1500)]
+    got = warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    want = [(i, u or "", len(h or ""), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, u, h in rows]
+    assert sorted(((r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
+    assert {r["payload_digest"] for r in got} == {hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}
+
+
 # --- conversations ---------------------------------------------------------------------------------------------------
 
 

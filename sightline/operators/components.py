@@ -25,4 +25,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = new.select("id", "label")
         if not changed:
+            discard(both)
             return labels

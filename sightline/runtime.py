@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,54 @@ def _fallback_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()).rstrip("/")
+    """The folder every executor can reach: spark.checkpoint.dir, or else what setCheckpointDir() was given.
+
+    Where neither is set, a temporary folder serves a local master (tests); any other master is an error, as executors
+    don't see each other's folders.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (found or _fallback_dir()).rstrip("/")
+
+
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the driver delete a folder of intermediate files when it ends, if nothing did before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The table lasts until discard(), or else until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by materialize() that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by materialize() that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark._jvm
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: Iterable[str], stem: str) -> str:
+    """A column name that begins with stem and is none of columns, whatever their case."""
+    taken, name = {c.lower() for c in columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

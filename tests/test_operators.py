@@ -246,3 +246,13 @@ def test_dense_ids_and_checks(spark):
 
 def test_upper_median(spark):
     assert spark.range(1).select(pairs.upper_median(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))).first()[0] == 3.0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from sightline import runtime
+
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError, match="share"):
+            runtime.shared_dir(spark)
+    assert runtime.unused(["a", "_X", "_x_"], "_x") == "_x__" and runtime.unused([], "_x") == "_x"

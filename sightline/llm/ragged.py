@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,41 @@ _POW: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse up to the n-th; those for a longer text than most aren't kept."""
     if not _POW or len(_POW[0]) < n + 1:
-        n = max(n + 1, 1 << 16)
-        up, down = (np.full(n, m, np.uint64) for m in (_MULT, _INV))
+        up, down = (np.full(max(n + 1, 1 << 16), m, np.uint64) for m in (_MULT, _INV))
         up[0] = down[0] = 1
-        _POW[:] = [np.cumprod(up), np.cumprod(down)]
+        made = [np.cumprod(up), np.cumprod(down)]
+        if n > 2 * CHUNK_BYTES:
+            return made[0], made[1]
+        _POW[:] = made
     return _POW[0], _POW[1]
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library keeps what it keeps
+
+
+def released(work: Work) -> Work:
+    """work, with the worker's free memory given back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts hold about `most` bytes; a single longer row is a slice."""
     for b in batches:

@@ -5,9 +5,9 @@ back, checks every frame, header, length and digest, and returns one row per rec
 pyarrow's file systems, so the folder may be local (one machine), a shared mount or an object store.
 
 Defined cases: a null payload is an empty one; a null uri is written as an empty target; an empty table gives an empty
-result and no file; rows may repeat or tie in anything but `record_id`, which has to be unique; further columns of the
-input are ignored. Rows with a null record_id, any number of them, are written in full under a name of their own and read
-back with a null record_id.
+result and no file; rows may repeat or tie in anything, `record_id` included: a record is written and read back for each row,
+and the rows of one id and payload get the same decision; further columns of the input are ignored. Rows with a null
+record_id, any number of them, are written in full under a name of their own and read back with a null record_id.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.runtime import materialize, shared_dir
+from sightline.llm import ragged
+from sightline.runtime import delete_at_exit, materialize, shared_dir
 
 #: Magic number of the skippable frame that holds the dictionary, as the Zstandard WARC convention fixes it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -78,13 +79,11 @@ def record_bytes(record_id: int | None, uri: str, payload: bytes, digest: bytes,
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary from sample records, or none where they are too few to train one."""
-    if len(samples) < 8:
-        return b""
+    """A dictionary trained on sample records; where they are too few or too alike for that, their beginning is one as it is."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b"".join(samples)[:DICTIONARY_BYTES]
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 class ArchiveWriter:
@@ -184,12 +183,13 @@ def with_revisits(df: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(record_id, uri, payload, refers_to): which record holds each payload.
 
     Only (digest, length, id) are shuffled for the decision, pre-aggregated to one row per payload and task, and only
-    digests found twice come back; bodies meet the decision on their unique id, so no group of copies meets in a task.
+    digests found twice come back; bodies meet the decision on their id and digest, so no group of copies meets in a task.
     """
-    keyed = df.select("record_id", F.sha1(F.coalesce("payload", F.encode(F.lit(""), "utf-8"))).alias("digest"), F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size")).filter(F.col("size") >= least)
+    digest, size = F.sha1(F.coalesce("payload", F.encode(F.lit(""), "utf-8"))).alias("digest"), F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size")
+    keyed = df.select("record_id", digest, size).filter(F.col("size") >= least)
     chosen = keyed.groupBy("digest", "size").agg(F.max("record_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "refers_to")
-    decided = keyed.join(chosen, ["digest", "size"]).filter("record_id <> refers_to").select("record_id", "refers_to")
-    return df.select("record_id", "uri", "payload").join(decided, "record_id", "left")
+    decided = keyed.join(chosen, ["digest", "size"]).filter("record_id <> refers_to").select("record_id", "digest", "refers_to").distinct()
+    return df.select("record_id", "uri", "payload", digest).join(decided, ["record_id", "digest"], "left").drop("digest")
 
 
 def write_archives(df: DataFrame, folder: str) -> DataFrame:
@@ -229,7 +229,7 @@ def write_archives(df: DataFrame, folder: str) -> DataFrame:
             done.append(writer.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("archive", "records", "bytes"), d, strict=True)) for d in done], pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return df.select("record_id", "uri", "payload", "refers_to").mapInArrow(write, WRITTEN)
+    return df.select("record_id", "uri", "payload", "refers_to").mapInArrow(ragged.released(write), WRITTEN)
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -255,13 +255,14 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive", "records").mapInArrow(read, RECORD)
+    return archives.select("archive", "records").mapInArrow(ragged.released(read), RECORD)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write a record per page, read the archives back, one digest row per page."""
     rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     written = materialize(write_archives(with_revisits(rows), folder), "warc-index")
     files = max(1, written.count())
     spread = written.repartition(min(files, 100_000), "archive")

@@ -9,8 +9,9 @@ Texts of equal words are one text from the start. Texts that share a band are ca
 far as they aren't connected otherwise: see links().
 
 Defined cases: a null text or one without words is in a class of its own and isn't a duplicate of anything, so is a row
-with a null id (its class is null); a class's id is its smallest doc_id and that document stays; ids are unique; an
-empty table gives an empty result; further columns are left alone.
+with a null id (its class is null); a class's id is its smallest doc_id and that document stays; rows that repeat an id are one
+document, whose text is the smallest of theirs, and one row of them is kept if it stays; an empty table gives an empty result; further
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm import ragged
 from sightline.operators.components import components
-from sightline.runtime import BROADCAST_BYTES, broadcast_if_small, discard, materialize
+from sightline.runtime import BROADCAST_BYTES, broadcast_if_small, discard, materialize, unused
 
 SHINGLE, LEAST = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 30 = 7e-6.
@@ -138,7 +139,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), lists], ["doc_id", "hi", "lo", "bands"]).filter(pa.array(full))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(work, "doc_id long, hi long, lo long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(ragged.released(work), "doc_id long, hi long, lo long, bands array<long>")
 
 
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     found.append((leader, doc, probability_jaccard(*held, *own)))
             yield pa.RecordBatch.from_pydict({"leader": pa.array([f[0] for f in found], pa.int64()), "member": pa.array([f[1] for f in found], pa.int64()), "sim": pa.array([f[2] for f in found], pa.float64())})
 
-    return dealt.mapInArrow(work, "leader long, member long, sim double")
+    return dealt.mapInArrow(ragged.released(work), "leader long, member long, sim double")
 
 
 def block_links(g: np.ndarray, w: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -243,6 +244,7 @@ def dense_links(texts: DataFrame, members: DataFrame) -> DataFrame:
             if p != q:
                 parent[p] = q
                 out.append((rep[a], rep[b]))
+        ragged.release()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return rows.groupBy("cluster", "u", "v").applyInArrow(meet, "a long, b long")
@@ -287,12 +289,13 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     cell = cell.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("head")), "leader", "left").withColumn("head", F.coalesce("head", "leader"))
     cell = materialize(cell.select("band", "n", "rep", "leader", "sim", "label", (F.col("label") != F.coalesce("head", "leader")).alias("open")), "cell")
     busy = cell.filter("open").select("band").distinct()
-    cell = cell.join(busy, "band", "left_semi")
-    large, small = cell.filter(F.col("n") > LARGE), cell.filter(F.col("n") <= LARGE)
+    live = cell.join(busy, "band", "left_semi")
+    large, small = live.filter(F.col("n") > LARGE), live.filter(F.col("n") <= LARGE)
     cluster = components(large.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     members = large.groupBy("rep").agg(F.first("label").alias("label"), F.max("open").alias("open")).join(cluster.select(F.col("id").alias("rep"), F.col("label").alias("cluster")), "rep")
     members = materialize(members, "members")
-    edges = edges.union(materialize(dense_links(texts, members), "dense"))
+    dense = materialize(dense_links(texts, members), "dense")
+    edges = edges.union(dense)
     apart = small.filter("open").select("band", F.col("rep").alias("u"), F.col("label").alias("ul"), F.col("sim").alias("us"))
     others = small.filter("rep <> leader").select("band", F.col("rep").alias("v"), F.col("label").alias("vl"), F.col("sim").alias("vs"), F.col("open").alias("va"))
     # 1 - J_P is a metric, so similarities to the leader that differ by more than 1 - LEAST rule a link out
@@ -301,27 +304,61 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     # dense_links has compared two members of one cluster if either is open in a large bucket
     one, two = (members.select(F.col("rep").alias(c), F.col("cluster").alias(f"{c}c"), F.col("open").alias(f"{c}o")) for c in ("u", "v"))
     left = left.join(one, "u", "left").join(two, "v", "left").filter("uc is null or vc is null or uc <> vc or not (uo or vo)")
-    last = materialize(verify(texts, materialize(left.select(F.least("u", "v").alias("leader"), F.greatest("u", "v").alias("member")).distinct(), "open")), "seen")
+    apart_pairs = materialize(left.select(F.least("u", "v").alias("leader"), F.greatest("u", "v").alias("member")).distinct(), "open")
+    last = materialize(verify(texts, apart_pairs), "seen")
     out = components(edges.union(linked(last)))
-    for t in (cells, texts, pairs, rest):
-        discard(t)
+    discard(cells, texts, pairs, seen, rest, seen2, cell, members, dense, apart_pairs, last)
     return out
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, n) of the ids that more than one row has, or None where all are unique."""
+    found = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1")
+    found = materialize(found, "repeated")
+    return None if found.isEmpty() else found
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept) of every row of docs."""
+    """(doc_id, class_id, kept) of every row of docs; of rows that repeat an id one at most is kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = repeated_ids(docs)
+    if repeated is None:
+        return unique_classes(docs)
+    rest = docs.join(broadcast_if_small(repeated.select("doc_id"), 16), "doc_id", "left_anti")
+    merged = docs.join(broadcast_if_small(repeated.select("doc_id"), 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = unique_classes(rest.unionByName(merged))
+    again = repeated.select("doc_id", F.explode(F.sequence(F.lit(2).cast("long"), "n")).alias("_")).join(found, "doc_id")
+    return found.unionByName(again.select("doc_id", "class_id", F.lit(False).alias("kept")))
+
+
+def unique_classes(docs: DataFrame) -> DataFrame:
+    """classes() of rows (doc_id, text) whose ids are unique or null."""
     made = materialize(sketches(docs), "sketches")
     texts = materialize(made.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
     labels = links(docs, texts.select("rep", "bands"))
     named = texts.select("hi", "lo", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("class_id"))
     found = made.select("doc_id", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "class_id")
     # the smallest id among the distinct texts' smallest ids is the smallest of the class
-    alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    blank = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(made.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
+    alone = docs.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    blank = docs.filter("doc_id is not null and text is not null").select("doc_id").join(made.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
     return found.union(alone).union(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each class, all columns."""
-    gone = classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(broadcast_if_small(gone, 16, BROADCAST_BYTES), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs that stay: one of each class, all columns.
+
+    Of rows that repeat an id that stays the one of the smallest text does; of equal texts the one whose other columns hash lowest.
+    """
+    gone = unused(docs.columns, "gone")
+    found = materialize(classes(docs), "classes")
+    lost = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    out = lambda rows: rows.select(F.col("doc_id").alias(gone))
+    stay = docs.join(broadcast_if_small(out(lost.filter("doc_id is not null and not kept")), 16, BROADCAST_BYTES), F.col("doc_id") == F.col(gone), "left_anti")
+    twice = lost.filter("doc_id is not null and kept and n > 1")
+    if twice.isEmpty():
+        return stay
+    twice = broadcast_if_small(out(twice), 16, BROADCAST_BYTES)
+    same = F.col("doc_id") == F.col(gone)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(c) for c in docs.columns]))
+    one = stay.join(twice, same, "left_semi").withColumn(gone, F.row_number().over(order)).filter(F.col(gone) == 1).drop(gone)
+    return stay.join(twice, same, "left_anti").unionByName(one)

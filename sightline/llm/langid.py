@@ -39,9 +39,9 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """For each code point of the first two planes, whether it is a letter."""
+    """For each code point of the first four planes, whether it is a letter; no later plane has one."""
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)), bool, 0x30000))
+        _LETTERS.append(np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x40000)), bool, 0x40000))
     return _LETTERS[0]
 
 
@@ -59,7 +59,7 @@ def distinct_words(dictionary: pa.Array) -> Words:
     data, offs = ragged.buffer_of(pc.utf8_lower(dictionary))
     cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     rows = np.concatenate([[0], np.cumsum(ragged._LEAD[data])])[offs]
-    is_letter = letters()[np.minimum(cp, 0x2FFFF)]
+    is_letter = letters()[np.minimum(cp, 0x3FFFF)]
     bit = np.where(is_letter, np.uint64(1) << np.searchsorted(SCRIPT_STARTS, cp, "right").astype(np.uint64), np.uint64(0))
     script = np.zeros(len(rows) - 1, np.uint64)
     full = np.diff(rows) > 0
@@ -141,7 +141,7 @@ def train(docs: DataFrame) -> Model:
                 scripts[lang] = scripts.get(lang, 0) + times @ bits
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([x.tolist() for x in grams.values()], pa.list_(pa.float64())), pa.array([x.tolist() for x in scripts.values()], pa.list_(pa.float64()))], ["lang", "grams", "scripts"])
 
-    found = sample.mapInArrow(count, "lang string, grams array<double>, scripts array<double>").toArrow().to_pylist()
+    found = sample.mapInArrow(ragged.released(count), "lang string, grams array<double>, scripts array<double>").toArrow().to_pylist()
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.uint64))
@@ -238,7 +238,7 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), flat).cast(kind))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema.names)
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(ragged.released(work), schema)
 
 
 def held_out(column: str = "doc_id") -> Column:

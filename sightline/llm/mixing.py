@@ -5,13 +5,14 @@ rate, the expected tokens of domain d are the sum of r * n * p[d], and the squar
 over 0 <= r <= limit. Where the posteriors' moments are even, projected gradient descent with momentum does it. Where they
 aren't, or the descent ends beyond TOLERANCE of a target, Newton steps on the dual do: of the rates of least distance,
 those nearest to 1 are clip(1 + p . x) with one number x[d] a domain, see solve(). Documents of equal posteriors have equal
-rates either way: posteriors are defined to three decimals, and each round is one aggregation over their distinct values, a
-table of bounded size whatever the number of documents. Targets that aren't met within TOLERANCE are logged.
+rates either way: posteriors are rounded to thousandths that sum to one (each is less than a thousandth off), and each round is one
+aggregation over their distinct values, of three domains some 500 000 at most whatever the number of documents. Targets that aren't met within TOLERANCE are logged.
 A document's copies are its rate's whole part and one more where a hash of its id falls below the rest, so runs agree.
 
 Defined cases: a null or empty text has no words, weighs nothing and gets the rate of its posteriors; without labelled
 rows the posteriors are even; an unreachable target is met as nearly as the limits allow, and logged; weights are scaled to sum to 1;
-a null id draws from the hash of null; equal texts get equal rates; further columns are left alone.
+a null id draws from the hash of an empty one; equal texts get equal rates, and rows of one id one draw; the result has a row for
+each of docs, with doc_id and the columns made here: texts and further columns are not carried along.
 """
 
 from __future__ import annotations
@@ -48,11 +49,18 @@ def posteriors(docs: DataFrame, model: linear.Model | None, domains: int) -> Dat
         for b in ragged.chunks(batches, "text"):
             data, offs = ragged.buffer_of(b["text"])
             p = model.probabilities(data, offs) if model is not None else np.full((b.num_rows, domains), 1 / domains)
-            q = np.rint(p * 10**DIGITS).astype(np.int16)
+            q = thousandths(p)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, domains, dtype=np.int32)), pa.array(q.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(ragged.words(data, offs)[2])), lists], schema.names)
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(ragged.released(work), schema)
+
+
+def thousandths(p: np.ndarray) -> np.ndarray:
+    """Probabilities in units of 10 ** -DIGITS that sum to one in each row: the largest remainders are rounded up, ties in order."""
+    q = np.floor(p * 10**DIGITS + 1e-9)
+    order = np.argsort(np.argsort(q - p * 10**DIGITS, axis=1, kind="stable"), axis=1)
+    return (q + (order < 10**DIGITS - q.sum(1, keepdims=True))).astype(np.int16)
 
 
 def off_target(got: np.ndarray, targets: np.ndarray, words: float) -> float:

@@ -4,7 +4,8 @@ A document is kept when it passes the base rules and its calibrated probability
 
 Defined cases: a null or empty text has no words and fails the base rules; equal texts get equal verdicts; a label row
 with a null id or a quality other than 0 or 1 is ignored, several labels of a document count as their smallest; without
-any label row every text has probability one half and the verdict is the base rules'; further columns are left alone.
+any label row every text has probability one half and the verdict is the base rules'; of several texts under a labelled id the
+smallest is learned from; rows may repeat; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -109,4 +110,4 @@ def assess(docs: DataFrame, model: linear.Model | None) -> DataFrame:
             p = model.probabilities(data, offs)[:, 1] if model is not None else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c[k].astype(np.int64)) for k in names[:5]), pa.array(failed), pa.array(p), pa.array(~failed & (p >= MIN_PROBABILITY))], [*b.schema.names, *names])
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(ragged.released(work), schema)

@@ -8,7 +8,8 @@ a backward A-star search, whose exact heuristics are the forward scores, lists t
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; ties prefer the longer last piece,
 and among alternatives the earlier segment; U+2581 in a text is spelled in bytes, so every text decodes to itself; the
-model's pieces for runs of spaces take no part; further columns are left alone.
+model's pieces for runs of spaces take no part; equal rows get equal results; columns named ids, nbest, swaps (or round_trip, where
+that is asked for) are replaced, further ones are left alone.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from sightline.llm import ragged
 
 #: Segmentations listed of each text; segments longer than this many bytes are searched one by one.
 NBEST, LONG = 4, 40
-#: Segments whose alternatives a worker remembers, and cells (segments times bytes) that are searched at once.
-KNOWN, CELLS = 20_000, 100_000
+#: Segments whose alternatives a task remembers, and cells (segments times bytes) that are searched at once.
+KNOWN, CELLS = 4000, 50_000
 #: Score of a byte piece below the lowest piece, and the score under which the model marks a piece as reserved.
 BYTE_PENALTY, RESERVED = 10.0, -1e8
 ENCODED = "ids array<int>, nbest array<double>, swaps array<array<struct<segment:int,ids:array<int>>>>"
@@ -45,7 +46,7 @@ def load(path: str) -> tuple[tuple[str, ...], tuple[float, ...], int]:
 
 
 class Lattice:
-    """The pieces as a byte trie in one table: row 0 is dead, row 1 the root."""
+    """The pieces as a byte trie: node 0 is dead, node 1 the root. The rows of its table lie inside one another, see packed()."""
 
     def __init__(self, pieces: tuple[str, ...], scores: tuple[float, ...], first_byte: int) -> None:
         self.first_byte = first_byte
@@ -68,8 +69,7 @@ class Lattice:
                     children[key], nodes = nodes, nodes + 1
                 at = children[key]
             ends[at] = i
-        self.next = np.zeros(nodes * self.width, np.int32)
-        self.next[list(children)] = list(children.values())
+        self.base, self.owner, self.child = packed(np.array(list(children), np.int64), np.array(list(children.values()), np.int32), nodes, self.width)
         self.piece = np.full(nodes, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
         self.score = np.full(nodes, -np.inf)
@@ -78,6 +78,11 @@ class Lattice:
         self.longest = max(len(self.bytes[i]) for i in used)
         self.known: dict[bytes, list[tuple[float, tuple[int, ...]]]] = {}
 
+    def step(self, node: np.ndarray, byte_class: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte's class, or the dead node."""
+        at = self.base[node] + byte_class
+        return np.where(self.owner[at] == node, self.child[at], 0)
+
     def edges(self, word: bytes) -> list[list[tuple[int, float, int]]]:
         """For each position the (end, score, id) of the pieces that start there."""
         out: list[list[tuple[int, float, int]]] = [[] for _ in word]
@@ -85,9 +90,10 @@ class Lattice:
         for i, lead in enumerate(word):
             at = 1
             for j in range(i, len(word)):
-                at = int(self.next[at * self.width + self.classes[word[j]]])
-                if not at:
+                place = int(self.base[at] + self.classes[word[j]])
+                if self.owner[place] != at:
                     break
+                at = int(self.child[place])
                 if self.piece[at] >= 0:
                     out[i].append((j + 1, float(self.score[at]), int(self.piece[at])))
             size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
@@ -138,7 +144,7 @@ class Lattice:
         node = np.full((n, size), 1, np.int32)
         scores, ids = [], []
         for k in range(1, top + 1):
-            node = self.next[node[:, : size - k + 1].astype(np.int64) * self.width + codes[:, k - 1 :]]
+            node = self.step(node[:, : size - k + 1], codes[:, k - 1 :])
             if not node.any():
                 break
             scores.append(self.score[node])
@@ -254,6 +260,44 @@ class Lattice:
         return lists, pa.array(best, pa.list_(pa.float64())), pa.array(swaps, pa.list_(pa.list_(pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))]))))
 
 
+def packed(keys: np.ndarray, children: np.ndarray, nodes: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base of each node, owner and child of each place) of the transitions node * width + class -> child.
+
+    A node's child by a class is at base + class, if the owner there is the node. Rows of several children take the first
+    place where all of theirs are free, the longest rows first; rows of one child then fill the gaps.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, children = keys[order], children[order]
+    node, byte_class = keys // width, keys % width
+    names, first, count = np.unique(node, return_index=True, return_counts=True)
+    base = np.zeros(nodes, np.int32)
+    owner = np.full(2 * len(keys) + 6 * width, -1, np.int32)
+    child = np.zeros(len(owner), np.int32)
+    free, low = np.ones(len(owner), bool), 0
+    free[-width:] = False  # so that base + class is a place for any class
+    for r in np.argsort(-count, kind="stable")[: int((count > 1).sum())]:
+        own = byte_class[first[r] : first[r] + count[r]]
+        at, span = low, 4 * width
+        while True:
+            tried = at + np.flatnonzero(free[at + own[0] : at + own[0] + span])
+            for c in own[1:]:
+                tried = tried[free[np.minimum(tried + c, len(free) - 1)]]
+            if len(tried):
+                break
+            at += span
+        base[names[r]] = tried[0]
+        free[tried[0] + own] = False
+        while not free[low : low + width].any():
+            low += width
+    single = np.flatnonzero(count == 1)
+    gaps = np.flatnonzero(free)
+    gaps = gaps[gaps >= width][: len(single)]
+    base[names[single]] = gaps - byte_class[first[single]]
+    place = base[node] + byte_class
+    owner[place], child[place] = node, children
+    return base, owner, child
+
+
 class Spelling:
     """The bytes of each piece."""
 
@@ -335,8 +379,9 @@ def encode(docs: DataFrame, path: str, nbest: int = NBEST, keep: tuple[str, ...]
                 same = pc.if_else(b["text"].is_null(), back.is_null(), pc.fill_null(pc.equal(back, b["text"]), False))
                 made = (*made, same)
             yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
+        own.known.clear()
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(ragged.released(work), schema)
 
 
 def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
@@ -351,4 +396,4 @@ def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, own.decode(part["ids"])], schema.names)
 
-    return encoded.select([f.name for f in schema.fields if f.name != column]).mapInArrow(work, schema)
+    return encoded.select([f.name for f in schema.fields if f.name != column]).mapInArrow(ragged.released(work), schema)

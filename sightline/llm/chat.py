@@ -6,7 +6,8 @@ whose mask lists the character spans to learn from: the text and end mark of ass
 Defined cases: a null role is `user` and a null text empty; rows with a null conversation id are ignored, rows of one
 turn number are ordered by role and text; a conversation whose partner is missing meets an empty one; equal conversations
 give two empty completions; markers inside a text are broken by a backslash, so that a rendering can be read back; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; columns of the turns besides these are ignored, those of the pairs are kept, whatever their
+names, but for the ones named as the results are.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.runtime import unused
+
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
+MADE = ("prompt_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans")
 
 
 def gather(turns: DataFrame) -> DataFrame:
@@ -61,12 +65,14 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """pairs with prompt_turns, prompt, and for either side its completion and spans, in place of the turn arrays."""
     empty = F.array().cast(f"array<{TURN}>")
     a, b = F.coalesce(chosen, empty), F.coalesce(rejected, empty)
-    counted = pairs.withColumns({"_a": a, "_b": b}).withColumn("prompt_turns", common_turns(F.col("_a"), F.col("_b")))
-    tail = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
-    out = counted.withColumns({"_p": F.slice("_a", F.lit(1), F.col("prompt_turns")), "_a": tail("_a"), "_b": tail("_b")})
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *MADE)]
+    x, y, n = (unused(pairs.columns, c) for c in ("x", "y", "n"))
+    counted = pairs.withColumns({x: a, y: b}).withColumn(n, common_turns(F.col(x), F.col(y)))
+    tail = lambda c: F.slice(c, F.col(n) + 1, F.greatest(F.size(c), F.lit(1)))
+    out = counted.select(*kept, F.col(n).alias("prompt_turns"), F.slice(x, F.lit(1), F.col(n)).alias("prompt"), tail(x).alias("chosen"), tail(y).alias("rejected"))
     return out.select(
-        *[c for c in pairs.columns if c not in (chosen, rejected)], "prompt_turns", render(F.col("_p")).alias("prompt"),
-        render(F.col("_a")).alias("chosen"), loss_spans(F.col("_a")).alias("chosen_spans"), render(F.col("_b")).alias("rejected"), loss_spans(F.col("_b")).alias("rejected_spans"),
+        *kept, "prompt_turns", render(F.col("prompt")).alias("prompt"), render(F.col("chosen")).alias("chosen"), loss_spans(F.col("chosen")).alias("chosen_spans"),
+        render(F.col("rejected")).alias("rejected"), loss_spans(F.col("rejected")).alias("rejected_spans"),
     )
 
 

@@ -28,7 +28,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, check=True)
-    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), "nbest", "round_trip")
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", "nbest", "swaps", "round_trip")
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.pair_neighbours(chat.gather(_table(spark, sf_dir, "conversations")))
     formatted = chat.format_pairs(pairs)
-    learned = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return formatted.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", learned("chosen_spans").alias("chosen_learned"), learned("rejected_spans").alias("rejected_learned"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ").alias(c)
+    return formatted.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,19 +85,21 @@ def oracle_sql() -> dict[str, str]:
             with t as (select conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, coalesce(role, 'user') as role, coalesce(text, '') as text,
                               row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'user'), coalesce(text, '')) as pos
                        from conversations where conv_id is not null),
-                 r as (select *, '<|im_start|>' || role || chr(10) || replace(text, '<|', '<\\|') || '<|im_end|>' || chr(10) as shown,
-                              case when role = 'assistant' then length(replace(text, '<|', '<\\|')) + length('<|im_end|>') else 0 end as learned from t),
+                 r as (select *, '<|im_start|>' || role || chr(10) as head, replace(text, '<|', '<\\|') || '<|im_end|>' as body, head || body || chr(10) as shown from t),
                  m as (select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.pos, b.pos) as pos,
                               a.role is not distinct from b.role and a.text is not distinct from b.text as same
                        from (select * from t where side = 0) a full join (select * from t where side = 1) b on a.pair_id = b.pair_id and a.pos = b.pos),
-                 p as (select pair_id, coalesce(min(pos) filter (not same) - 1, count(*)) as prompt_turns from m group by pair_id)
+                 p as (select pair_id, coalesce(min(pos) filter (not same) - 1, count(*)) as prompt_turns from m group by pair_id),
+                 s as (select r.*, prompt_turns, coalesce(sum(length(shown)) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) + length(head) as a
+                       from r join p on r.pair_id = p.pair_id where pos > prompt_turns),
+                 l as (select pair_id, string_agg(concat(cast(a as bigint), '-', cast(a + length(body) as bigint)), ' ' order by pos) filter (side = 0) as chosen_spans,
+                              string_agg(concat(cast(a as bigint), '-', cast(a + length(body) as bigint)), ' ' order by pos) filter (side = 1) as rejected_spans from s where role = 'assistant' group by pair_id)
             select p.pair_id, cast(p.prompt_turns as int) as prompt_turns,
                    coalesce(string_agg(shown, '' order by pos) filter (side = 0 and pos <= prompt_turns), '') as prompt,
                    coalesce(string_agg(shown, '' order by pos) filter (side = 0 and pos > prompt_turns), '') as chosen,
                    coalesce(string_agg(shown, '' order by pos) filter (side = 1 and pos > prompt_turns), '') as rejected,
-                   cast(coalesce(sum(learned) filter (side = 0 and pos > prompt_turns), 0) as int) as chosen_learned,
-                   cast(coalesce(sum(learned) filter (side = 1 and pos > prompt_turns), 0) as int) as rejected_learned
-            from p join r on p.pair_id = r.pair_id group by p.pair_id, p.prompt_turns""",
+                   coalesce(any_value(chosen_spans), '') as chosen_spans, coalesce(any_value(rejected_spans), '') as rejected_spans
+            from p join r on p.pair_id = r.pair_id left join l on l.pair_id = p.pair_id group by p.pair_id, p.prompt_turns""",
         "op9_warc": """
             with p as (select page_id, url, coalesce(html, '') as body from pages),
                  q as (select page_id, url, strlen(body) as payload_bytes, sha1(body) as payload_digest from p),

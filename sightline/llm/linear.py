@@ -2,8 +2,8 @@
 
 A text's features are families of n-grams (words, word pairs, character triples and fours), each as relative frequencies
 over hashed buckets, so a text's length doesn't scale its score. A family "p" has the words (of lower-case ASCII, punctuation
-taken as space) that are in a text at all, with one value each, so that a few telling words count in a text of any length.
-Scoring sums weights over the whole text.
+taken as space) that are in a text at all, each with one value, the larger the more it tells of a class, so that a few telling
+words count in a text of any length. Scoring sums weights over the whole text.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
     full = np.flatnonzero(np.diff(rows) > 0)
     # the same values by feature: where each feature's run begins, and the row and value of each of its items
     order = np.argsort(idx, kind="stable")
-    used_features, begins = np.unique(idx[order], return_index=True)
+    idx_sorted = idx[order]
+    used_features, begins = np.unique(idx_sorted, return_index=True)
     of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(rows))[order]
     by_feature = val[order]
     del order
@@ -128,12 +129,20 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
     weight /= weight.sum()
     width, free = len(kinds) * BUCKETS, classes - 1
     hot = np.eye(classes)[y]
+    # a present word's value for a class is how much more often the class's rows have it than those of class 0, as a logarithm
+    value_of = np.full((free, width), SCALE, np.float32)
+    for f in (f for f, kind in enumerate(kinds) if kind[0] == "p"):
+        own = slice(*np.searchsorted(idx_sorted, [f * BUCKETS, (f + 1) * BUCKETS]))
+        has = np.stack([np.bincount(idx_sorted[own] - f * BUCKETS, weights=hot[of[own], k] * ~apart[of[own]], minlength=BUCKETS) for k in range(classes)])
+        odds = np.log((has + 1) / (share[:, None] + 2))
+        value_of[:, f * BUCKETS : (f + 1) * BUCKETS] *= odds[1:] - odds[0]
+    del idx_sorted
 
     def forward(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(y), classes))
         out[:, 1:] = x[-free:]
         for k in range(free):
-            w = (x[k * width : (k + 1) * width] * SCALE).astype(np.float32)
+            w = (x[k * width : (k + 1) * width] * value_of[k]).astype(np.float32)
             if len(full):
                 out[full, k + 1] += np.add.reduceat(val * w[idx], rows[:-1][full])
         return out
@@ -148,13 +157,13 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
         g[-free:] = r[:, 1:].sum(0)
         for k in range(free):
             if len(begins):
-                g[k * width + used_features] += SCALE * np.add.reduceat(by_feature * r[:, k + 1].astype(np.float32)[of], begins)
+                g[k * width + used_features] += value_of[k][used_features] * np.add.reduceat(by_feature * r[:, k + 1].astype(np.float32)[of], begins)
         return float(weight @ (total - z[np.arange(len(y)), y]) + penalty / 2 * (x[:-free] @ x[:-free])), g
 
     x = descend(slope, np.zeros(width * free + free), rounds)
     scale, shift = calibrate(forward(x)[apart], y[apart], classes)
     weights = np.zeros((width, classes), np.float32)
-    weights[:, 1:] = (x[:-free].reshape(free, width) * SCALE).T
+    weights[:, 1:] = (x[:-free].reshape(free, width) * value_of).T
     return Model(weights, np.append(0.0, x[-free:]), kinds, scale, shift)
 
 

@@ -405,3 +405,61 @@ def test_pipeline_by_a_plain_version(spark):
     deduped = {r["doc_id"] for r in c.near_duplicate_stage(spark, kept, sf).collect()}
     assert deduped == {rows[i][0] for i, k in want.items() if i == k}
     assert spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isNull()).count() == 0
+
+
+def odd_documents(spark, sf):
+    """The smallest documents with nulls in every column, empty and very long texts, ties, repeated rows and extra columns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    long = " ".join(r["text"] or "" for r in docs.filter("lang = 'en'").limit(60).collect())
+    some = [tuple(r) for r in docs.orderBy("doc_id").limit(12).collect()]
+    rows = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, " \n", "en", "s", 2), (10**6 + 3, long, None, "s", len(long)), (None, some[3][1], "en", None, 1), (None, None, None, None, None)]
+    made = docs.unionByName(spark.createDataFrame([*rows, *some, some[0], (10**6 + 4, *some[5][1:])], docs.schema))
+    return made.withColumns({c: F.lit(1) for c in ("_gone", "gone", "kept", "quality", "lang_pred", "rate", "ids", "label", "class_id", "n_copies")}), 10**6 + 3
+
+
+def test_stages_on_odd_rows(spark):
+    """What each stage says of nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    docs, long = odd_documents(spark, sf)
+    out = {name: [tuple(r) for r in stage(spark, docs, sf).collect()] for name, stage in c.STAGES}
+    count = docs.count()
+    for name, stage in c.STAGES:
+        ids = [r[0] for r in out[name]]
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        if name != c.STAGES[-1][0]:
+            assert stage(spark, docs, sf).columns == c.COLUMNS and 0 < len(ids) <= count
+            assert long in ids, name
+    texts = {name: [r[1] for r in rows] for name, rows in out.items()}
+    for name in ("quality rules", "language id"):
+        assert all(t and t.strip() for t in texts[name]) and len(out[name]) > len(set(out[name])), name  # repeated rows stay
+    near = out["minhash near-dedup"]
+    assert len([r for r in near if r[0] is not None]) == len({r[0] for r in near} - {None}) and [r[0] for r in near].count(None) == 2
+    assert 10**6 + 4 not in [r[0] for r in near] and {10**6, 10**6 + 1, 10**6 + 2} <= {r[0] for r in near}
+    assert [r[0] for r in out["mixing to target weights"]].count(None) == 2
+    coded = out["sentencepiece encoding"]
+    assert len(coded) == count and all(r[-1] for r in coded)
+
+
+def test_mixing_and_language_stages_by_a_plain_version(spark):
+    """The decisions of the stages that learn, from the operators' own figures row by row."""
+    import corpus_pipeline as c
+    from sightline.llm import langid, mixing
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    said = langid.label(docs, model).collect()
+    want = set()
+    for r in said:
+        words = (r["text"] or "").split()
+        own = [s["lang"] for s in r["spans"] for w in words[s["start"] : s["end"]] if any(x.isalpha() for x in w)]
+        top = max(sorted(set(own)), key=own.count, default="und")
+        if top in c.LANGUAGES and own.count(top) >= c.MIN_SHARE * len(own):
+            want.add(r["doc_id"])
+    assert {r["doc_id"] for r in c.language_stage(spark, docs, sf).collect()} == want
+    labels = mixing.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs, labels, c.TARGETS, limit=c.MAX_RATE).collect()}
+    assert {r["doc_id"] for r in c.mixing_stage(spark, docs, sf).collect()} == {i for i, r in mixed.items() if r["n_copies"] > 0}
+    assert all(r["n_copies"] == 1 for r in mixed.values() if r["rate"] == 1) and max(r["rate"] for r in mixed.values()) <= 1

@@ -129,6 +129,14 @@ def test_language_spans_and_scripts(spark):
     assert {r["lang_pred"] for r in langid.label(docs(spark, texts), empty).collect()} == {"und"}
 
 
+def test_letters_of_all_planes(spark):
+    """A text of letters beyond the third plane has a language; symbols there have none."""
+    d = docs(spark, ["kata moli rasu"] * 4, {i: "aa" for i in range(4)})
+    model = langid.train(d.select("doc_id", "text", "lang"))
+    got = [r["lang_pred"] for r in langid.label(docs(spark, ["\U00030000\U00031350 \U000323af", "\U0001f600 \U000e0100"]), model).orderBy("doc_id").collect()]
+    assert got == ["aa", "und"]
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op5_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id")
@@ -235,6 +243,20 @@ def test_block_links_by_brute_force():
     assert got == {(i, j) for i in range(10) for j in range(10, 24) if jp(sets[i], sets[j]) >= 0.8 - 1e-9}
 
 
+def test_rows_that_repeat_an_id(spark):
+    """They are one document of their smallest text, and one row of them is kept at most."""
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "an other text of seven words here"
+    rows = [(1, a, 1), (1, a, 2), (2, a, 3), (3, b, 4), (3, c, 5), (4, b, 6), (5, None, 7), (5, None, 8), (None, a, 9), (None, a, 10), (6, a, 11), (6, None, 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone int").select("doc_id", "text", "gone", F.lit(1).alias("n"), F.lit(2).alias("_gone"))
+    got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in near.classes(d).collect()), key=str)
+    want = [(1, 1, True), (1, 1, False), (2, 1, False), (3, 3, True), (3, 3, False), (4, 4, True), (5, 5, True), (5, 5, False), (None, None, True), (None, None, True), (6, 1, False), (6, 1, False)]
+    # 3 has the smaller of its two texts, c, so that 4 is alone with b
+    assert got == sorted(want, key=str)
+    kept = near.deduplicate(d)
+    assert kept.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("1", a), ("3", c), ("4", b), ("5", ""), ("None", a), ("None", a)]
+
+
 def test_deduplicate_keeps_columns(spark):
     d = docs(spark, ["a b c d e f g", "a b c d e f g", None, None])
     out = near.deduplicate(d)
@@ -281,6 +303,18 @@ def test_swaps_give_their_scores():
         assert total == pytest.approx(sum(score[p] for k, w in enumerate(cut) for p in (chosen.get(k) or own.nbest(w, 1)[0][1])))
 
 
+def test_packed_tries_hold_their_transitions():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(1, 400, 3000) * 50 + rng.integers(1, 50, 3000))
+    child = rng.integers(1, 1000, len(keys)).astype(np.int32)
+    base, owner, to = pieces.packed(keys, child, 401, 50)
+    want = dict(zip(keys.tolist(), child.tolist(), strict=True))
+    for node in range(401):
+        at = base[node] + np.arange(50)
+        got = np.where(owner[at] == node, to[at], 0)
+        assert got.tolist() == [want.get(node * 50 + c, 0) for c in range(50)]
+
+
 def test_round_trip(spark):
     texts = [*ODD, "▁ ▁", "tab\tand\r\nline", "  two  spaces ", "\x00\x01", "é" * 5000]
     coded = pieces.encode(docs(spark, texts), MODEL, check=True)
@@ -393,6 +427,80 @@ def test_soft_posteriors_and_a_rare_domain(spark, gap, weights, limit):
         assert best > 0.1 * n.sum() and np.linalg.norm(targets - got) <= best * (1 + 1e-6)
 
 
+def test_posteriors_sum_to_one():
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.dirichlet([0.2] * 4, 300), [[0.25] * 4, [1, 0, 0, 0], [1 / 3, 1 / 3, 1 / 3, 0]]])
+    q = mixing.thousandths(p)
+    assert (q.sum(1) == 1000).all() and np.abs(q / 1000 - p).max() < 1e-3 and q.min() >= 0
+    assert q[-1].tolist() == [334, 333, 333, 0]
+
+
+def test_targets_are_met_on_the_sample_tables(spark):
+    """Rates on real posteriors: totals within a thousandth of their targets, and as near to 1 as an exact solution's."""
+    sf = "/root/testdata/sf0.01"
+    got = queries.op4_mixing(spark, sf).toPandas()
+    p, n, r = np.stack(got["posterior"]) / 1000, got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
+    targets = np.array(queries.TARGETS) * n.sum()
+    total = (p * (n * r)[:, None]).sum(0)
+    assert np.abs(total / targets - 1).max() <= 1.01 * mixing.TOLERANCE
+    # nonnegative least squares, by an active set: its residual is 0 here, so the targets are reachable
+    free = np.ones(len(n), bool)
+    for _ in range(100):
+        a = (p[free] * n[free][:, None]).T
+        x = 1 + (p[free] @ np.linalg.lstsq(a @ p[free], targets - a.sum(1), rcond=None)[0])
+        if (x >= -1e-9).all():
+            break
+        free[np.flatnonzero(free)[x < 0]] = False
+    assert np.allclose((p[free] * (n[free] * x)[:, None]).sum(0), targets)
+    assert (n[free] * (x - 1) ** 2).sum() + n[~free].sum() >= 0.99 * (n * (r - 1) ** 2).sum()
+
+
+def test_domains_are_learned_from_telling_words():
+    """A rare word that is present tells a long text's domain."""
+    rng = random.Random(3)
+    text = lambda bad: " ".join([f"w{rng.randrange(900)}" for _ in range(300)] + ["Awful!"] * bad)
+    y = [i % 2 for i in range(400)]
+    rows = list(linear.sparse_rows(*ragged.buffer_of(pa.array([text(v) for v in y])), linear.FEW))
+    table = pa.table({"label": pa.array(y, pa.int32()), "index": [i for i, _ in rows], "value": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    model = linear.fit(table, 2, linear.FEW)
+    p = model.probabilities(*ragged.buffer_of(pa.array([text(v) for v in y])))
+    assert ((p[:, 1] > 0.5) == np.array(y)).mean() > 0.97
+
+
+def test_descent_finds_the_minimum():
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(30, 12))
+    b = rng.normal(size=30)
+    x = linear.descend(lambda x: (0.5 * ((a @ x - b) ** 2).sum(), a.T @ (a @ x - b)), np.zeros(12), 200)
+    assert np.allclose(x, np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-3)
+    assert linear.descend(lambda x: (0.0, 0 * x), np.ones(2), 5).tolist() == [1, 1]
+
+
+def test_verdicts_by_a_plain_version(spark):
+    """The classifier's probability from its own weights, word by word and triple by triple."""
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality.assess(d.select("doc_id", "text"), model).collect()}
+    for r in d.limit(40).collect():
+        data, offs = ragged.buffer_of(pa.array([r["text"]]))
+        z = model.bias.astype(float).copy()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode())
+        h = [int(ragged.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in w]
+        cp = [ord(c) + 1 for c in r["text"] or ""]
+        for k, kind in enumerate(model.kinds):
+            seq, n = (h, int(kind[1])) if kind[0] == "w" else (cp, int(kind[1]))
+            runs = [seq[i : i + n] for i in range(len(seq) - n + 1)]
+            m = 1 << 64
+            fold = lambda run: sum(v * ragged._MULT ** (n - 1 - i) for i, v in enumerate(run)) % m  # noqa: B023, E731
+            keys = [v if kind == "w1" else int(ragged.mix(np.array([fold(run)], np.uint64))[0]) for run in runs for v in run[:1]]
+            if keys:
+                z += np.mean([model.weights[(g >> 40) % linear.BUCKETS + k * linear.BUCKETS] for g in keys], 0, dtype=float)
+        p = linear.softmax((z * model.scale + model.shift)[None])[0, 1]
+        assert got[r["doc_id"]]["quality"] == pytest.approx(p, abs=1e-5)
+        assert got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and got[r["doc_id"]]["quality"] >= 0.5)
+
+
 def test_mix_of_odd_rows(spark):
     labels = spark.createDataFrame([(3, 0), (5, 1)], "doc_id long, label int")
     out = mixing.mix(docs(spark, ODD), labels, [0.5, 0.5]).collect()

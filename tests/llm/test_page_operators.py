@@ -430,7 +430,7 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
         if name != c.STAGES[-1][0]:
             assert stage(spark, docs, sf).columns == c.COLUMNS and 0 < len(ids) <= count
-            assert long in ids, name
+            assert long in ids or name == "mixing to target weights", name  # that one draws, and the long text has toxic parts
     texts = {name: [r[1] for r in rows] for name, rows in out.items()}
     for name in ("quality rules", "language id"):
         assert all(t and t.strip() for t in texts[name]) and len(out[name]) > len(set(out[name])), name  # repeated rows stay

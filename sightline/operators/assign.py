@@ -54,13 +54,13 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str, most: float | None = None, missing: float | None = None) -> DataFrame:
-    """(keys, left, right, cost) of the least-cost matching in each group of a pair table; pairs not listed can't match.
+def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str, most: float | None = None, missing: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, left, right, cost, keep) of the least-cost matching in each group of a pair table; pairs not listed can't match.
 
     With `most`, matched pairs of a higher cost are dropped afterwards. Unlisted pairs stand in the matrix with the cost
     `missing`, by default one so high that as many listed pairs as possible are matched.
     """
-    rows = pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost))
+    rows = pairs.select(*keys, left, right, F.col(cost).cast("double").alias(cost), *keep)
 
     def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
         sides = [np.asarray(pc.dictionary_encode(t[c].combine_chunks()).indices, dtype=np.int64) for c in (left, right)]

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def boundaries(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -49,5 +51,23 @@ def map_groups(df: DataFrame, keys: list[str], order: list, work: Callable[[pa.T
     return dealt.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, keys: list[str], order: list, work: Callable[[list[tuple]], list[tuple]], columns: str) -> DataFrame:
+    """For each group, its keys and `columns` (a schema) with the tuples that work makes of its rows, tuples in order.
+
+    For algorithms that go through a group row by row; a task still reads whole groups from batches, not one a call.
+    """
+    kinds = StructType([df.schema[k] for k in keys] + StructType.fromDDL(columns).fields)
+    wanted = to_arrow_schema(kinds)
+    rest = [c for c in df.columns if c not in keys]
+
+    def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
+        heads = [t[k].to_pylist() for k in keys]
+        rows = list(zip(*(t[c].to_pylist() for c in rest), strict=True))
+        out = [(*(h[s] for h in heads), *r) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for r in work(rows[s:e])]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(wanted)], schema=wanted)
+
+    return map_groups(df, keys, order, run, kinds)
+
+
 def column(t: pa.Table, name: str) -> np.ndarray:
     return np.asarray(t[name].combine_chunks())

@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.grouped import map_rows
 from sightline.operators.suppress import XYXY
 
 
@@ -54,21 +54,13 @@ def link(frames: list[list[tuple]], gap: int, iou: float) -> list[list[tuple]]:
 
 def link_tracks(dets: DataFrame, keys: list[str], gap: int = 10, iou: float = 0.5, least: int = 10) -> DataFrame:
     """(keys, track, frame, det_id) of the tracks longer than `least` detections in each shot."""
-    types = {f.name: f.dataType.simpleString() for f in dets.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", track int, frame {types['frame']}, det_id string"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame", "det_id"])
-        rows = zip(*(g[c].tolist() for c in ("frame", "det_id", *XYXY)), strict=True)
+    def run(rows: list[tuple]) -> list[tuple]:
         frames = [list(f) for _, f in groupby(rows, key=lambda r: r[0])]
         kept = [t for t in link(frames, gap, iou) if len(t) > least]
-        rows = [(i, d[0], d[1]) for i, t in enumerate(kept) for d in t]
-        out = pd.DataFrame(rows, columns=["track", "frame", "det_id"])
-        for k in reversed(keys):
-            out.insert(0, k, g[k].iloc[0])
-        return out
+        return [(i, d[0], d[1]) for i, t in enumerate(kept) for d in t]
 
-    return dets.select(*keys, "frame", "det_id", *XYXY).groupBy(*keys).applyInPandas(run, schema)
+    frame = dets.schema["frame"].dataType.simpleString()
+    return map_rows(dets.select(*keys, "frame", "det_id", *XYXY), keys, ["frame", "det_id"], run, f"track int, frame {frame}, det_id string")
 
 
 def merge_windows(rows: list[tuple[float, float, str]], near: float = 0.1) -> list[tuple[float, float, str]]:
@@ -81,54 +73,70 @@ def merge_windows(rows: list[tuple[float, float, str]], near: float = 0.1) -> li
     return out
 
 
-def refine(segments: list[tuple[float, float, str]], words: list[tuple[float, float]], pad: float = 0.05, split: float = 0.25, least: float = 0.15, merge: float = 0.10, close: float = 0.12) -> list[tuple[float, float, str]]:
-    """Segments snapped to their words, in steps.
+Segment = tuple[float, float, str, list[tuple[float, float]]]
+
+
+def refine(segments: list[Segment], pad: float = 0.05, split: float = 0.25, least: float = 0.15, merge: float = 0.10, close: float = 0.12) -> list[tuple[float, float, str]]:
+    """Segments (start, end, label, own words) snapped to their words; what is shorter than twice `least`, or 0.5, goes.
 
-    Ends move to the first and last word inside, with a pad; a segment is split in the middle of a word gap longer than
-    `split` if both sides last; neighbours of one label whose gap is at most `merge` become one; an overlap ends at the
-    next start; a gap of at most `close` closes in its middle; what is shorter than `least` goes.
+    Ends move to the first and last word of the segment, with a pad; a segment is split in the middle of a silence longer
+    than `split` if both sides last; one without words stays as it is. Neighbours of one label with a gap of at most `merge`
+    become one. Neighbours of two labels that overlap are cut in the middle of the overlap, moved so that both last if they can,
+    and a gap of at most `close` between them closes in its middle.
     """
     hard = max(2 * least, 0.5)
-    out: list[list] = []
-    for s, e, who in sorted(segments):
-        inside = sorted(w for w in words if w[1] > s and w[0] < e)
-        if not inside:
-            out.append([s, e, who])
-            continue
-        s, e = max(s, inside[0][0] - pad), min(e, inside[-1][1] + pad)
-        begin = s
-        for a, b in zip(inside, inside[1:], strict=False):
-            if b[0] - a[1] > split:
-                mid = (a[1] + b[0]) / 2
-                if mid - begin >= hard and e - mid >= hard:
-                    out.append([begin, mid, who])
-                    begin = mid
-        out.append([begin, e, who])
     merged: list[list] = []
-    for s, e, who in sorted(out):
-        if merged and merged[-1][2] == who and s - merged[-1][1] <= merge and s != merged[-1][1]:
+    for s, e, who in sorted((x for seg in segments for x in _snapped(*seg, pad, split, hard)), key=lambda x: x[:2]):
+        if merged and merged[-1][2] == who and s - merged[-1][1] <= merge:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e, who])
-    for a, b in zip(merged, merged[1:], strict=False):
-        if a[1] > b[0]:
-            a[1] = b[0]
-        elif 0 < b[0] - a[1] <= close:
-            a[1] = b[0] = (a[1] + b[0]) / 2
-    return [(s, e, who) for s, e, who in merged if e - s >= least]
-
-
-def refine_segments(segments: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """refine() for each key; words are (key, start_s, end_s), segments (key, start_s, end_s, label)."""
-    kind = segments.schema[key].dataType.simpleString()
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=[key, "start_s", "end_s", "label"])
-        rows = refine(list(zip(left["start_s"], left["end_s"], left["label"], strict=True)), list(zip(right["start_s"], right["end_s"], strict=True)))
-        return pd.DataFrame([(left[key].iloc[0], *r) for r in rows], columns=[key, "start_s", "end_s", "label"])
-
-    return segments.select(key, "start_s", "end_s", "label").groupBy(key).cogroup(words.select(key, "start_s", "end_s").groupBy(key)).applyInPandas(run, f"{key} {kind}, start_s double, end_s double, label string")
+    out = merged[:1]
+    for now in merged[1:]:
+        last = out[-1]
+        if now[2] == last[2]:
+            if now[0] - last[1] <= merge:
+                last[1] = max(last[1], now[1])
+            else:
+                out.append(now)
+            continue
+        if last[1] > now[0]:
+            cut = min(max((last[1] + now[0]) / 2, last[0] + hard / 2, now[0]), last[1], now[1] - hard / 2)
+            ahead, behind = max(last[0], cut), min(now[1], cut)
+            if ahead - last[0] >= hard:
+                last[1] = ahead
+            if now[1] - behind >= hard:
+                now[0] = behind
+        elif now[0] - last[1] <= close:
+            last[1] = now[0] = (last[1] + now[0]) / 2
+        if last[1] - last[0] < hard:
+            out[-1] = now
+        elif now[1] - now[0] >= hard:
+            out.append(now)
+    return [tuple(x) for x in out]
+
+
+def _snapped(start: float, end: float, who: str, words: list[tuple[float, float]], pad: float, split: float, hard: float) -> list[tuple[float, float, str]]:
+    """A segment as the parts that its words and the silences between them make of it."""
+    heard = sorted((a, b) for a, b in words or [] if b > a)
+    if end <= start or not heard:
+        return [(start, end, who)] if end > start else []
+    start, end = max(start, heard[0][0] - pad), min(end, max(b for _, b in heard) + pad)
+    cuts = [start]
+    for (_, before), (after, _) in zip(heard, heard[1:], strict=False):
+        middle = before + (after - before) / 2
+        if after - before > split and middle - cuts[-1] >= hard and end - middle >= hard:
+            cuts.append(middle)
+    return [(a, b, who) for a, b in zip(cuts, [*cuts[1:], end], strict=True) if b - a >= hard]
+
+
+def refine_segments(segments: DataFrame, key: str) -> DataFrame:
+    """refine() for each key, of segments (key, start_s, end_s, label, words), words an array of structs (start_s, end_s)."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        return refine([(s, e, who, [(w["start_s"], w["end_s"]) for w in words or []]) for s, e, who, words in rows])
+
+    return map_rows(segments.select(key, "start_s", "end_s", "label", "words"), [key], ["start_s", "end_s", "label"], run, "start_s double, end_s double, label string")
 
 
 def register(tracks: list[tuple[int, float, float, np.ndarray]], least: float = 0.6) -> list[int]:

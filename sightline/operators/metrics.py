@@ -37,10 +37,16 @@ def np_f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(1.0))
 
 
-def image_matches(truth: DataFrame, found: DataFrame, sim: DataFrame, keys: list[str], steps: list[float] = IOU_STEPS) -> DataFrame:
-    """Per image and threshold: tp, fp, fn and the numbers of truths and predictions. Images of either side count."""
+def image_matches(truth: DataFrame, found: DataFrame, sim: DataFrame, keys: list[str], steps: list[float] = IOU_STEPS, images: DataFrame | None = None) -> DataFrame:
+    """Per image and threshold: tp, fp, fn and the numbers of truths and predictions.
+
+    Images of either side count, and those of the table `images` (keys) that have neither: the true negatives.
+    """
     n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    images = n(truth, "n_gt").join(n(found, "n_dt"), keys, "full").fillna(0, ["n_gt", "n_dt"])
+    found_in = n(truth, "n_gt").join(n(found, "n_dt"), keys, "full")
+    if images is not None:
+        found_in = found_in.join(images.select(*keys).distinct(), keys, "full")
+    images = found_in.fillna(0, ["n_gt", "n_dt"])
     matched = assign.assign(sim.withColumn("cost", -F.col("iou")), keys, "gt_id", "dt_id", "cost", missing=0.0)
     hits = matched.select(*keys, (-F.col("cost")).alias("iou")).select("*", _levels(steps).alias("s")).filter("iou >= s.alpha").groupBy(*keys, "s.level").agg(F.count("*").alias("tp"))
     grid = images.select("*", _levels(steps).alias("s")).select(*keys, "n_gt", "n_dt", "s.level", "s.alpha")
@@ -48,10 +54,11 @@ def image_matches(truth: DataFrame, found: DataFrame, sim: DataFrame, keys: list
     return counted.withColumns({"fp": F.col("n_dt") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp")})
 
 
-def concept_f1(matches: DataFrame, true_negatives: Column | int = 0) -> DataFrame:
+def concept_f1(matches: DataFrame) -> DataFrame:
     """Per threshold: micro, positive-micro and macro F1, image-level scores with their correlation, and their product.
 
-    False positives of images without truth count in the micro score only; images without predictions aren't averaged.
+    False positives of images without truth count in the micro score only; images without predictions aren't averaged. The
+    image-level scores need the images with neither truth nor prediction among the matches.
     """
     pos = (F.col("n_gt") > 0) & (F.col("n_dt") > 0)
     local = f1(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -59,7 +66,8 @@ def concept_f1(matches: DataFrame, true_negatives: Column | int = 0) -> DataFram
     a = matches.groupBy("level", "alpha").agg(
         s(F.col("tp"))("tp"), s(F.col("fp"))("fp"), s(F.col("fn"))("fn"), s(F.when(F.col("n_gt") > 0, F.when(F.col("n_dt") > 0, F.col("fp")).otherwise(0)).otherwise(0))("pm_fp"),
         F.sum(F.when(pos, local).otherwise(0.0)).alias("f_sum"), s(pos.cast("int"))("il_tp"), s(((F.col("n_gt") == 0) & (F.col("n_dt") > 0)).cast("int"))("il_fp"), s(((F.col("n_gt") > 0) & (F.col("n_dt") == 0)).cast("int"))("il_fn"),
-    ).withColumn("il_tn", F.lit(true_negatives).cast("double") if isinstance(true_negatives, int) else true_negatives)
+        s(((F.col("n_gt") == 0) & (F.col("n_dt") == 0)).cast("int"))("il_tn"),
+    )
     tp, fp, fn, tn = (F.col(f"il_{c}") for c in ("tp", "fp", "fn", "tn"))
     prec, rec = tp / (tp + fp + 1e-6), tp / (tp + fn + 1e-6)
     mcc = (tp * tn - fp * fn) / (F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) + 1e-6)
@@ -70,6 +78,24 @@ def concept_f1(matches: DataFrame, true_negatives: Column | int = 0) -> DataFram
     )
 
 
+def perfect_images(matches: DataFrame) -> DataFrame:
+    """Per threshold: shares of positive and of negative images without an error, and macro F1 over all positive images."""
+    positive, exact = F.col("n_gt") > 0, (F.col("fp") == 0) & (F.col("fn") == 0)
+    local = F.when(positive & (F.col("n_dt") > 0), f1(F.col("tp"), F.col("fp"), F.col("fn"))).otherwise(0.0)
+    share = lambda c, of: F.count_if(c) / (F.count_if(of) + 1e-9)
+    return matches.groupBy("level", "alpha").agg(
+        share(positive & exact, positive).alias("perfect_positive"), share(~positive & exact, ~positive).alias("perfect_negative"),
+        F.try_divide(F.sum(local), F.count_if(positive)).alias("positive_w0dt_macro_f1"),
+    )
+
+
+def mean_overlap(sim: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the mean over images of the mean overlap of their matched pairs, and how many images have any."""
+    matched = assign.assign(sim.withColumn("cost", -F.col("iou")), keys, "gt_id", "dt_id", "cost", missing=0.0)
+    per_image = matched.groupBy(*keys).agg(F.avg(-F.col("cost")).alias("j"))
+    return per_image.agg((F.sum("j") / (F.count("*") + 1e-9)).alias("mean_overlap"), F.count("*").alias("n_images"))
+
+
 def aligned(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str]) -> DataFrame:
     """sim with `score`, the overlap times how well the two ids align over the whole sequence."""
     t = [*seq, "t"]
@@ -87,8 +113,8 @@ def hota(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str], ste
     truth (seq, t, gt_id), found (seq, t, tk_id), sim (seq, t, gt_id, tk_id, sim).
     """
     scored = aligned(truth, found, sim, seq).withColumn("cost", -F.col("score"))
-    matched = assign.assign(scored.select(*seq, "t", "gt_id", "tk_id", "cost"), [*seq, "t"], "gt_id", "tk_id", "cost", missing=0.0)
-    full = matched.join(scored.drop("cost"), [*seq, "t", "gt_id", "tk_id"]).select("*", _levels(steps).alias("s")).filter(F.col("sim") >= F.col("s.alpha") - EPS)
+    matched = assign.assign(scored, [*seq, "t"], "gt_id", "tk_id", "cost", missing=0.0, keep=("sim", "gt_n", "tk_n"))
+    full = matched.select("*", _levels(steps).alias("s")).filter(F.col("sim") >= F.col("s.alpha") - EPS)
     by_pair = full.groupBy(*seq, "s.level", "gt_id", "tk_id").agg(F.count("*").alias("n"), F.sum("sim").alias("loc"), F.first("gt_n").alias("gt_n"), F.first("tk_n").alias("tk_n"))
     n = F.col("n")
     sums = by_pair.groupBy(*seq, "level").agg(
@@ -133,8 +159,8 @@ def teta(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str], ste
     cost nothing. Classes are compared for matches from 0.5 on; truth and found have the column cls.
     """
     scored = aligned(truth, found, sim, seq).withColumn("cost", -F.col("score"))
-    matched = assign.assign(scored.select(*seq, "t", "gt_id", "tk_id", "cost"), [*seq, "t"], "gt_id", "tk_id", "cost", missing=0.0)
-    full = matched.join(scored.drop("cost"), [*seq, "t", "gt_id", "tk_id"]).join(truth.select(*seq, "t", "gt_id", F.col("cls").alias("gt_cls")), [*seq, "t", "gt_id"]).join(found.select(*seq, "t", "tk_id", F.col("cls").alias("tk_cls")), [*seq, "t", "tk_id"])
+    matched = assign.assign(scored, [*seq, "t"], "gt_id", "tk_id", "cost", missing=0.0, keep=("sim", "gt_n", "tk_n"))
+    full = matched.join(truth.select(*seq, "t", "gt_id", F.col("cls").alias("gt_cls")), [*seq, "t", "gt_id"]).join(found.select(*seq, "t", "tk_id", F.col("cls").alias("tk_cls")), [*seq, "t", "tk_id"])
     at = full.select("*", _levels(steps).alias("s")).filter(F.col("sim") >= F.col("s.alpha") - EPS)
     pair = at.groupBy(*seq, "s.level", "gt_id", "tk_id").agg(F.count("*").alias("n"), F.count_if(F.col("gt_cls") == F.col("tk_cls")).alias("same"), F.first("gt_n").alias("gt_n"), F.first("tk_n").alias("tk_n"))
     n = F.col("n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import intervals
+from sightline.operators.grouped import map_rows
 
 
 def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -53,23 +54,30 @@ def absorb_short(runs: list[tuple[float, float, str]], least: float) -> list[tup
     """Runs (start, end, label) from left to right, short ones joined to a neighbour.
 
     A short first run joins the next, a short last one the previous, any other the longer neighbour, of equal ones the
-    previous; equal neighbours are one run at the end.
+    previous, as long as that is by now. A run that took a short one before it isn't judged itself; a sole run stays. Equal
+    neighbours are one run at the end.
     """
-    out = [list(r) for r in runs]
-    i = 0
-    while i < len(out) and len(out) > 1:
-        s, e, _ = out[i]
-        if e - s >= least:
-            i += 1
-            continue
-        left = out[i - 1] if i else None
-        right = out[i + 1] if i + 1 < len(out) else None
-        if left is not None and (right is None or left[1] - left[0] >= right[1] - right[0]):
-            left[1] = e
-        else:
-            right[0] = s
-        del out[i]
-    return join_equal([tuple(r) for r in out])
+    out: list[tuple[float, float, str]] = []
+    at = 0
+    while at < len(runs):
+        start, end, label = runs[at]
+        at += 1
+        if end - start < least and len(runs) > 1:
+            ahead = runs[at] if at < len(runs) else None
+            if out and (ahead is None or out[-1][1] - out[-1][0] >= ahead[1] - ahead[0]):
+                out[-1] = out[-1][0], end, out[-1][2]
+                continue
+            _, end, label = ahead
+            at += 1
+        out.append((start, end, label))
+    return join_equal(out)
+
+
+def absorb_weak(runs: list[tuple[float, float, str]], prior: str | None, most: float = 0.6) -> list[tuple[float, float, str]]:
+    """Runs of at most `most` become the prior's, if there is one and more than one run; equal neighbours are then one."""
+    if not prior or len(runs) < 2:
+        return list(runs)
+    return join_equal([(s, e, prior if e - s <= most else label) for s, e, label in runs])
 
 
 def join_equal(runs: list[tuple[float, float, str]]) -> list[tuple[float, float, str]]:
@@ -91,16 +99,19 @@ def smooth_flips(runs: list[tuple[float, float, str]], most: float) -> list[tupl
     return join_equal([tuple(r) for r in out])
 
 
-def chain_runs(df: DataFrame, keys: list[str], start: str, end: str, label: str, step) -> DataFrame:
-    """Each group's runs, in order of start, after a function such as absorb_short or smooth_flips."""
-    import pandas as pd
-
+def absorb_weak_runs(df: DataFrame, keys: list[str], start: str, end: str, label: str, prior: str, most: float) -> DataFrame:
+    """absorb_weak() for each group, whose rows all have the group's prior."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cols = [*keys, start, end, label]
+    cols = [start, end, label]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([start, end, label])
-        rows = step(list(zip(g[start], g[end], g[label], strict=True)))
-        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), *r) for r in rows], columns=cols)
+    def run(rows: list[tuple]) -> list[tuple]:
+        return absorb_weak([r[:3] for r in rows], rows[0][3], most)
 
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols))
+    return map_rows(df.select(*keys, *cols, prior), keys, cols, run, ", ".join(f"{c} {types[c]}" for c in cols))
+
+
+def chain_runs(df: DataFrame, keys: list[str], start: str, end: str, label: str, step) -> DataFrame:
+    """Each group's runs, in order of start, after a function such as absorb_short or smooth_flips."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cols = [start, end, label]
+    return map_rows(df.select(*keys, *cols), keys, cols, step, ", ".join(f"{c} {types[c]}" for c in cols))

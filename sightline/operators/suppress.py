@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.grouped import column, map_groups
+from sightline.functions import boxes as bx
+from sightline.operators.grouped import column, map_groups, map_rows
 
 Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 XYXY = ["x1", "y1", "x2", "y2"]
@@ -86,42 +86,41 @@ def suppress(df: DataFrame, keys: list[str], score: str, ties: list[str], confli
     return map_groups(df, keys, [F.desc(score), *ties], run, df.schema)
 
 
-def track_overlaps(t: pd.DataFrame, track: str, frame: str) -> dict[tuple, tuple[float, float, np.ndarray, np.ndarray]]:
-    """For each pair of tracks with common frames: summed intersection, summed union, IoUs and centre distances."""
-    out = {}
-    by = {k: g.set_index(frame)[XYXY] for k, g in t.groupby(track, sort=True)}
-    names = list(by)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            common = by[a].index.intersection(by[b].index)
-            if not len(common):
-                continue
-            p, q = by[a].loc[common].to_numpy(float), by[b].loc[common].to_numpy(float)
-            w = np.clip(np.minimum(p[:, 2], q[:, 2]) - np.maximum(p[:, 0], q[:, 0]), 0, None)
-            h = np.clip(np.minimum(p[:, 3], q[:, 3]) - np.maximum(p[:, 1], q[:, 1]), 0, None)
-            inter = w * h
-            union = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1]) + (q[:, 2] - q[:, 0]) * (q[:, 3] - q[:, 1]) - inter
-            iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-            d = np.hypot((p[:, 0] + p[:, 2] - q[:, 0] - q[:, 2]) / 2, (p[:, 1] + p[:, 3] - q[:, 1] - q[:, 3]) / 2)
-            side = np.maximum.reduce([np.ones(len(p)), p[:, 2] - p[:, 0], p[:, 3] - p[:, 1], q[:, 2] - q[:, 0], q[:, 3] - q[:, 1]])
-            out[a, b] = inter.sum(), union.sum(), iou, d / side
-    return out
+def track_pairs(df: DataFrame, keys: list[str], track: str, frame: str) -> DataFrame:
+    """(keys, a, b, n, shared, median_iou, median_dist) of tracks a < b with common frames.
+
+    shared is the summed intersection over the summed union of their boxes on those.
+    """
+    a, b = (df.select(*keys, frame, F.col(track).alias(n), F.struct(*XYXY).alias(f"box_{n}")) for n in ("a", "b"))
+    p, q = ([F.col(f"box_{n}.{c}") for c in XYXY] for n in ("a", "b"))
+    met = a.join(b, [*keys, frame]).filter("a < b").select(*keys, "a", "b", bx.intersection(p, q).alias("i"), (bx.area(p) + bx.area(q)).alias("both"), bx.iou(p, q).alias("iou"), bx.centre_distance(p, q).alias("dist"))
+    over = F.coalesce(F.try_divide(F.sum("i"), F.sum(F.col("both") - F.col("i"))), F.lit(0.0))
+    return met.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), over.alias("shared"), F.median("iou").alias("median_iou"), F.median("dist").alias("median_dist"))
+
+
+def _with_conflicts(tracks: DataFrame, conflicts: DataFrame, keys: list[str], track: str) -> DataFrame:
+    """tracks with `against`, the tracks of the pairs (keys, a, b) that they are in."""
+    both = conflicts.select(*keys, F.col("a").alias(track), F.col("b").alias("other")).union(conflicts.select(*keys, "b", "a"))
+    return tracks.join(both.groupBy(*keys, track).agg(F.sort_array(F.collect_list("other")).alias("against")), [*keys, track], "left")
 
 
 def track_nms(df: DataFrame, keys: list[str], track: str, frame: str, score: str, least: float) -> DataFrame:
-    """(keys, track) of the tracks that stay: conflict is summed intersection over summed union on common frames >= least."""
-    schema = f"{', '.join(f'{k} {df.schema[k].dataType.simpleString()}' for k in [*keys, track])}"
+    """(keys, track) of the tracks that stay: conflict is summed intersection over summed union on common frames >= least.
+
+    Tracks are taken by falling mean score, of equal ones (to nine digits) the smaller id first.
+    """
+    tracks = df.groupBy(*keys, track).agg(F.round(F.avg(score), 9).alias("rated"))
+    met = track_pairs(df, keys, track, frame).filter(F.col("shared") >= least)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        over = track_overlaps(g, track, frame)
-        ranked = g.groupby(track)[score].mean().sort_index().sort_values(ascending=False, kind="stable")
-        kept: list = []
-        for t in ranked.index:
-            if all(not (o := over.get((min(t, k), max(t, k)))) or o[1] <= 0 or o[0] / o[1] < least for k in kept):
-                kept.append(t)
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(kept) for k in keys}, track: kept})
+    def run(rows: list[tuple]) -> list[tuple]:
+        kept: dict = {}
+        for t, _, against in rows:
+            if not any(o in kept for o in against or ()):
+                kept[t] = (t,)
+        return list(kept.values())
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    kind = df.schema[track].dataType.simpleString()
+    return map_rows(_with_conflicts(tracks, met, keys, track), keys, [F.desc("rated"), track], run, f"{track} {kind}")
 
 
 def track_dedupe(df: DataFrame, keys: list[str], track: str, frame: str, iou: float, centre: float, frames: int) -> DataFrame:
@@ -129,23 +128,18 @@ def track_dedupe(df: DataFrame, keys: list[str], track: str, frame: str, iou: fl
 
     Pairs are taken in track order; of equal lengths the later goes; a track that goes takes no further part.
     """
-    schema = f"{', '.join(f'{k} {df.schema[k].dataType.simpleString()}' for k in [*keys, track])}"
+    tracks = df.groupBy(*keys, track).agg(F.count("*").alias("size"))
+    near = (F.col("median_iou") >= iou) | (F.col("median_dist") <= centre)
+    met = track_pairs(df, keys, track, frame).filter((F.col("n") >= frames) & near)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        over = track_overlaps(g, track, frame)
-        size = g.groupby(track).size()
+    def run(rows: list[tuple]) -> list[tuple]:
+        size = {t: n for t, n, _ in rows}
         gone: set = set()
-        names = list(size.index)
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                if a in gone:
-                    break
-                o = over.get((a, b))
-                if b in gone or o is None or len(o[2]) < frames:
-                    continue
-                if np.median(o[2]) >= iou or np.median(o[3]) <= centre:
+        for a, _, against in rows:
+            for b in against or ():
+                if b > a and a not in gone and b not in gone:
                     gone.add(a if size[a] < size[b] else b)
-        kept = [t for t in names if t not in gone]
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(kept) for k in keys}, track: kept})
+        return [(t,) for t in size if t not in gone]
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    kind = df.schema[track].dataType.simpleString()
+    return map_rows(_with_conflicts(tracks, met, keys, track), keys, [track], run, f"{track} {kind}")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.plans import detections, evaluation, timeline
+from sightline.plans import detections, evaluation, shaping, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [timeline, detections, evaluation]
+MODULES = [timeline, detections, evaluation, shaping]
 
 
 def queries() -> dict[str, Query]:

@@ -430,7 +430,12 @@ def agent_tool_calls(spark, d):
     return t.select("conv_id", "turn", tx.tool_call(F.col("t")).alias("call"), tx.verdict(F.col("t")).alias("verdict"))
 
 
-@add("wrapped_lines", [])
+@add("wrapped_lines", [], """with recursive w as (select item_id, word, row_number() over (partition by item_id order by spot) as i, n from
+    (select item_id, unnest(words) as word, generate_subscripts(words, 1) as spot, n from (select item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as words, case when regexp_matches(text, '[一-鿿]') then 16 else 24 end as n from benchmark))),
+  r as (select item_id, i, n, 0 as line, word as text from w where i = 1 union all
+    select w.item_id, w.i, w.n, case when length(r.text) + 1 + length(w.word) <= w.n then r.line else r.line + 1 end, case when length(r.text) + 1 + length(w.word) <= w.n then concat(r.text, ' ', w.word) else w.word end
+    from r join w on w.item_id = r.item_id and w.i = r.i + 1)
+  select item_id, line, arg_max(text, i) as text from r group by 1, 2""")
 def wrapped_lines(spark, d):
     """Benchmark texts as subtitle lines."""
     b = table(spark, d, "benchmark").select("item_id", F.posexplode(tx.wrap_subtitle(F.col("text"))).alias("line", "text"))
@@ -476,17 +481,55 @@ def overlap_removal(spark, d):
     return suppress.suppress(view(spark, d, "v_boxes"), ["video_id", "frame"], "conf", ["det_id"], suppress.iom_above(0.3)).select("video_id", "frame", "det_id")
 
 
-@add("track_nms")
+def _matching_sql(pairs_name: str) -> str:
+    """CTEs ending in mt (k, gt, dt): of all matchings of a group's pairs (k, gt, dt, w), the one of the largest sum of w."""
+    return f"""gi as (select k, cast(gt as varchar) as gt, cast(dt as varchar) as dt, cast(w as double) as w, dense_rank() over (partition by k order by cast(gt as varchar)) as i from {pairs_name}),
+  op as (select k, i, gt, dt, w from gi union all select distinct k, i, gt, null, cast(0 as double) from gi),
+  ms as (select distinct k, cast(0 as bigint) as i, cast([] as varchar[]) as used, cast([] as struct(gt varchar, dt varchar)[]) as picks, cast(0 as double) as total from gi union all
+    select s.k, o.i, case when o.dt is null then s.used else list_append(s.used, o.dt) end, case when o.dt is null then s.picks else list_append(s.picks, {{'gt': o.gt, 'dt': o.dt}}) end, s.total + o.w
+    from ms s join op o on o.k = s.k and o.i = s.i + 1 where o.dt is null or not list_contains(s.used, o.dt)),
+  mx as (select k, max(i) as n from gi group by k),
+  mb as (select ms.k, arg_max(picks, total) as picks from ms join mx on ms.k = mx.k and ms.i = mx.n group by ms.k),
+  mt as (select k, p.gt as gt, p.dt as dt from (select k, unnest(picks) as p from mb))"""
+
+
+_TRACK_PAIRS = f"""t as (select *, floor(frame / 100) as shot from v_track_frames),
+  p as (select video_id, shot, a_id, b_id, count(*) as n, sum(i) / nullif(sum(u), 0) as shared, median(iou) as m_iou, median(dist) as m_dist from
+    (select a.video_id, a.shot, a.track_id as a_id, b.track_id as b_id, {_iou('a.', 'b.')} as iou, {_dist('a.', 'b.')} as dist, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as i,
+       (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as u
+     from t a join t b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id) group by 1, 2, 3, 4)"""
+
+
+@add("track_nms", ["v_track_frames"], f"""with recursive {_TRACK_PAIRS},
+  c as (select video_id, shot, a_id as x, b_id as y from p where shared >= 0.3 union all select video_id, shot, b_id, a_id from p where shared >= 0.3),
+  g as (select video_id, shot, x, list(y) as against from c group by 1, 2, 3),
+  s as (select t.video_id, t.shot, track_id, coalesce(any_value(against), []) as against, row_number() over (partition by t.video_id, t.shot order by round(avg(conf), 9) desc, track_id) as rn
+    from t left join g on g.video_id = t.video_id and g.shot = t.shot and g.x = t.track_id group by t.video_id, t.shot, track_id),
+  r as (select video_id, shot, rn, [track_id] as kept from s where rn = 1 union all
+    select n.video_id, n.shot, n.rn, case when list_has_any(r.kept, n.against) then r.kept else list_append(r.kept, n.track_id) end from r join s n on n.video_id = r.video_id and n.shot = r.shot and n.rn = r.rn + 1)
+  select video_id, shot, unnest(kept) as track_id from (select *, row_number() over (partition by video_id, shot order by rn desc) as q from r) where q = 1""")
 def track_nms(spark, d):
-    return suppress.track_nms(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", "conf", 0.5)
+    return suppress.track_nms(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", "conf", 0.3)
 
 
-@add("track_dedupe")
+@add("track_dedupe", ["v_track_frames"], f"""with recursive {_TRACK_PAIRS},
+  z as (select video_id, shot, track_id, count(*) as size from t group by 1, 2, 3),
+  c as (select p.*, case when za.size < zb.size then a_id else b_id end as loser, row_number() over (partition by p.video_id, p.shot order by a_id, b_id) as rn from p
+    join z za on za.video_id = p.video_id and za.shot = p.shot and za.track_id = a_id join z zb on zb.video_id = p.video_id and zb.shot = p.shot and zb.track_id = b_id where n >= 1 and (m_iou >= 0.35 or m_dist <= 0.20)),
+  r as (select video_id, shot, rn, [loser] as gone from c where rn = 1 union all
+    select n.video_id, n.shot, n.rn, case when list_has_any(r.gone, [n.a_id, n.b_id]) then r.gone else list_append(r.gone, n.loser) end from r join c n on n.video_id = r.video_id and n.shot = r.shot and n.rn = r.rn + 1),
+  e as (select video_id, shot, unnest(gone) as track_id from (select *, row_number() over (partition by video_id, shot order by rn desc) as q from r) where q = 1)
+  select video_id, shot, track_id from z anti join e using (video_id, shot, track_id)""")
 def track_dedupe(spark, d):
-    return suppress.track_dedupe(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", 0.70, 0.20, 2)
+    return suppress.track_dedupe(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", 0.35, 0.20, 1)
 
 
-@add("assignment")
+@add("assignment", ["v_gt", "v_pred"], f"""with recursive pr as (select * from (select {{'v': g.video_id, 'f': g.frame}} as k, g.det_id as gt, p.det_id as dt, {_iou('g.', 'p.')} as iou, iou - 1e-9 * g.track_id as w from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame) where iou > 0),
+  {_matching_sql('pr')}
+  select mt.k.v as video_id, mt.k.f as frame, mt.gt as gt_det_id, mt.dt as dt_det_id, 1 - iou as cost from mt join pr on pr.k = mt.k and pr.gt = mt.gt and pr.dt = mt.dt where 1 - iou <= 0.9""")
 def assignment(spark, d):
-    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id")).withColumn("cost", 1 - F.col("iou"))
-    return assign.assign(t.select("video_id", "frame", "gt_det_id", "dt_det_id", "cost"), ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", 0.9)
+    """Matches of least cost; of equally near truths the one of the smaller track goes first."""
+    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"), (["track_id"], []))
+    t = t.withColumn("cost", 1 - F.col("iou") + 1e-9 * F.col("gt_track_id"))
+    matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", keep=("iou",))
+    return matched.withColumn("cost", 1 - F.col("iou")).filter("cost <= 0.9").drop("iou")

@@ -12,7 +12,7 @@ from sightline.functions import boxes as bx
 from sightline.functions import rle, rotated
 from sightline.operators import cluster, linking, metrics, pairs
 from sightline.operators.components import components
-from sightline.plans.detections import _dist, _iou
+from sightline.plans.detections import _dist, _iou, _matching_sql
 from sightline.plans.views import oracle, table, view
 from sightline.streaming import tracker
 
@@ -40,55 +40,147 @@ def _sides(spark, d):
     return g, p, met.select("video_id", "t", F.col("gt_i").alias("gt_id"), F.col("dt_i").alias("tk_id"), F.col("iou").alias("sim"))
 
 
-@add("hota")
+_SEQUENCES = f"""with recursive g as (select video_id, frame as t, track_id as gt_id, b.c as cls, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2 from
+    (select video_id, frame, track_id, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'c': category_id}}, (conf, det_id)) as b from v_gt group by 1, 2, 3)),
+  h as (select video_id, frame as t, track_id as tk_id, b.c as cls, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2 from
+    (select video_id, frame, track_id, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'c': category_id}}, (conf, det_id)) as b from v_pred group by 1, 2, 3)),
+  sm as (select * from (select g.video_id, g.t, gt_id, tk_id, g.cls as gt_cls, h.cls as tk_cls, {_iou('g.', 'h.')} as sim from g join h on g.video_id = h.video_id and g.t = h.t) where sim > 0),
+  sh as (select video_id, gt_id, tk_id, sum(sim / total) as potential from (select *, sum(sim) over (partition by video_id, t, gt_id) + sum(sim) over (partition by video_id, t, tk_id) - sim as total from sm) group by 1, 2, 3),
+  gn as (select video_id, gt_id, count(*) as gt_n from g group by 1, 2), hn as (select video_id, tk_id, count(*) as tk_n from h group by 1, 2),
+  sc as (select sm.*, gt_n, tk_n, {{'v': sm.video_id, 't': sm.t}} as k, sm.gt_id as gt, sm.tk_id as dt, sim * potential / (gt_n + tk_n - potential) as w
+    from sm join sh on sm.video_id = sh.video_id and sm.gt_id = sh.gt_id and sm.tk_id = sh.tk_id join gn on gn.video_id = sm.video_id and gn.gt_id = sm.gt_id join hn on hn.video_id = sm.video_id and hn.tk_id = sm.tk_id),
+  {_matching_sql('sc')},
+  hit as (select sc.* from sc join mt on sc.k = mt.k and cast(sc.gt as varchar) = mt.gt and cast(sc.dt as varchar) = mt.dt)"""
+_HOTA = f"""{_SEQUENCES},
+  lv as (select unnest(range(19)) as level), la as (select cast(level as int) as level, cast(0.05 as double) * (level + 1) as alpha from lv),
+  bp as (select video_id, level, gt_id, tk_id, count(*) as n, sum(sim) as loc, any_value(gt_n) as gt_n, any_value(tk_n) as tk_n from hit join la on sim >= alpha - 2.220446049250313e-16 group by 1, 2, 3, 4),
+  su as (select video_id, level, sum(n) as tp, sum(loc) as loc, sum(n * n * 1.0 / greatest(1, gt_n + tk_n - n)) as ass from bp group by 1, 2),
+  dn as (select coalesce(a.video_id, b.video_id) as video_id, coalesce(n_gt, 0) as n_gt, coalesce(n_tk, 0) as n_tk from (select video_id, count(*) as n_gt from g group by 1) a full join (select video_id, count(*) as n_tk from h group by 1) b on a.video_id = b.video_id),
+  per as (select dn.video_id, la.level, coalesce(tp, 0) as tp, n_gt - coalesce(tp, 0) as fn, n_tk - coalesce(tp, 0) as fp, coalesce(loc, 0) as loc, coalesce(ass, 0) as ass from dn cross join la left join su on su.video_id = dn.video_id and su.level = la.level)"""
+_HOTA_FIELDS = """cast(tp as bigint) as tp, cast(fn as bigint) as fn, cast(fp as bigint) as fp, tp * 1.0 / greatest(1, tp + fn + fp) as det_a, ass / greatest(1, tp) as ass_a, greatest(1e-10, loc) / greatest(1e-10, tp) as loc_a,
+  sqrt(tp * 1.0 / greatest(1, tp + fn + fp) * ass / greatest(1, tp)) as hota"""
+
+
+@add("hota", ["v_gt", "v_pred"], f"{_HOTA} select video_id, level, {_HOTA_FIELDS}, sqrt(tp * 1.0 / greatest(1, tp + fn) * ass / greatest(1, tp)) as owta from per")
 def hota(spark, d):
     return metrics.hota(*_sides(spark, d), ["video_id"]).select("video_id", "level", "tp", "fn", "fp", "det_a", "ass_a", "loc_a", "hota", "owta")
 
 
-@add("hota_combined")
+@add("hota_combined", ["v_gt", "v_pred"], f"{_HOTA}, al as (select level, sum(tp) as tp, sum(fn) as fn, sum(fp) as fp, sum(loc) as loc, sum(ass) as ass from per group by level) select level, {_HOTA_FIELDS} from al")
 def hota_combined(spark, d):
     return metrics.combine(metrics.hota(*_sides(spark, d), ["video_id"]), []).select("level", "tp", "fn", "fp", "det_a", "ass_a", "loc_a", "hota")
 
 
-@add("hota_class_average")
+@add("hota_class_average", ["v_gt", "v_pred"], f"""{_HOTA}, f as (select level, {_HOTA_FIELDS}, sqrt(tp * 1.0 / greatest(1, tp + fn) * ass / greatest(1, tp)) as owta from per where tp + fn + fp > 0)
+  select level, cast(0.05 as double) * (level + 1) as alpha, avg(hota) as hota, avg(det_a) as det_a, avg(ass_a) as ass_a, avg(loc_a) as loc_a, avg(owta) as owta, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from f group by level""")
 def hota_class_average(spark, d):
     return metrics.class_average(metrics.hota(*_sides(spark, d), ["video_id"]))
 
 
-@add("teta")
+@add("teta", ["v_gt", "v_pred"], f"""{_SEQUENCES},
+  lv as (select unnest(range(20)) as level), la as (select cast(level as int) as level, cast(0.05 as double) * level as alpha from lv),
+  av as (select hit.*, level from hit join la on sim >= alpha - 2.220446049250313e-16),
+  bp as (select video_id, level, gt_id, tk_id, count(*) as n, count(*) filter (gt_cls = tk_cls) as same, any_value(gt_n) as gt_n, any_value(tk_n) as tk_n from av group by 1, 2, 3, 4),
+  su as (select video_id, level, sum(n) as tp, sum(same) as cls_tp, sum(n * n * 1.0 / greatest(1, gt_n + tk_n - n)) as ass from bp group by 1, 2),
+  cl as (select video_id, count(*) as n_close from (select distinct video_id, t, tk_id from sm where sim >= 0.5) group by 1),
+  kp as (select video_id, level, count(*) as n_kept from (select distinct video_id, t, tk_id, level from av where sim >= 0.5) group by 1, 2),
+  per as (select n.video_id, la.alpha, coalesce(tp, 0) * 1.0 / greatest(1, n_gt + coalesce(n_close, 0) - coalesce(n_kept, 0)) as loc_a, coalesce(ass, 0) / greatest(1, coalesce(tp, 0)) as assoc_a, coalesce(cls_tp, 0) * 1.0 / greatest(1, coalesce(tp, 0)) as cls_a
+    from (select video_id, count(*) as n_gt from g group by 1) n cross join la left join cl on cl.video_id = n.video_id left join su on su.video_id = n.video_id and su.level = la.level left join kp on kp.video_id = n.video_id and kp.level = la.level),
+  me as (select video_id, 100 * avg(loc_a) as loc_a, 100 * avg(assoc_a) as assoc_a, 100 * coalesce(avg(cls_a) filter (alpha >= 0.5 - 1e-12), 0.0) as cls_a from per group by 1)
+  select *, (loc_a + assoc_a + cls_a) / 3 as teta from me""")
 def teta(spark, d):
     return metrics.teta_summary(metrics.teta(*_sides(spark, d), ["video_id"]), ["video_id"])
 
 
 def _images(spark, d):
+    """Truth, predictions, their overlapping pairs, the keys of an image and all images that were looked at."""
     k = ["video_id", "frame", "category_id"]
     g, p = view(spark, d, "v_gt"), view(spark, d, "v_pred").filter("conf >= 0.5")
     sim = pairs.pair_table(g, p, k, ("det_id", "det_id")).filter("iou > 0").select(*k, F.col("gt_det_id").alias("gt_id"), F.col("dt_det_id").alias("dt_id"), "iou")
-    return g, p, sim, k
+    return g, p, sim, k, view(spark, d, "v_boxes").select(*k).distinct()
 
 
-@add("concept_f1")
+_IMAGES = f"""with recursive d as (select * from v_pred where conf >= 0.5),
+  pr as (select * from (select {{'v': g.video_id, 'f': g.frame, 'c': g.category_id}} as k, g.det_id as gt, d.det_id as dt, {_iou('g.', 'd.')} as w from v_gt g join d on g.video_id = d.video_id and g.frame = d.frame and g.category_id = d.category_id) where w > 0),
+  {_matching_sql('pr')},
+  hit as (select mt.k, w from mt join pr on pr.k = mt.k and pr.gt = mt.gt and pr.dt = mt.dt),
+  im as (select {{'v': b.video_id, 'f': b.frame, 'c': b.category_id}} as k, coalesce(ng, 0) as n_gt, coalesce(nd, 0) as n_dt from (select distinct video_id, frame, category_id from v_boxes) b
+    left join (select video_id, frame, category_id, count(*) as ng from v_gt group by 1, 2, 3) g on g.video_id = b.video_id and g.frame = b.frame and g.category_id = b.category_id
+    left join (select video_id, frame, category_id, count(*) as nd from d group by 1, 2, 3) e on e.video_id = b.video_id and e.frame = b.frame and e.category_id = b.category_id),
+  la as (select cast(level as int) as level, cast(0.5 as double) + cast(0.05 as double) * level as alpha from (select unnest(range(10)) as level)),
+  tps as (select k, level, count(*) as tp from hit join la on w >= alpha group by 1, 2),
+  m as (select im.k, n_gt, n_dt, la.level, la.alpha, coalesce(tp, 0) as tp, n_dt - coalesce(tp, 0) as fp, n_gt - coalesce(tp, 0) as fn from im cross join la left join tps on tps.k = im.k and tps.level = la.level)"""
+
+
+def _f1_sql(tp: str, fp: str, fn: str) -> str:
+    p, r = f"({tp} / ({tp} + {fp} + 1e-4))", f"({tp} / ({tp} + {fn} + 1e-4))"
+    return f"2 * {p} * {r} / ({p} + {r} + 1e-4)"
+
+
+_CONCEPT = f"""{_IMAGES},
+  a as (select level, alpha, cast(sum(tp) as double) as tp, cast(sum(fp) as double) as fp, cast(sum(fn) as double) as fn, cast(coalesce(sum(fp) filter (n_gt > 0), 0) as double) as pm,
+    sum(case when n_gt > 0 and n_dt > 0 then {_f1_sql('tp', 'fp', 'fn')} else 0 end) as fs, cast(count(*) filter (n_gt > 0 and n_dt > 0) as double) as it, cast(count(*) filter (n_gt = 0 and n_dt > 0) as double) as ip,
+    cast(count(*) filter (n_gt > 0 and n_dt = 0) as double) as im, cast(count(*) filter (n_gt = 0 and n_dt = 0) as double) as tn, cast(count(*) filter (n_gt > 0) as double) as pos,
+    cast(count(*) filter (n_gt > 0 and fp = 0 and fn = 0) as double) as pp, cast(count(*) filter (n_gt = 0 and fp = 0) as double) as np from m group by level, alpha)"""
+
+
+@add("concept_f1", ["v_boxes", "v_gt", "v_pred"], f"""{_CONCEPT}, c as (select *, (it * tn - ip * im) / (sqrt((it + ip) * (it + im) * (tn + ip) * (tn + im)) + 1e-6) as mcc, {_f1_sql('tp', 'pm', 'fn')} as pf, it / (it + ip + 1e-6) as ipr, it / (it + im + 1e-6) as irc from a)
+  select level, alpha, tp, fp, fn, {_f1_sql('tp', 'fp', 'fn')} as micro_f1, pf as positive_micro_f1, fs / nullif(it, 0) as positive_macro_f1, 2 * ipr * irc / (ipr + irc + 1e-6) as il_f1, mcc as il_mcc, pf * mcc as cg_f1 from c""")
 def concept_f1(spark, d):
-    g, p, sim, k = _images(spark, d)
-    return metrics.concept_f1(metrics.image_matches(g, p, sim, k))
+    g, p, sim, k, images = _images(spark, d)
+    return metrics.concept_f1(metrics.image_matches(g, p, sim, k, images=images))
+
 
+@add("perfect_images", ["v_boxes", "v_gt", "v_pred"], f"""{_CONCEPT} select level, alpha, pp / (pos + 1e-9) as perfect_positive, np / (it + ip + im + tn - pos + 1e-9) as perfect_negative, fs / nullif(pos, 0) as positive_w0dt_macro_f1 from a""")
+def perfect_images(spark, d):
+    """Shares of images without any error, and macro F1 that counts images without predictions."""
+    g, p, sim, k, images = _images(spark, d)
+    return metrics.perfect_images(metrics.image_matches(g, p, sim, k, images=images))
 
-@add("phrase_f1")
+
+@add("mean_overlap", ["v_boxes", "v_gt", "v_pred"], f"{_IMAGES} select sum(j) / (count(*) + 1e-9) as mean_overlap, count(*) as n_images from (select avg(w) as j from hit group by k)")
+def mean_overlap(spark, d):
+    _, _, sim, k, _ = _images(spark, d)
+    return metrics.mean_overlap(sim, k)
+
+
+@add("phrase_f1", ["v_boxes", "v_gt", "v_pred"], f"""{_IMAGES}, s as (select k.v as video_id, k.c as category_id, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from m where level = 0 and n_gt + n_dt > 0 group by 1, 2)
+  select *, coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 1.0) as f1 from s""")
 def phrase_f1(spark, d):
     """F1 of each video and category at an overlap of a half."""
-    g, p, sim, k = _images(spark, d)
+    g, p, sim, k, _ = _images(spark, d)
     m = metrics.image_matches(g, p, sim, k, [0.5]).groupBy("video_id", "category_id").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     return m.withColumn("f1", metrics.np_f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@add("average_precision")
+def _ap_sql(found: str, truth: str) -> str:
+    """Average precision of a table of predictions against one of truths, by falling score and 101 recalls."""
+    return f"""with recursive f as (select * from {found}), u as (select * from {truth}),
+  la as (select cast(level as int) as level, cast(0.5 as double) + cast(0.05 as double) * level as alpha from (select unnest(range(10)) as level)),
+  o as (select {{'v': f.video_id, 'f': f.frame, 'c': f.category_id}} as k, f.det_id as dt, f.conf, list({{'g': u.det_id, 'w': {_iou('u.', 'f.')}}} order by u.det_id) as near
+    from f join u on u.video_id = f.video_id and u.frame = f.frame and u.category_id = f.category_id group by f.video_id, f.frame, f.category_id, f.det_id, f.conf),
+  r as (select *, row_number() over (partition by k order by conf desc, dt) as i from o),
+  st as (select r.k, la.level, la.alpha, cast(0 as bigint) as i, cast([] as varchar[]) as used, cast(null as varchar) as dt, false as hit from (select distinct k from r) r cross join la union all
+    select s.k, s.level, s.alpha, r.i, case when len(fit) > 0 then list_append(s.used, list_sort(list_transform(fit, lambda x: {{'w': x.w, 'g': x.g}}))[-1].g) else s.used end, r.dt, len(fit) > 0
+    from st s join r on r.k = s.k and r.i = s.i + 1 cross join lateral (select list_filter(r.near, lambda x: x.w >= s.alpha and not list_contains(s.used, x.g)) as fit)),
+  hits as (select level, dt from st where hit),
+  nt as (select category_id, count(*) as n_gt from u group by 1),
+  cv as (select f.category_id, la.level, n_gt, row_number() over w as rank, count(h.dt) over w as tp from f join nt on nt.category_id = f.category_id cross join la left join hits h on h.dt = f.det_id and h.level = la.level
+    window w as (partition by f.category_id, la.level order by conf desc, f.det_id rows between unbounded preceding and current row)),
+  pc as (select category_id, level, tp / cast(n_gt as double) as recall, max(tp / cast(rank as double)) as p from cv group by 1, 2, 3),
+  mp as (select category_id, level, recall, max(p) over (partition by category_id, level order by recall desc rows between unbounded preceding and current row) as p from pc),
+  gr as (select category_id, level, r / cast(100 as double) - 1e-11 as at from nt cross join la cross join (select unnest(range(101)) as r))"""
+
+
+@add("average_precision", ["v_gt", "v_pred"], f"""{_ap_sql('v_pred', 'v_gt')}
+  select gr.category_id, gr.level, sum(coalesce(p, 0)) / 101 as ap from gr asof left join mp on mp.category_id = gr.category_id and mp.level = gr.level and gr.at <= mp.recall group by 1, 2""")
 def average_precision(spark, d):
-    g, _, _, k = _images(spark, d)
-    p = view(spark, d, "v_pred")
+    k = ["video_id", "frame", "category_id"]
+    g, p = view(spark, d, "v_gt"), view(spark, d, "v_pred")
     sim = pairs.pair_table(g, p, k, ("det_id", "det_id")).select(*k, F.col("gt_det_id").alias("gt_id"), F.col("dt_det_id").alias("dt_id"), "iou")
     found = p.select(*k, F.col("det_id").alias("dt_id"), F.col("conf").alias("score"))
     m = metrics.ap_matches(found, sim, k)
-    return metrics.average_precision(m, g.groupBy("category_id").agg(F.count("*").alias("n_gt")), ["category_id"])
+    return metrics.average_precision(m, g.groupBy("category_id").agg(F.count("*").alias("n_gt")), ["category_id"]).drop("n_gt")
 
 
 @add("mask_boxes", ["v_boxes"], """select det_id, cast((floor(x2 / 10) - floor(x1 / 10)) * (floor(y2 / 10) - floor(y1 / 10)) as bigint) as area, cast(floor(x1 / 10) as int) as bx1, cast(floor(y1 / 10) as int) as by1, cast(floor(x2 / 10) as int) as bx2, cast(floor(y2 / 10) as int) as by2 from v_boxes""")
@@ -150,20 +242,24 @@ def _edges(spark, d):
     return c.select(F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"))
 
 
-@add("track_components", ["v_track_frames"], f"""with m as (select a.video_id, a.track_id as a, b.track_id as b, {_iou('a.', 'b.')} as iou from v_track_frames a join v_track_frames b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id),
+_COMPONENTS = f"""with m as (select a.video_id, a.track_id as a, b.track_id as b, {_iou('a.', 'b.')} as iou from v_track_frames a join v_track_frames b on a.video_id = b.video_id and a.frame = b.frame and a.track_id < b.track_id),
   g as (select a, b from m group by video_id, a, b having avg(iou) >= 0.03), e as (select a, b from g union select b, a from g),
   r as (select a as id, least(a, b) as l0 from e), n as (select id, min(l0) as label from r group by id),
   n2 as (select n.id, least(n.label, min(x.label)) as label from n join e on e.a = n.id join n x on x.id = e.b group by n.id, n.label),
   n3 as (select n.id, least(n.label, min(x.label)) as label from n2 n join e on e.a = n.id join n2 x on x.id = e.b group by n.id, n.label),
   n4 as (select n.id, least(n.label, min(x.label)) as label from n3 n join e on e.a = n.id join n3 x on x.id = e.b group by n.id, n.label),
   n5 as (select n.id, least(n.label, min(x.label)) as label from n4 n join e on e.a = n.id join n4 x on x.id = e.b group by n.id, n.label),
-  n6 as (select n.id, least(n.label, min(x.label)) as label from n5 n join e on e.a = n.id join n5 x on x.id = e.b group by n.id, n.label) select id, label from n6""")
+  n6 as (select n.id, least(n.label, min(x.label)) as label from n5 n join e on e.a = n.id join n5 x on x.id = e.b group by n.id, n.label)"""
+
+
+@add("track_components", ["v_track_frames"], f"{_COMPONENTS} select id, label from n6")
 def track_components(spark, d):
     """Tracks connected by must-links."""
     return components(_edges(spark, d))
 
 
-@add("identity_merge_map")
+@add("identity_merge_map", ["v_boxes", "v_track_frames"], f"""{_COMPONENTS}, s as (select track_id as id, min(frame) as first from v_boxes group by 1),
+  j as (select c.id, c.label, s.first from (select id, label from n6) c join s on s.id = c.id), b as (select label, arg_min(id, (first, id)) as target from j group by 1) select j.id, target from j join b on b.label = j.label""")
 def identity_merge_map(spark, d):
     spans = view(spark, d, "v_boxes").groupBy(F.col("track_id").alias("id")).agg(F.min("frame").alias("first"))
     return cluster.merge_map(components(_edges(spark, d)), spans)
@@ -204,12 +300,12 @@ def rotated_overlaps(spark, d):
     return t.select("gt_det_id", "dt_det_id", *cols).mapInPandas(work, "gt_det_id string, dt_det_id string, iou double")
 
 
-@add("refined_segments", ["v_segments"])
+@add("refined_segments")
 def refined_segments(spark, d):
-    """Ten-second segments of a document snapped to its words."""
-    w = view(spark, d, "v_words")
-    seg = w.groupBy("doc_id", F.floor(F.col("start_s") / 10).alias("win")).agg(F.min("start_s").alias("start_s"), (F.max("end_s") + 0.2).alias("end_s")).withColumn("label", (F.col("win") % 2).cast("string"))
-    return linking.refine_segments(seg, w, "doc_id")
+    """Ten-second segments of a document, each with its own words, snapped to those."""
+    w = view(spark, d, "v_words").withColumn("win", F.floor(F.col("start_s") / 10))
+    seg = w.groupBy("doc_id", "win").agg(F.min("start_s").alias("start_s"), (F.max("end_s") + 0.2).alias("end_s"), F.collect_list(F.struct("start_s", "end_s")).alias("words"))
+    return linking.refine_segments(seg.withColumn("label", (F.col("win") % 2).cast("string")), "doc_id")
 
 
 @add("best_annotators", ["v_gt"], """with s as (select video_id, frame, track_id % 3 as who, case when count(*) > 3 then null else round(avg(conf), 9) end as f from v_gt group by 1, 2, 3)

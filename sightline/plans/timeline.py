@@ -285,14 +285,44 @@ def nearest_frames(spark, d):
     return met.withColumn("rank", F.row_number().over(w)).filter("rank <= 4").select("video_id", "shot_id", "frame", "rank")
 
 
-@add("absorb_short_runs")
+_RUNS = """m as (select frame, arg_max(track_id, (score, -track_id)) as win from v_scores group by frame), g as (select frame, frame // 24 as day, win from m),
+  q as (select *, sum(case when win = pw then 0 else 1 end) over (partition by day order by frame) as run from (select *, lag(win) over (partition by day order by frame) as pw from g)),
+  w as (select day, min(frame) * 1.0 as s, max(frame) + 1.0 as e, min(win) as win, run from q group by day, run)"""
+#: Runs x (day, i, s, e, label) with equal neighbours as one.
+_JOINED = """y as (select *, sum(case when label = pl then 0 else 1 end) over (partition by day order by i) as part from (select *, lag(label) over (partition by day order by i) as pl from x))
+  select day, min(s) as s, max(e) as e, min(label) as label from y group by day, part"""
+
+
+@add("absorb_short_runs", ["v_scores"], f"""with recursive {_RUNS},
+  c as (select day, s, e, cast(win as varchar) as label, row_number() over (partition by day order by s) as i, count(*) over (partition by day) as n from w),
+  r as (select day, cast(1 as bigint) as k, cast([] as struct(s double, e double, label varchar)[]) as done from (select distinct day from c) union all
+    select r.day, case when c.e - c.s < 2 and c.n > 1 and not (len(done) > 0 and (x.i is null or done[-1].e - done[-1].s >= x.e - x.s)) then k + 2 else k + 1 end,
+      case when c.e - c.s >= 2 or c.n = 1 then list_append(done, {{'s': c.s, 'e': c.e, 'label': c.label}})
+           when len(done) > 0 and (x.i is null or done[-1].e - done[-1].s >= x.e - x.s) then list_append(done[:-2], {{'s': done[-1].s, 'e': c.e, 'label': done[-1].label}})
+           else list_append(done, {{'s': c.s, 'e': x.e, 'label': x.label}}) end
+    from r join c on c.day = r.day and c.i = r.k left join c x on x.day = r.day and x.i = r.k + 1),
+  l as (select day, unnest(done) as d, generate_subscripts(done, 1) as i from (select day, arg_max(done, k) as done from r group by day)),
+  x as (select day, i, d.s as s, d.e as e, d.label as label from l), {_JOINED}""")
 def absorb_short_runs(spark, d):
     """Winner runs of each day without runs shorter than two frames."""
     runs = winner_runs(spark, d).select("day", F.col("first").cast("double").alias("s"), (F.col("last") + 1).cast("double").alias("e"), F.col("win").cast("string").alias("label"))
     return speakers.chain_runs(runs, ["day"], "s", "e", "label", lambda r: speakers.absorb_short(r, 2.0))
 
 
-@add("smooth_flips")
+@add("absorb_prior_runs", ["v_scores"], f"""with {_RUNS}, p as (select day, mode(win order by win) as prior, count(*) as n from w group by day),
+  x as (select w.day, row_number() over (partition by w.day order by s) as i, s, e, cast(case when e - s <= 1 and n > 1 then prior else win end as varchar) as label from w join p on p.day = w.day), {_JOINED}""")
+def absorb_prior_runs(spark, d):
+    """Runs of one frame become those of the identity that wins most runs of the day."""
+    runs = winner_runs(spark, d).select("day", F.col("first").cast("double").alias("s"), (F.col("last") + 1).cast("double").alias("e"), F.col("win").cast("string").alias("label"), "win")
+    counted = runs.groupBy("day", "win").agg(F.count("*").alias("n"))
+    prior = counted.groupBy("day").agg(F.max_by("win", F.struct("n", -F.col("win"))).cast("string").alias("prior"))
+    return speakers.absorb_weak_runs(runs.drop("win").join(prior, "day"), ["day"], "s", "e", "label", "prior", 1.0)
+
+
+@add("smooth_flips", ["v_scores"], f"""with recursive {_RUNS}, c as (select day, s, e, cast(win % 2 as varchar) as label, row_number() over (partition by day order by s) as i from w),
+  x as (select day, i, s, e, label from c where i = 1 union all
+    select c.day, c.i, c.s, c.e, case when x.label = z.label and c.label <> z.label and c.e - c.s <= 1 then x.label else c.label end as label
+    from x join c on c.day = x.day and c.i = x.i + 1 left join c z on z.day = x.day and z.i = x.i + 2), {_JOINED}""")
 def smooth_flips(spark, d):
     runs = winner_runs(spark, d).select("day", F.col("first").cast("double").alias("s"), (F.col("last") + 1).cast("double").alias("e"), (F.col("win") % 2).cast("string").alias("label"))
     return speakers.chain_runs(runs, ["day"], "s", "e", "label", lambda r: speakers.smooth_flips(r, 1.0))

@@ -14,10 +14,10 @@ def frame_times(rows: DataFrame, times: DataFrame, frame: str = "frame") -> Data
     return rows.join(times.select(F.col("frame").alias(frame), "pts"), frame)
 
 
-def last_track_only(rows: DataFrame, identity: str, track: str) -> DataFrame:
+def last_track_only(rows: DataFrame, identity: list[str], track: str) -> DataFrame:
     """The rows of each identity's last track: activity totals as they are where a later track replaces an earlier one."""
-    last = rows.groupBy(identity).agg(F.max(track).alias(track))
-    return rows.join(last, [identity, track], "left_semi")
+    last = rows.groupBy(*identity).agg(F.max(track).alias(track))
+    return rows.join(last, [*identity, track], "left_semi")
 
 
 def plain_pool(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

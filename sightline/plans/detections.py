@@ -219,11 +219,11 @@ def identity_co_presence(spark, d):
     return g.select("video_id", "a_ident", "b_ident", "n_frames", pairs.upper_median(F.col("_all")).alias("upper_median"))
 
 
-@add("identity_spans", ["v_boxes"], """with s as (select video_id, track_id, min(frame) as s, max(frame) as e from v_boxes where track_id % 5 = 0 group by video_id, track_id)
+@add("identity_spans", ["v_boxes"], """with s as (select video_id, track_id, min(frame) as s, max(frame) as e from v_boxes group by video_id, track_id)
   select a.video_id, a.track_id as a_track, b.track_id as b_track, least(a.e, b.e) - greatest(a.s, b.s) as shared from s a join s b on a.video_id = b.video_id and a.track_id < b.track_id and least(a.e, b.e) - greatest(a.s, b.s) >= 3""")
 def identity_spans(spark, d):
     """Pairs of tracks whose spans overlap by three frames or more: an interval join inside each video."""
-    s = view(spark, d, "v_boxes").filter("track_id % 5 = 0").groupBy("video_id", "track_id").agg(F.min("frame").alias("s"), F.max("frame").alias("e"))
+    s = view(spark, d, "v_boxes").groupBy("video_id", "track_id").agg(F.min("frame").alias("s"), F.max("frame").alias("e"))
     a, b = (pairs.prefixed(s, p, ["video_id"], ["track_id", "s", "e"]) for p in ("a_", "b_"))
     m = intervals.interval_join(a, b, ["video_id"], ("a_s", "a_e"), ("b_s", "b_e"), 1000.0).filter("a_track_id < b_track_id")
     return m.withColumn("shared", F.least("a_e", "b_e") - F.greatest("a_s", "b_s")).filter("shared >= 3").select("video_id", F.col("a_track_id").alias("a_track"), F.col("b_track_id").alias("b_track"), "shared")
@@ -386,12 +386,12 @@ def subsample(spark, d):
 # --- dataset shaping and agent log ----------------------------------------------------------------------------------
 
 
-@add("visible_annotations", ["v_boxes"], """with a as (select video_id, track_id, list(case when conf > 0.3 then {'frame': frame, 'area': (x2 - x1) * (y2 - y1)} end order by frame, det_id) as items from v_boxes where track_id % 3 = 0 group by 1, 2)
+@add("visible_annotations", ["v_boxes"], """with a as (select video_id, track_id, list(case when conf > 0.3 then {'frame': frame, 'area': (x2 - x1) * (y2 - y1)} end order by frame, det_id) as items from v_boxes group by 1, 2)
   select video_id, track_id, len(items) as n, len(list_filter(items, lambda x: x is not null)) as n_visible, list_avg(list_transform(list_filter(items, lambda x: x is not null), lambda x: x.area)) as mean_area from a""")
 def visible_annotations(spark, d):
     """Per-frame lists with nulls for invisible frames, and what is visible of them."""
     item = F.when(F.col("conf") > 0.3, F.struct("frame", bx.area(bx.box()).alias("area")))
-    a = view(spark, d, "v_boxes").filter("track_id % 3 = 0").groupBy("video_id", "track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "det_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    a = view(spark, d, "v_boxes").groupBy("video_id", "track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "det_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
     seen = F.filter("items", lambda x: x.isNotNull())
     mean = F.aggregate(seen, F.lit(0.0), lambda s, x: s + x["area"]) / F.nullif(F.size(seen), F.lit(0))
     return a.select("video_id", "track_id", F.size("items").alias("n"), F.size(seen).alias("n_visible"), mean.alias("mean_area"))
@@ -524,12 +524,13 @@ def track_dedupe(spark, d):
     return suppress.track_dedupe(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", 0.35, 0.20, 1)
 
 
-@add("assignment", ["v_gt", "v_pred"], f"""with recursive pr as (select * from (select {{'v': g.video_id, 'f': g.frame}} as k, g.det_id as gt, p.det_id as dt, {_iou('g.', 'p.')} as iou, iou - 1e-9 * g.track_id as w from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame) where iou > 0),
+@add("assignment", ["v_gt", "v_pred"], f"""with recursive pr as (select * from (select {{'v': g.video_id, 'f': g.frame}} as k, g.det_id as gt, p.det_id as dt, {_iou('g.', 'p.')} as iou, iou - 1e-9 * dense_rank() over (partition by g.video_id, g.frame order by g.det_id) as w from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame) where iou > 0),
   {_matching_sql('pr')}
   select mt.k.v as video_id, mt.k.f as frame, mt.gt as gt_det_id, mt.dt as dt_det_id, 1 - iou as cost from mt join pr on pr.k = mt.k and pr.gt = mt.gt and pr.dt = mt.dt where 1 - iou <= 0.9""")
 def assignment(spark, d):
-    """Matches of least cost; of equally near truths the one of the smaller track goes first."""
-    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"), (["track_id"], []))
-    t = t.withColumn("cost", 1 - F.col("iou") + 1e-9 * F.col("gt_track_id"))
+    """Matches of least cost; of equally near truths the first by id is taken."""
+    t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"))
+    rank = F.dense_rank().over(Window.partitionBy("video_id", "frame").orderBy("gt_det_id"))
+    t = t.withColumn("cost", 1 - F.col("iou") + 1e-9 * rank)
     matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", keep=("iou",))
     return matched.withColumn("cost", 1 - F.col("iou")).filter("cost <= 0.9").drop("iou")

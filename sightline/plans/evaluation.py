@@ -222,13 +222,12 @@ def embedding_pool(spark, d):
     return cluster.pool(e, ["label"], "embedding", ["vec_id"], 6).withColumn("value", F.round("value", 9))
 
 
-@add("similar_embeddings", [], """with n as (select vec_id, vec_id % 16 as part, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings)
-  select a.part, a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))) / (a.norm * b.norm), 9) as similarity
-  from n a join n b on a.part = b.part and a.vec_id < b.vec_id where list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))) / (a.norm * b.norm) >= 0.3""")
+@add("similar_embeddings", [], """with n as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings),
+  l as (select a.vec_id as a, b.vec_id as b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))) / (a.norm * b.norm) as s from n a join n b on a.vec_id < b.vec_id)
+  select a, b, round(s, 9) as similarity from l where s >= 0.3""")
 def similar_embeddings(spark, d):
-    """Close pairs inside sixteen parts, as of one video each."""
-    e = table(spark, d, "embeddings").withColumn("part", F.col("vec_id") % 16)
-    return cluster.similar_pairs(e, ["part"], "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 9))
+    """All close pairs of the table."""
+    return cluster.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
 @add("identity_clusters")

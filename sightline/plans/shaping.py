@@ -83,13 +83,13 @@ def frame_pts(spark, d):
     return shaping.frame_times(view(spark, d, "v_track_frames").select("video_id", "track_id", "frame"), times)
 
 
-@add("last_track_activity", ["v_scores", "v_segments"], """with l as (select track_id % 20 as identity, max(track_id) as track_id from v_scores group by 1), e as (select l.identity, sec, score from v_scores s join l on l.track_id = s.track_id)
-  select seg_id, identity, sum(greatest(score, 0.0)) as asd from v_segments join e on sec >= start_s and sec < end_s group by 1, 2""")
+@add("last_track_activity", ["v_scores", "v_segments"], """with l as (select video_id, track_id % 20 as identity, max(track_id) as track_id from v_scores group by 1, 2), e as (select s.video_id, l.identity, sec, score from v_scores s join l on l.track_id = s.track_id)
+  select seg_id, identity, sum(greatest(score, 0.0)) as asd from v_segments g join e on e.video_id = g.video_id and sec >= start_s and sec < end_s group by 1, 2""")
 def last_track_activity(spark, d):
     """Activity of identities in segments where each identity's last track has replaced the others."""
     e = view(spark, d, "v_scores").withColumn("identity", F.col("track_id") % 20)
-    e = shaping.last_track_only(e, "identity", "track_id").select("identity", F.col("sec").cast("double").alias("t"), "score")
-    return speakers.weighted_activity(e, view(spark, d, "v_segments"), 1200.0)
+    e = shaping.last_track_only(e, ["video_id", "identity"], "track_id").select("video_id", "identity", F.col("sec").cast("double").alias("t"), "score")
+    return speakers.weighted_activity(e, view(spark, d, "v_segments"), 1200.0, ["video_id"])
 
 
 @add("plain_pool", [], """with l as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings), m as (select label, i, avg(cast(x as double)) as m from l group by 1, 2)

@@ -25,50 +25,50 @@ def add(name: str, views: list[str] | None = None, sql: str | None = None):
 
 _ACTIVE = """r as (select track_id, pos, sum(fresh) over (partition by track_id order by pos) as run from
     (select track_id, pos, case when pos = lag(pos) over (partition by track_id order by pos) + 1 then 0 else 1 end as fresh from v_scores where score > 0)),
-  f as (select track_id, min(frame) as first_f from v_scores group by track_id),
-  act as (select r.track_id, (min(pos) + min(first_f)) * 3600.0 as a_s, (max(pos) + min(first_f) + 1) * 3600.0 as a_e from r join f on r.track_id = f.track_id group by r.track_id, run)"""
+  f as (select track_id, min(frame) as first_f, min(video_id) as video_id from v_scores group by track_id),
+  act as (select min(f.video_id) as video_id, r.track_id, (min(pos) + min(first_f)) * 3600.0 as a_s, (max(pos) + min(first_f) + 1) * 3600.0 as a_e from r join f on r.track_id = f.track_id group by r.track_id, run)"""
 
 
 def _active(spark, d):
     s = view(spark, d, "v_scores")
     first = s.groupBy("track_id").agg(F.min("frame").alias("first_f"))
-    return intervals.active_intervals(s.join(first, "track_id"), ["track_id"], "pos", "score", F.col("first_f"), 1 / 3600.0)
+    return intervals.active_intervals(s.join(first, "track_id"), ["video_id", "track_id"], "pos", "score", F.col("first_f"), 1 / 3600.0)
 
 
-@add("active_intervals", ["v_scores"], f"with {_ACTIVE} select track_id, a_s as start_s, a_e as end_s from act")
+@add("active_intervals", ["v_scores"], f"with {_ACTIVE} select video_id, track_id, a_s as start_s, a_e as end_s from act")
 def active_intervals(spark, d):
     return _active(spark, d)
 
 
 @add("flagship", ["v_scores", "v_segments"], f"""with {_ACTIVE},
-  o as (select seg_id, track_id, sum(least(a_e, end_s) - greatest(a_s, start_s)) as ov from act join v_segments on a_s < end_s and a_e > start_s group by seg_id, track_id),
+  o as (select seg_id, track_id, sum(least(a_e, end_s) - greatest(a_s, start_s)) as ov from act join v_segments v on v.video_id = act.video_id and a_s < end_s and a_e > start_s group by seg_id, track_id),
   b as (select seg_id, arg_max(track_id, (round(ov, 6), -track_id)) as track_id, max(round(ov, 6)) as overlap_s from o group by seg_id)
-  select s.seg_id, s.speaker, s.start_s, s.end_s, b.track_id, b.overlap_s,
+  select s.video_id, s.seg_id, s.speaker, s.start_s, s.end_s, b.track_id, b.overlap_s,
     case when overlap_s >= 0.3 * (end_s - start_s) then concat('Person_', cast(b.track_id as string)) else speaker end as label
   from v_segments s left join b on s.seg_id = b.seg_id""")
 def flagship(spark, d):
-    return speakers.label_segments(view(spark, d, "v_segments"), _active(spark, d), 7200.0, 0.3)
+    return speakers.label_segments(view(spark, d, "v_segments"), _active(spark, d), 7200.0, 0.3, ["video_id"])
 
 
 @add("segment_activity_sum", ["v_scores", "v_segments"], """select seg_id, track_id as identity, sum(greatest(score, 0.0)) as asd
-  from v_segments join v_scores on sec >= start_s and sec < end_s group by seg_id, track_id""")
+  from v_segments g join v_scores c on c.video_id = g.video_id and sec >= start_s and sec < end_s group by seg_id, track_id""")
 def segment_activity_sum(spark, d):
-    e = view(spark, d, "v_scores").select(F.col("track_id").alias("identity"), F.col("sec").cast("double").alias("t"), "score")
-    return speakers.weighted_activity(e, view(spark, d, "v_segments"), 1200.0)
+    e = view(spark, d, "v_scores").select("video_id", F.col("track_id").alias("identity"), F.col("sec").cast("double").alias("t"), "score")
+    return speakers.weighted_activity(e, view(spark, d, "v_segments"), 1200.0, ["video_id"])
 
 
-@add("segment_frames_closed", ["v_scores", "v_segments"], """select seg_id, track_id, count(*) as n_frames from v_segments join v_scores on sec >= start_s and sec <= end_s where start_s < end_s group by seg_id, track_id""")
+@add("segment_frames_closed", ["v_scores", "v_segments"], """select seg_id, track_id, count(*) as n_frames from v_segments g join v_scores c on c.video_id = g.video_id and sec >= start_s and sec <= end_s where start_s < end_s group by seg_id, track_id""")
 def segment_frames_closed(spark, d):
-    e = view(spark, d, "v_scores").select("track_id", F.col("sec").cast("double").alias("t"))
-    met = intervals.point_join(e, view(spark, d, "v_segments").filter("start_s < end_s"), [], "t", ("start_s", "end_s"), 1200.0, closed=True)
+    e = view(spark, d, "v_scores").select("video_id", "track_id", F.col("sec").cast("double").alias("t"))
+    met = intervals.point_join(e, view(spark, d, "v_segments").filter("start_s < end_s"), ["video_id"], "t", ("start_s", "end_s"), 1200.0, closed=True)
     return met.groupBy("seg_id", "track_id").agg(F.count("*").alias("n_frames"))
 
 
-@add("segment_positive_count", ["v_scores", "v_segments"], """select seg_id, count(sec) as n_positive from v_segments left join (select sec from v_scores where score > 0) on sec >= start_s and sec < end_s group by seg_id""")
+@add("segment_positive_count", ["v_scores", "v_segments"], """select seg_id, count(sec) as n_positive from v_segments g left join (select video_id, sec from v_scores where score > 0) c on c.video_id = g.video_id and sec >= start_s and sec < end_s group by seg_id""")
 def segment_positive_count(spark, d):
     seg = view(spark, d, "v_segments")
-    e = view(spark, d, "v_scores").filter("score > 0").select(F.col("sec").cast("double").alias("t"))
-    met = intervals.point_join(e, seg, [], "t", ("start_s", "end_s"), 1200.0).groupBy("seg_id").agg(F.count("*").alias("n"))
+    e = view(spark, d, "v_scores").filter("score > 0").select("video_id", F.col("sec").cast("double").alias("t"))
+    met = intervals.point_join(e, seg, ["video_id"], "t", ("start_s", "end_s"), 1200.0).groupBy("seg_id").agg(F.count("*").alias("n"))
     return seg.select("seg_id").join(met, "seg_id", "left").select("seg_id", F.coalesce("n", F.lit(0)).alias("n_positive"))
 
 
@@ -109,39 +109,38 @@ def word_speakers(spark, d):
     return met.groupBy("doc_id", "pos", "word").agg(F.max_by("speaker", F.struct(ov, -F.col("turn"))).alias("speaker"))
 
 
-@add("merge_segments", ["v_segments"], """with a as (select *, lag(speaker) over (partition by seg_id % 7 order by start_s, end_s, seg_id) as p from (select seg_id, seg_id % 7 as lane, speaker, start_s, end_s from v_segments)),
+@add("merge_segments", ["v_segments"], """with a as (select *, lag(speaker) over (partition by seg_id // 100 order by start_s, end_s, seg_id) as p from (select seg_id, seg_id // 100 as lane, speaker, start_s, end_s from v_segments)),
   b as (select *, sum(case when speaker = p then 0 else 1 end) over (partition by lane order by start_s, end_s, seg_id) as lr from a),
   c as (select *, max(end_s) over (partition by lane, lr order by start_s, end_s, seg_id rows between unbounded preceding and 1 preceding) as reach from b),
   e as (select *, sum(case when start_s - reach <= 0.2 then 0 else 1 end) over (partition by lane, lr order by start_s, end_s, seg_id) as mr from c)
   select lane, min(speaker) as speaker, min(start_s) as start_s, max(end_s) as end_s, count(*) as n_merged from e group by lane, lr, mr""")
 def merge_segments(spark, d):
-    s = view(spark, d, "v_segments").withColumn("lane", F.col("seg_id") % 7)
+    s = view(spark, d, "v_segments").withColumn("lane", F.floor(F.col("seg_id") / 100))
     return intervals.merge_adjacent(s, ["lane"], "speaker", ("start_s", "end_s"), 0.2, ["seg_id"])
 
 
-@add("collapse_lines", ["v_segments"], """select lane, seg_id, start_s, e as end_s from (select seg_id % 7 as lane, seg_id, start_s,
-  least(end_s, coalesce(lead(start_s) over (partition by seg_id % 7 order by start_s, end_s, seg_id), end_s)) as e from v_segments) where e - start_s > 1e-3""")
+@add("collapse_lines", ["v_segments"], """select lane, seg_id, start_s, e as end_s from (select seg_id // 100 as lane, seg_id, start_s,
+  least(end_s, coalesce(lead(start_s) over (partition by seg_id // 100 order by start_s, end_s, seg_id), end_s)) as e from v_segments) where e - start_s > 1e-3""")
 def collapse_lines(spark, d):
-    s = view(spark, d, "v_segments").select((F.col("seg_id") % 7).alias("lane"), "seg_id", "start_s", "end_s")
+    s = view(spark, d, "v_segments").select(F.floor(F.col("seg_id") / 100).alias("lane"), "seg_id", "start_s", "end_s")
     return intervals.collapse(s, ["lane"], ("start_s", "end_s"), ["seg_id"])
 
 
-@add("message_index", ["v_segments"], """select seg_id, speaker, row_number() over (partition by speaker order by start_s, end_s, seg_id) - 1 as msg_idx from v_segments""")
+@add("message_index", ["v_segments"], """select seg_id, speaker, row_number() over (partition by video_id, speaker order by start_s, end_s, seg_id) - 1 as msg_idx from v_segments""")
 def message_index(spark, d):
-    w = Window.partitionBy("speaker").orderBy("start_s", "end_s", "seg_id")
+    w = Window.partitionBy("video_id", "speaker").orderBy("start_s", "end_s", "seg_id")
     return view(spark, d, "v_segments").select("seg_id", "speaker", (F.row_number().over(w) - 1).alias("msg_idx"))
 
 
 @add("cut_at_boundaries", ["v_scores", "v_segments"], f"""with {_ACTIVE},
   p as (select seg_id, start_s as t from v_segments union select seg_id, end_s from v_segments union
-        select seg_id, x from v_segments join (select a_s as x from act where track_id % 10 = 0 union select a_e from act where track_id % 10 = 0) on x > start_s and x < end_s),
+        select seg_id, x from v_segments g join (select video_id, a_s as x from act union select video_id, a_e from act) c on c.video_id = g.video_id and x > start_s and x < end_s),
   q as (select seg_id, t as start_s, lead(t) over (partition by seg_id order by t) as end_s from p)
   select seg_id, start_s, end_s from q where end_s is not null""")
 def cut_at_boundaries(spark, d):
-    seg = view(spark, d, "v_segments").select("seg_id", "start_s", "end_s")
-    act = _active(spark, d).filter("track_id % 10 = 0")
-    points = act.select(F.explode(F.array("start_s", "end_s")).alias("t")).distinct()
-    inside = intervals.point_join(points, seg, [], "t", ("start_s", "end_s"), 1200.0).groupBy("seg_id").agg(F.collect_set("t").alias("cuts"))
+    seg = view(spark, d, "v_segments").select("video_id", "seg_id", "start_s", "end_s")
+    points = _active(spark, d).select("video_id", F.explode(F.array("start_s", "end_s")).alias("t")).distinct()
+    inside = intervals.point_join(points, seg, ["video_id"], "t", ("start_s", "end_s"), 1200.0).groupBy("seg_id").agg(F.collect_set("t").alias("cuts"))
     return intervals.cut_at(seg.join(inside, "seg_id", "left"), ["seg_id"], ("start_s", "end_s"), "cuts").select("seg_id", "start_s", "end_s")
 
 
@@ -161,12 +160,12 @@ def gap_split(spark, d):
     return sequences.gap_split(view(spark, d, "v_track_frames").select("video_id", "track_id", "frame"), ["video_id", "track_id"], "frame", 10)
 
 
-@add("interpolate_tracks", ["v_track_frames"], """with a as (select video_id, track_id, frame, x1, y1, lead(frame) over w as nf, lead(x1) over w as nx, lead(y1) over w as ny from v_track_frames where track_id % 4 = 0 window w as (partition by video_id, track_id order by frame)),
+@add("interpolate_tracks", ["v_track_frames"], """with a as (select video_id, track_id, frame, x1, y1, lead(frame) over w as nf, lead(x1) over w as nx, lead(y1) over w as ny from v_track_frames window w as (partition by video_id, track_id order by frame)),
   g as (select *, unnest(generate_series(frame, greatest(frame, coalesce(nf - 1, frame)))) as f from a)
   select video_id, track_id, f as frame, case when f = frame then x1 else x1 + (nx - x1) * ((f - frame) / cast(nf - frame as double)) end as x1,
          case when f = frame then y1 else y1 + (ny - y1) * ((f - frame) / cast(nf - frame as double)) end as y1 from g""")
 def interpolate_tracks(spark, d):
-    t = view(spark, d, "v_track_frames").filter("track_id % 4 = 0")
+    t = view(spark, d, "v_track_frames")
     return sequences.interpolate(t, ["video_id", "track_id"], "frame", ["x1", "y1"])
 
 
@@ -244,14 +243,14 @@ def majority_identity(spark, d):
     return speakers.majority(s, ["speaker"], "identity", "seg_id")
 
 
-@add("speaker_prior", ["v_scores", "v_segments"], """with e as (select seg_id, track_id % 20 as identity, speaker, greatest(score, 0.0) as s from v_segments join v_scores on sec >= start_s and sec < end_s),
+@add("speaker_prior", ["v_scores", "v_segments"], """with e as (select seg_id, track_id % 20 as identity, speaker, greatest(score, 0.0) as s from v_segments g join v_scores c on c.video_id = g.video_id and sec >= start_s and sec < end_s),
   p as (select speaker, identity, sum(s) as asd, count(*) * 1.0 as vis from e group by speaker, identity),
   q as (select speaker, identity, 0.7 * asd / max(asd) over (partition by speaker) + 0.3 * vis / max(vis) over (partition by speaker) as prior from p)
   select speaker, identity, prior from (select *, row_number() over (partition by speaker order by prior desc, identity) as r from q) where r = 1 and prior > 0""")
 def speaker_prior(spark, d):
     seg = view(spark, d, "v_segments")
-    e = view(spark, d, "v_scores").select((F.col("track_id") % 20).alias("identity"), F.col("sec").cast("double").alias("t"), "score")
-    met = intervals.point_join(e, seg, [], "t", ("start_s", "end_s"), 1200.0)
+    e = view(spark, d, "v_scores").select("video_id", (F.col("track_id") % 20).alias("identity"), F.col("sec").cast("double").alias("t"), "score")
+    met = intervals.point_join(e, seg, ["video_id"], "t", ("start_s", "end_s"), 1200.0)
     asd = met.groupBy("speaker", "identity").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("asd"))
     vis = met.groupBy("speaker", "identity").agg(F.count("*").cast("double").alias("vis"))
     return speakers.speaker_prior(asd, vis, "speaker", "identity")

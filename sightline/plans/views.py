@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SECOND = "(day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts)"
 
-#: Views whose text both engines read; each may use those before it.
+#: Views whose text both engines read; each may use those before it. Fifty users, or ten suppliers, are one video, so that videos
+#: grow in number with the tables and not in size.
 SQL = {
-    "v_events": f"select user_id, event_id, event_type, value, props, {_SECOND} as sec from events",
-    "v_scores": """select user_id as track_id, event_id, sec, row_number() over (partition by user_id order by sec, event_id) - 1 as pos,
+    "v_events": f"select cast(floor(user_id / 50.0) as bigint) as video_id, user_id, event_id, event_type, value, props, {_SECOND} as sec from events",
+    "v_scores": """select video_id, user_id as track_id, event_id, sec, row_number() over (partition by user_id order by sec, event_id) - 1 as pos,
         cast(floor(sec / 3600.0) as int) as frame, value - 35.0 as score from v_events""",
-    "v_segments": """select event_id as seg_id, concat('SPK_', cast(user_id % 5 as string)) as speaker, cast(sec as double) as start_s,
+    "v_segments": """select video_id, event_id as seg_id, concat('SPK_', cast(user_id % 5 as string)) as speaker, cast(sec as double) as start_s,
         sec + 600.0 + value * 10.0 as end_s from v_events where event_type in ('signup', 'purchase')""",
-    "v_boxes": """select l_suppkey % 10 as video_id, (year(l_shipdate) - 1995) * 366 + dayofyear(l_shipdate) as frame,
+    "v_boxes": """select cast(floor(l_suppkey / 10.0) as bigint) as video_id, (year(l_shipdate) - 1995) * 366 + dayofyear(l_shipdate) as frame,
         concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string)) as det_id,
         l_suppkey as track_id, l_linenumber as category_id, l_returnflag as side, l_quantity * 10.0 as x1, l_tax * 5000.0 as y1,
         l_quantity * 10.0 + 40.0 + l_discount * 600.0 as x2, l_tax * 5000.0 + 40.0 + l_discount * 600.0 as y2, l_extendedprice / 105000.0 as conf

@@ -94,6 +94,8 @@ class Tracker:
         for entry in self.buffer[: max(0, n)]:
             out += [{"frame": entry["frame"], "track_id": i, "det_id": d, "x1": a, "y1": b, "x2": c, "y2": e, "confirmed": bool(self.tracks.get(i, {}).get("ok", entry["ok"].get(i, False)))} for i, d, a, b, c, e in entry["rows"] if i not in gone]
         del self.buffer[: max(0, n)]
+        held = {r[0] for entry in self.buffer for r in entry["rows"]}
+        self.removed = [i for i in self.removed if i in held]
         return out
 
     def dump(self) -> str:

@@ -28,11 +28,23 @@ def test_merge_windows():
 
 
 def test_refine():
+    """Worked by hand: snapping, splits, joins, cuts in overlaps, closed gaps and what is too short."""
+    near = lambda rows: [(pytest.approx(s), pytest.approx(e), who) for s, e, who in rows]
     words = [(1.0, 1.4), (1.5, 2.0), (4.0, 5.0)]
-    got = linking.refine([(0.0, 6.0, "a"), (5.02, 9.0, "b")], words)
-    assert got == [(pytest.approx(0.95), 3.0, "a"), (3.0, pytest.approx(5.02), "a"), (pytest.approx(5.02), 9.0, "b")]
-    ends = [e for _, e, _ in got]
-    assert all(s >= e - 1e-9 for (s, _, _), e in zip(got[1:], ends, strict=False))
+    # the silence from 2 to 4 splits, and as the parts touch they are joined again
+    assert linking.refine([(0.0, 6.0, "a", words)]) == near([(0.95, 5.05, "a")])
+    # no words: as it is, whatever its length; nothing else is that short
+    assert linking.refine([(0.0, 0.2, "a", []), (5.0, 5.3, "a", [(5.0, 5.3)]), (7.0, 7.0, "a", [])]) == near([(0.0, 0.2, "a")])
+    # an overlap of two speakers is cut in its middle, a small gap closes in its middle, a larger one stays
+    assert linking.refine([(0.0, 4.0, "a", None), (3.0, 8.0, "b", None), (8.1, 9.5, "a", None), (10.0, 11.0, "b", None)]) == near([(0.0, 3.5, "a"), (3.5, 8.05, "b"), (8.05, 9.5, "a"), (10.0, 11.0, "b")])
+    # one speaker: a gap of a tenth and an overlap join
+    assert linking.refine([(0.0, 1.0, "a", None), (1.05, 2.0, "a", None), (1.5, 3.0, "a", None), (3.2, 4.0, "a", None)]) == near([(0.0, 3.0, "a"), (3.2, 4.0, "a")])
+    # the cut leaves the later one a quarter second before its end at least; too short, it goes, and the earlier one keeps its cut
+    assert linking.refine([(0.0, 4.0, "a", None), (3.5, 4.1, "b", None)]) == near([(0.0, 3.75, "a"), (3.5, 4.1, "b")])
+    assert linking.refine([(0.0, 4.0, "a", None), (3.7, 4.1, "b", None)]) == near([(0.0, 3.85, "a")])
+    # what was too short before it meets another speaker makes room
+    assert linking.refine([(0.0, 0.3, "a", None), (0.2, 2.0, "b", None)]) == near([(0.2, 2.0, "b")])
+    assert linking.refine([]) == []
 
 
 def test_register():

@@ -104,6 +104,12 @@ def test_runs_of_speakers():
     a, b, c = "ABC"
     assert speakers.absorb_short([(0, 10, a), (10, 12, b), (12, 20, c)], 6) == [(0, 12, a), (12, 20, c)]
     assert speakers.absorb_short([(0, 2, a), (2, 20, b)], 6) == [(0, 20, b)]
+    # the run that takes a short one isn't judged again, though it is short as well
+    assert speakers.absorb_short([(0, 1, a), (1, 2, b), (2, 7, c)], 3) == [(0, 2, b), (2, 7, c)]
+    assert speakers.absorb_short([(0, 9, a), (9, 10, b), (10, 25, c), (25, 26, a)], 3) == [(0, 9, a), (9, 26, c)]
+    assert speakers.absorb_short([(0, 1, a)], 3) == [(0, 1, a)] and speakers.absorb_short([], 3) == []
+    assert speakers.absorb_weak([(0, 5, a), (5, 5.5, b), (5.5, 6, c), (6, 9, c)], a) == [(0, 6, a), (6, 9, c)]
+    assert speakers.absorb_weak([(0, 0.5, b)], a) == [(0, 0.5, b)] and speakers.absorb_weak([(0, 5, a), (5, 5.5, b)], None) == [(0, 5, a), (5, 5.5, b)]
     assert speakers.smooth_flips([(0, 5, a), (5, 5.4, b), (5.4, 9, a)], 0.5) == [(0, 9, a)]
 
 
@@ -221,8 +227,25 @@ def test_concept_f1_by_hand(spark):
     two = spark.range(1).select(F.lit(2.0).alias("tp"), F.lit(2.0).alias("fp"), F.lit(2.0).alias("fn"))
     r = two.select(metrics.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("a"), metrics.np_f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("b")).first()
     assert r["a"] == pytest.approx(0.49994, abs=1e-5) and r["b"] == 0.5
-    m = spark.createDataFrame([(i, 0, 0.5, *c) for i, c in enumerate([(1, 1, 1, 0, 0), (1, 1, 1, 0, 0), (1, 1, 1, 0, 0), (0, 1, 0, 1, 0)])], "i int, level int, alpha double, n_gt int, n_dt int, tp int, fp int, fn int")
-    assert metrics.concept_f1(m, true_negatives=2).first()["il_mcc"] == pytest.approx(0.70711, abs=1e-4)
+    m = spark.createDataFrame([(i, 0, 0.5, *c) for i, c in enumerate([(1, 1, 1, 0, 0), (1, 1, 1, 0, 0), (1, 1, 1, 0, 0), (0, 1, 0, 1, 0), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)])], "i int, level int, alpha double, n_gt int, n_dt int, tp int, fp int, fn int")
+    assert metrics.concept_f1(m).first()["il_mcc"] == pytest.approx(0.70711, abs=1e-4)
+    # images that neither side names come from the table of images
+    truth = spark.createDataFrame([(0, "g")], "img int, id string")
+    found = metrics.image_matches(truth, truth.filter("img > 0"), spark.createDataFrame([], "img int, gt_id string, dt_id string, iou double"), ["img"], [0.5], images=spark.range(3).select(F.col("id").cast("int").alias("img")))
+    assert sorted(map(tuple, found.select("img", "n_gt", "n_dt", "tp", "fp", "fn").collect())) == [(0, 1, 0, 0, 0, 1), (1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0)]
+
+
+def test_similar_pairs_by_brute_force(spark, monkeypatch):
+    """Cells, shares and pruning lose no pair, whatever their sizes."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + 0.2 * rng.normal(size=(40, 8)) for c in rng.normal(size=(6, 8))] + [np.zeros((2, 8))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "i long, v array<float>")
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-9)
+    want = {(i, j) for i, j in itertools.combinations(range(240), 2) if unit[i] @ unit[j] >= 0.7}
+    for block in (2048, 17):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        got = [(r["a"], r["b"]) for r in cluster.similar_pairs(df, "i", "v", 0.7).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_average_precision_by_hand(spark):
@@ -251,7 +274,7 @@ def test_upper_median(spark):
 def test_shared_folder(spark, monkeypatch):
     from sightline import runtime
 
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(ValueError, match="share"):
             runtime.shared_dir(spark)

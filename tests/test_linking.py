@@ -43,7 +43,7 @@ def test_refine():
     assert linking.refine([(0.0, 4.0, "a", None), (3.5, 4.1, "b", None)]) == near([(0.0, 3.75, "a"), (3.5, 4.1, "b")])
     assert linking.refine([(0.0, 4.0, "a", None), (3.7, 4.1, "b", None)]) == near([(0.0, 3.85, "a")])
     # what was too short before it meets another speaker makes room
-    assert linking.refine([(0.0, 0.3, "a", None), (0.2, 2.0, "b", None)]) == near([(0.2, 2.0, "b")])
+    assert linking.refine([(0.0, 0.3, "a", None), (0.2, 2.0, "b", None)]) == near([(0.25, 2.0, "b")])
     assert linking.refine([]) == []
 
 

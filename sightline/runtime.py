@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many bytes (rough row width times row count).
 BROADCAST_BYTES = 8 << 20
+#: Bytes of rows that go to a Python worker at once: a batch is held by the worker and, up to twice, by the JVM.
+BATCH_BYTES = 8 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -62,6 +64,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Python tasks get batches of at most BATCH_BYTES, unless the session says otherwise than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def unused(columns: Iterable[str], stem: str) -> str:
     """A column name that begins with stem and is none of columns, whatever their case."""
     taken, name = {c.lower() for c in columns}, stem

@@ -141,7 +141,7 @@ def train(docs: DataFrame) -> Model:
                 scripts[lang] = scripts.get(lang, 0) + times @ bits
         yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([x.tolist() for x in grams.values()], pa.list_(pa.float64())), pa.array([x.tolist() for x in scripts.values()], pa.list_(pa.float64()))], ["lang", "grams", "scripts"])
 
-    found = sample.mapInArrow(ragged.released(count), "lang string, grams array<double>, scripts array<double>").toArrow().to_pylist()
+    found = ragged.map_batches(sample, count, "lang string, grams array<double>, scripts array<double>").toArrow().to_pylist()
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.uint64))
@@ -238,7 +238,7 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), flat).cast(kind))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema.names)
 
-    return source.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(source, work, schema)
 
 
 def held_out(column: str = "doc_id") -> Column:

@@ -179,4 +179,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             found = own.scan(b["text"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[dict(zip(("name", "start", "end", "containment"), m, strict=True)) for m in found.get(i, [])] for i in range(b.num_rows)], kind)], schema.names)
 
-    return source.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(source, work, schema)

@@ -100,7 +100,7 @@ def feature_table(df: DataFrame, text: str, label: str, kinds: tuple[str, ...] =
             found = list(sparse_rows(*ragged.buffer_of(b[text]), kinds))
             yield pa.RecordBatch.from_arrays([b[label], pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["label", "index", "value"])
 
-    return df.select(text, label).mapInArrow(ragged.released(work), "label int, index array<int>, value array<float>")
+    return ragged.map_batches(df.select(text, label), work, "label int, index array<int>, value array<float>")
 
 
 def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int = 30, penalty: float = 1e-4, held: float = 0.2) -> Model:

@@ -53,7 +53,7 @@ def posteriors(docs: DataFrame, model: linear.Model | None, domains: int) -> Dat
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, domains, dtype=np.int32)), pa.array(q.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(ragged.words(data, offs)[2])), lists], schema.names)
 
-    return source.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(source, work, schema)
 
 
 def thousandths(p: np.ndarray) -> np.ndarray:

@@ -139,7 +139,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), lists], ["doc_id", "hi", "lo", "bands"]).filter(pa.array(full))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(ragged.released(work), "doc_id long, hi long, lo long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    return ragged.map_batches(rows, work, "doc_id long, hi long, lo long, bands array<long>")
 
 
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     found.append((leader, doc, probability_jaccard(*held, *own)))
             yield pa.RecordBatch.from_pydict({"leader": pa.array([f[0] for f in found], pa.int64()), "member": pa.array([f[1] for f in found], pa.int64()), "sim": pa.array([f[2] for f in found], pa.float64())})
 
-    return dealt.mapInArrow(ragged.released(work), "leader long, member long, sim double")
+    return ragged.map_batches(dealt, work, "leader long, member long, sim double")
 
 
 def block_links(g: np.ndarray, w: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:

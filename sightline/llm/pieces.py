@@ -381,7 +381,7 @@ def encode(docs: DataFrame, path: str, nbest: int = NBEST, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.names)
         own.known.clear()
 
-    return source.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(source, work, schema)
 
 
 def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
@@ -396,4 +396,4 @@ def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, own.decode(part["ids"])], schema.names)
 
-    return encoded.select([f.name for f in schema.fields if f.name != column]).mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(encoded.select([f.name for f in schema.fields if f.name != column]), work, schema)

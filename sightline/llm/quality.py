@@ -110,4 +110,4 @@ def assess(docs: DataFrame, model: linear.Model | None) -> DataFrame:
             p = model.probabilities(data, offs)[:, 1] if model is not None else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c[k].astype(np.int64)) for k in names[:5]), pa.array(failed), pa.array(p), pa.array(~failed & (p >= MIN_PROBABILITY))], [*b.schema.names, *names])
 
-    return source.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(source, work, schema)

@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from sightline.runtime import bound_batches
 
 #: Bytes of text worked on at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -70,6 +74,12 @@ def released(work: Work) -> Work:
     return run
 
 
+def map_batches(df: DataFrame, work: Work, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() in batches of bounded bytes, with the worker's free memory given back when a task ends."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(released(work), schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts hold about `most` bytes; a single longer row is a slice."""
     for b in batches:

@@ -229,7 +229,7 @@ def write_archives(df: DataFrame, folder: str) -> DataFrame:
             done.append(writer.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("archive", "records", "bytes"), d, strict=True)) for d in done], pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return df.select("record_id", "uri", "payload", "refers_to").mapInArrow(ragged.released(write), WRITTEN)
+    return ragged.map_batches(df.select("record_id", "uri", "payload", "refers_to"), write, WRITTEN)
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -255,7 +255,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive", "records").mapInArrow(ragged.released(read), RECORD)
+    return ragged.map_batches(archives.select("archive", "records"), read, RECORD)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -621,7 +621,7 @@ def infer(pages: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "pages", "root", "template"])
 
-    made = materialize(pages.select("host", "html").filter("host <> ''").mapInArrow(ragged.released(streams), WRAPPERS), "streams")
+    made = materialize(ragged.map_batches(pages.select("host", "html").filter("host <> ''"), streams, WRAPPERS), "streams")
     while (most := made.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > SHARE:
         shares = -(-most // SHARE)
         dealt = made.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(shares)).cast("int"))
@@ -658,4 +658,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(text_of(Page(source.as_py() or ""), (at.as_py(), fixed.as_py()) if at.is_valid else None))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return joined.mapInArrow(ragged.released(work), schema)
+    return ragged.map_batches(joined, work, schema)

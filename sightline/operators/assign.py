@@ -97,18 +97,19 @@ def best_match(pairs: DataFrame, keys: list[str], left: str, value: str, ties: l
     return pairs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def greedy_match(iou: np.ndarray, threshold: float, ignored: np.ndarray | None = None) -> np.ndarray:
+def greedy_match(iou: np.ndarray, threshold: float, ignored: np.ndarray | None = None, crowd: np.ndarray | None = None) -> np.ndarray:
     """For detections (rows in order of score) the matched truth or -1: each takes the best free truth at or above threshold.
 
-    A truth that isn't ignored goes before one that is, whatever the overlap.
+    A truth that isn't ignored goes before one that is, whatever the overlap. Crowds, by default the ignored ones, are never taken.
     """
     n, m = iou.shape
     skip = np.zeros(m, bool) if ignored is None else ignored
+    many = skip if crowd is None else crowd
     free, out = np.ones(m, bool), np.full(n, -1)
     for i in range(n):
         best, at = min(threshold, 1 - 1e-10), -1
         for j in np.argsort(skip, kind="stable"):
-            if not free[j] and not skip[j]:
+            if not free[j] and not many[j]:
                 continue
             if at >= 0 and not skip[at] and skip[j]:
                 break

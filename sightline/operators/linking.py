@@ -205,6 +205,58 @@ def minibatches(lengths: list[tuple[int, str]], budget: int) -> list[list[tuple[
     return out
 
 
+def merged_windows(df: DataFrame, keys: list[str], start: str, end: str, label: str, near: float = 0.1) -> DataFrame:
+    """merge_windows() of each group."""
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (start, end, label))
+    return map_rows(df.select(*keys, start, end, label), keys, [start, end, label], lambda rows: merge_windows(rows, near), kind)
+
+
+def _vector(values: list[float]) -> np.ndarray:
+    x = np.asarray(values, float)
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def registered(df: DataFrame, keys: list[str], track: str, start: str, end: str, vector: str, least: float = 0.6) -> DataFrame:
+    """(keys, track, identity): register() of each group's tracks, identities numbered from 0."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        found = register([(t, s, e, _vector(v)) for s, t, e, v in rows], least)
+        return [(t, i) for (_, t, _, _), i in zip(rows, found, strict=True)]
+
+    rows = df.select(*keys, start, track, end, vector)
+    return map_rows(rows, keys, [start, track], run, f"{track} {df.schema[track].dataType.simpleString()}, identity int")
+
+
+def linked_groups(df: DataFrame, keys: list[str], track: str, start: str, end: str, vector: str, link_at: float, overlap_at: float) -> DataFrame:
+    """(keys, track, group): single_linkage() of each group's tracks; a group is named by its first track's number in order."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        x = np.array([_vector(v) for *_, v in rows])
+        found = single_linkage(x @ x.T, [(s, e) for _, s, e, _ in rows], link_at, overlap_at)
+        return [(r[0], g) for r, g in zip(rows, found, strict=True)]
+
+    return map_rows(df.select(*keys, track, start, end, vector), keys, [track], run, f"{track} {df.schema[track].dataType.simpleString()}, group int")
+
+
+def joined_groups(df: DataFrame, keys: list[str], ident: str, start: str, end: str, vector: str, bound: float, gap: float, strict: float, longest: float) -> DataFrame:
+    """(keys, ident, group): temporal_merge() of each video's identities, from their centroids and spans."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        found = temporal_merge(np.array([_vector(v) for *_, v in rows]), [(s, e) for _, s, e, _ in rows], bound, gap, strict, longest)
+        return [(r[0], g) for r, g in zip(rows, found, strict=True)]
+
+    return map_rows(df.select(*keys, ident, start, end, vector), keys, [ident], run, f"{ident} {df.schema[ident].dataType.simpleString()}, group int")
+
+
+def batched(df: DataFrame, keys: list[str], length: str, item: str, budget: int) -> DataFrame:
+    """(keys, item, batch): minibatches() of each group's items, numbered from 0."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        return [(i, k) for k, b in enumerate(minibatches(rows, budget)) for _, i in b]
+
+    return map_rows(df.select(*keys, length, item), keys, [F.desc(length), F.desc(item)], run, f"{item} {df.schema[item].dataType.simpleString()}, batch int")
+
+
 def key_frames(n: Column, active: Column, spread: int = 5, most: int = 15) -> Column:
     """Positions to look at among 0 .. n - 1: the active ones (three at least) and five spread ones, thinned by a stride."""
     even = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda k: F.floor(k * (n - 1) / F.lit(float(spread - 1))).cast("int"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from sightline.operators import assign
 from sightline.operators.grouped import map_groups
@@ -185,49 +185,76 @@ def teta_summary(per_sequence: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ap_matches(found: DataFrame, sim: DataFrame, keys: list[str], steps: list[float] = IOU_STEPS) -> DataFrame:
-    """found (keys, dt_id, score) with `hits`, an array of whether it takes a truth at each threshold, by falling score."""
-    joined = found.select(*keys, "dt_id", "score").join(sim.select(*keys, "dt_id", "gt_id", "iou"), [*keys, "dt_id"], "left")
+    """found (keys, dt_id, score) with `hits` by threshold: 1 if it takes a truth, by falling score, 0 if not, -1 if it doesn't count.
+
+    It doesn't count if it takes a truth that sim says is `ignored`, or if it takes none and found says that it is `outside`.
+    """
+    flag = lambda df, c: F.col(c) if c in df.columns else F.lit(False).alias(c)
+    left = found.select(*keys, "dt_id", "score", flag(found, "outside"))
+    joined = left.join(sim.select(*keys, "dt_id", "gt_id", "iou", flag(sim, "ignored")), [*keys, "dt_id"], "left")
 
     def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
         dt = np.asarray(pc.dictionary_encode(t["dt_id"].combine_chunks()).indices, dtype=np.int64)
         gt = np.asarray(pc.fill_null(pc.dictionary_encode(t["gt_id"].combine_chunks()).indices, -1), dtype=np.int64)
         iou = np.asarray(pc.fill_null(t["iou"].combine_chunks(), 0.0))
+        ignored = np.asarray(pc.fill_null(t["ignored"].combine_chunks(), False).cast(pa.int8())) == 1
         new = np.zeros(t.num_rows, bool)
         new[1:] = dt[1:] != dt[:-1]
         new[cut[:-1]] = True
         first = np.flatnonzero(new)
         place = np.cumsum(new) - 1
-        hits = np.zeros((len(first), len(steps)), bool)
+        outside = np.asarray(t["outside"].combine_chunks().cast(pa.int8()))[first] == 1
+        hits = np.where(outside, -1, 0)[:, None] * np.ones(len(steps), np.int64)
         near = iou >= steps[0]
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             if not near[s:e].any():
                 continue
             used = s + np.flatnonzero(near[s:e])  # no other pair can match at any threshold
             rows, row = np.unique(place[used], return_inverse=True)
-            names, col = np.unique(gt[used], return_inverse=True)
+            names, at, col = np.unique(gt[used], return_index=True, return_inverse=True)
             m = np.zeros((len(rows), len(names)))
             m[row, col] = iou[used]
-            hits[rows] = np.stack([assign.greedy_match(m, a) >= 0 for a in steps], 1)
-        out = t.take(pa.array(first)).drop_columns(["gt_id", "iou"])
-        return out.append_column("hits", pa.array(hits.tolist(), pa.list_(pa.bool_())))
-
-    schema = StructType([f for f in joined.schema.fields if f.name not in ("gt_id", "iou")] + [StructField("hits", ArrayType(BooleanType()))])
+            skip = ignored[used][at]
+            taken = np.stack([assign.greedy_match(m, a, skip, np.zeros(len(names), bool)) for a in steps], 1)
+            hits[rows] = np.where(taken >= 0, np.where(skip[taken], -1, 1), hits[rows])
+        out = t.take(pa.array(first)).drop_columns(["gt_id", "iou", "ignored", "outside"])
+        return out.append_column("hits", pa.array(hits.tolist(), pa.list_(pa.int32())))
+
+    gone = ("gt_id", "iou", "ignored", "outside")
+    schema = StructType([f for f in joined.schema.fields if f.name not in gone] + [StructField("hits", ArrayType(IntegerType()))])
     return map_groups(joined, keys, [F.desc("score"), "dt_id", "gt_id"], run, schema)
 
 
 def average_precision(matches: DataFrame, truth_counts: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and threshold: precision interpolated at 101 recalls, averaged. truth_counts is (keys, n_gt)."""
-    rows = matches.select(*keys, "dt_id", "score", F.posexplode("hits").alias("level", "hit")).join(truth_counts, keys)
+    rows = matches.select(*keys, "dt_id", "score", F.posexplode("hits").alias("level", "hit")).filter("hit >= 0").join(truth_counts, keys)
     w = Window.partitionBy(*keys, "level").orderBy(F.desc("score"), "dt_id")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     curve = rows.withColumns({"tp": F.sum(F.col("hit").cast("long")).over(up), "rank": F.row_number().over(w)})
     curve = curve.withColumns({"recall": F.col("tp") / F.col("n_gt"), "precision": F.col("tp") / F.col("rank")})
     # the best precision from here on, as a running maximum from the other end: frames that end unbounded are quadratic
     back = Window.partitionBy(*keys, "level").orderBy("score", F.desc("dt_id")).rowsBetween(Window.unboundedPreceding, 0)
-    best = curve.withColumn("p", F.max("precision").over(back)).filter("hit")
+    best = curve.withColumn("p", F.max("precision").over(back)).filter("hit = 1")
     # each true positive raises recall to tp / n_gt and answers the grid points above the previous one
     low, high = F.ceil(100 * (F.col("tp") - 1) / F.col("n_gt") + 1e-9), F.floor(100 * F.col("recall") + 1e-9)
     points = F.greatest(F.lit(0), high - F.when(F.col("tp") == 1, F.lit(0)).otherwise(low) + 1)
     got = best.groupBy(*keys, "level").agg((F.sum(F.col("p") * points) / 101).alias("ap"))
     grid = truth_counts.filter("n_gt > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(IOU_STEPS) - 1))).alias("level"))
     return grid.join(got, [*keys, "level"], "left").fillna(0.0, ["ap"])
+
+
+def ranged_precision(found: DataFrame, truth: DataFrame, sim: DataFrame, image: list[str], keys: list[str], ranges: dict[str, tuple[float, float]], most: int) -> DataFrame:
+    """Average precision (keys, range, level) of each range of areas, of the `most` best predictions of an image.
+
+    A truth whose area is outside a range is ignored there, a prediction outside of it doesn't count unless it takes a truth
+    inside. found is (image, dt_id, score, area), truth (image, gt_id, area), sim (image, dt_id, gt_id, iou).
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, (a, b) in ranges.items()])).alias("_r")
+    spread = lambda df: df.select("*", each).select(*df.columns, "_r.range", ((F.col("area") < F.col("_r.low")) | (F.col("area") > F.col("_r.high"))).alias("out"))
+    w = Window.partitionBy(*image).orderBy(F.desc("score"), "dt_id")
+    best = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    owned = spread(truth)
+    pairs = sim.join(owned.select(*image, "gt_id", "range", F.col("out").alias("ignored")), [*image, "gt_id"])
+    matches = ap_matches(spread(best).withColumnRenamed("out", "outside"), pairs, [*image, "range"])
+    counts = owned.groupBy(*keys, "range").agg(F.count_if(~F.col("out")).alias("n_gt"))
+    return average_precision(matches, counts, [*keys, "range"])

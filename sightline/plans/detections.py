@@ -524,13 +524,13 @@ def track_dedupe(spark, d):
     return suppress.track_dedupe(view(spark, d, "v_track_frames").withColumn("shot", F.floor(F.col("frame") / 100)), ["video_id", "shot"], "track_id", "frame", 0.35, 0.20, 1)
 
 
-@add("assignment", ["v_gt", "v_pred"], f"""with recursive pr as (select * from (select {{'v': g.video_id, 'f': g.frame}} as k, g.det_id as gt, p.det_id as dt, {_iou('g.', 'p.')} as iou, iou - 1e-9 * dense_rank() over (partition by g.video_id, g.frame order by g.det_id) as w from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame) where iou > 0),
+@add("assignment", ["v_gt", "v_pred"], f"""with recursive pr as (select * from (select {{'v': g.video_id, 'f': g.frame}} as k, g.det_id as gt, p.det_id as dt, {_iou('g.', 'p.')} as iou, iou * (1 - 1e-9 * dense_rank() over (partition by g.video_id, g.frame order by g.det_id)) as w from v_gt g join v_pred p on g.video_id = p.video_id and g.frame = p.frame) where iou > 0),
   {_matching_sql('pr')}
   select mt.k.v as video_id, mt.k.f as frame, mt.gt as gt_det_id, mt.dt as dt_det_id, 1 - iou as cost from mt join pr on pr.k = mt.k and pr.gt = mt.gt and pr.dt = mt.dt where 1 - iou <= 0.9""")
 def assignment(spark, d):
     """Matches of least cost; of equally near truths the first by id is taken."""
     t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"))
     rank = F.dense_rank().over(Window.partitionBy("video_id", "frame").orderBy("gt_det_id"))
-    t = t.withColumn("cost", 1 - F.col("iou") + 1e-9 * rank)
+    t = t.withColumn("cost", 1 - F.col("iou") * (1 - 1e-9 * rank))
     matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", keep=("iou",))
     return matched.withColumn("cost", 1 - F.col("iou")).filter("cost <= 0.9").drop("iou")

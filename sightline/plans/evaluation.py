@@ -153,27 +153,31 @@ def phrase_f1(spark, d):
     return m.withColumn("f1", metrics.np_f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _ap_sql(found: str, truth: str) -> str:
-    """Average precision of a table of predictions against one of truths, by falling score and 101 recalls."""
-    return f"""with recursive f as (select * from {found}), u as (select * from {truth}),
+def _ap_sql(found: str, truth: str, ranges: str, most: int) -> str:
+    """Average precision of a table of predictions against one of truths, by falling score and 101 recalls, for ranges of areas."""
+    area = "(x2 - x1) * (y2 - y1)"
+    return f"""with recursive rg as (select * from (values {ranges}) as r(range, low, high)),
+  f as (select p.*, range, area < low or area > high as outside from (select *, {area} as area, row_number() over (partition by video_id, frame, category_id order by conf desc, det_id) as nr from {found}) p cross join rg where nr <= {most}),
+  u as (select t.*, range, area < low or area > high as ig from (select *, {area} as area from {truth}) t cross join rg),
   la as (select cast(level as int) as level, cast(0.5 as double) + cast(0.05 as double) * level as alpha from (select unnest(range(10)) as level)),
-  o as (select {{'v': f.video_id, 'f': f.frame, 'c': f.category_id}} as k, f.det_id as dt, f.conf, list({{'g': u.det_id, 'w': {_iou('u.', 'f.')}}} order by u.det_id) as near
-    from f join u on u.video_id = f.video_id and u.frame = f.frame and u.category_id = f.category_id group by f.video_id, f.frame, f.category_id, f.det_id, f.conf),
+  o as (select {{'v': f.video_id, 'f': f.frame, 'c': f.category_id, 'r': f.range}} as k, f.det_id as dt, f.conf, f.outside, list({{'g': u.det_id, 'w': {_iou('u.', 'f.')}, 'ig': u.ig}} order by u.det_id) as near
+    from f join u on u.video_id = f.video_id and u.frame = f.frame and u.category_id = f.category_id and u.range = f.range group by f.video_id, f.frame, f.category_id, f.range, f.det_id, f.conf, f.outside),
   r as (select *, row_number() over (partition by k order by conf desc, dt) as i from o),
-  st as (select r.k, la.level, la.alpha, cast(0 as bigint) as i, cast([] as varchar[]) as used, cast(null as varchar) as dt, false as hit from (select distinct k from r) r cross join la union all
-    select s.k, s.level, s.alpha, r.i, case when len(fit) > 0 then list_append(s.used, list_sort(list_transform(fit, lambda x: {{'w': x.w, 'g': x.g}}))[-1].g) else s.used end, r.dt, len(fit) > 0
-    from st s join r on r.k = s.k and r.i = s.i + 1 cross join lateral (select list_filter(r.near, lambda x: x.w >= s.alpha and not list_contains(s.used, x.g)) as fit)),
-  hits as (select level, dt from st where hit),
-  nt as (select category_id, count(*) as n_gt from u group by 1),
-  cv as (select f.category_id, la.level, n_gt, row_number() over w as rank, count(h.dt) over w as tp from f join nt on nt.category_id = f.category_id cross join la left join hits h on h.dt = f.det_id and h.level = la.level
-    window w as (partition by f.category_id, la.level order by conf desc, f.det_id rows between unbounded preceding and current row)),
-  pc as (select category_id, level, tp / cast(n_gt as double) as recall, max(tp / cast(rank as double)) as p from cv group by 1, 2, 3),
-  mp as (select category_id, level, recall, max(p) over (partition by category_id, level order by recall desc rows between unbounded preceding and current row) as p from pc),
-  gr as (select category_id, level, r / cast(100 as double) - 1e-11 as at from nt cross join la cross join (select unnest(range(101)) as r))"""
-
-
-@add("average_precision", ["v_gt", "v_pred"], f"""{_ap_sql('v_pred', 'v_gt')}
-  select gr.category_id, gr.level, sum(coalesce(p, 0)) / 101 as ap from gr asof left join mp on mp.category_id = gr.category_id and mp.level = gr.level and gr.at <= mp.recall group by 1, 2""")
+  st as (select r.k, la.level, la.alpha, cast(0 as bigint) as i, cast([] as varchar[]) as used, cast(null as varchar) as dt, 0 as hit from (select distinct k from r) r cross join la union all
+    select s.k, s.level, s.alpha, r.i, case when len(fit) > 0 then list_append(s.used, fit[-1].g) else s.used end, r.dt, case when len(fit) > 0 then case when fit[-1].ig then -1 else 1 end when r.outside then -1 else 0 end
+    from st s join r on r.k = s.k and r.i = s.i + 1
+      cross join lateral (select list_sort(list_transform(list_filter(r.near, lambda x: x.w >= s.alpha and not list_contains(s.used, x.g)), lambda x: {{'counts': not x.ig, 'w': x.w, 'g': x.g, 'ig': x.ig}})) as fit)),
+  nt as (select category_id, range, count(*) filter (not ig) as n_gt from u group by 1, 2),
+  al as (select f.category_id, f.range, la.level, f.conf, f.det_id, n_gt, coalesce(h.hit, case when f.outside then -1 else 0 end) as hit
+    from f join nt on nt.category_id = f.category_id and nt.range = f.range cross join la left join st h on h.i > 0 and h.dt = f.det_id and h.level = la.level and h.k.r = f.range),
+  cv as (select category_id, range, level, n_gt, row_number() over w as rank, sum(hit) over w as tp from al where hit >= 0 window w as (partition by category_id, range, level order by conf desc, det_id rows between unbounded preceding and current row)),
+  pc as (select category_id, range, level, tp / cast(n_gt as double) as recall, max(tp / cast(rank as double)) as p from cv where n_gt > 0 group by 1, 2, 3, 4),
+  mp as (select category_id, range, level, recall, max(p) over (partition by category_id, range, level order by recall desc rows between unbounded preceding and current row) as p from pc),
+  gr as (select category_id, range, level, r / cast(100 as double) - 1e-11 as spot from nt cross join la cross join (select unnest(range(101)) as r) where n_gt > 0)
+  select gr.category_id, gr.range, gr.level, sum(coalesce(p, 0)) / 101 as ap from gr asof left join mp on mp.category_id = gr.category_id and mp.range = gr.range and mp.level = gr.level and gr.spot <= mp.recall group by 1, 2, 3"""
+
+
+@add("average_precision", ["v_gt", "v_pred"], _ap_sql("v_pred", "v_gt", "('all', 0, 1e12)", 1_000_000).replace("select gr.category_id, gr.range, gr.level, sum", "select gr.category_id, gr.level, sum").removesuffix("1, 2, 3") + "1, 2")
 def average_precision(spark, d):
     k = ["video_id", "frame", "category_id"]
     g, p = view(spark, d, "v_gt"), view(spark, d, "v_pred")
@@ -183,6 +187,18 @@ def average_precision(spark, d):
     return metrics.average_precision(m, g.groupBy("category_id").agg(F.count("*").alias("n_gt")), ["category_id"]).drop("n_gt")
 
 
+@add("ranged_precision", ["v_gt", "v_pred"], _ap_sql("v_pred", "v_gt", "('all', 0, 1e12), ('small', 0, 4000), ('medium', 4000, 6500), ('large', 6500, 1e12)", 2))
+def ranged_precision(spark, d):
+    """Average precision of small, medium and large objects, from the two best predictions of an image."""
+    k = ["video_id", "frame", "category_id"]
+    g, p = view(spark, d, "v_gt"), view(spark, d, "v_pred")
+    sim = pairs.pair_table(g, p, k, ("det_id", "det_id")).select(*k, F.col("gt_det_id").alias("gt_id"), F.col("dt_det_id").alias("dt_id"), "iou")
+    found = p.select(*k, F.col("det_id").alias("dt_id"), F.col("conf").alias("score"), bx.area(bx.box()).alias("area"))
+    truth = g.select(*k, F.col("det_id").alias("gt_id"), bx.area(bx.box()).alias("area"))
+    ranges = {"all": (0, 1e12), "small": (0, 4000), "medium": (4000, 6500), "large": (6500, 1e12)}
+    return metrics.ranged_precision(found, truth, sim, k, ["category_id"], ranges, 2).drop("n_gt")
+
+
 @add("mask_boxes", ["v_boxes"], """select det_id, cast((floor(x2 / 10) - floor(x1 / 10)) * (floor(y2 / 10) - floor(y1 / 10)) as bigint) as area, cast(floor(x1 / 10) as int) as bx1, cast(floor(y1 / 10) as int) as by1, cast(floor(x2 / 10) as int) as bx2, cast(floor(y2 / 10) as int) as by2 from v_boxes""")
 def mask_boxes(spark, d):
     """Boxes as run-length masks on a coarse grid; area and bounds read back from the runs."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import boxes as bx
 from sightline.functions import rle
-from sightline.operators import masks, metrics, pairs, shaping, speakers
+from sightline.operators import linking, masks, metrics, pairs, shaping, speakers
 from sightline.plans.detections import _greedy_sql, _iou
 from sightline.plans.evaluation import _HOTA, _HOTA_FIELDS, _sides
 from sightline.plans.views import oracle, table, view
@@ -229,3 +229,46 @@ def hota_super_class(spark, d):
     """Classes of one super-class as one, each weighed by its detections."""
     per = metrics.hota(*_sides(spark, d), ["video_id"]).withColumn("super", F.col("video_id") % 3)
     return metrics.combine(per, ["super"]).select("super", "level", "tp", "fn", "fp", "det_a", "ass_a", "loc_a", "hota")
+
+
+@add("merged_windows", ["v_segments"], """with recursive a as (select seg_id // 100 as lane, start_s, end_s, speaker from v_segments union all select seg_id // 100, start_s + 0.05, end_s - 0.05, speaker from v_segments where seg_id % 3 <> 0),
+  c as (select *, row_number() over (partition by lane order by start_s, end_s, speaker) as i from a),
+  r as (select lane, i, start_s as s, end_s as e, speaker as w, true as kept from c where i = 1 union all
+    select c.lane, c.i, case when same then r.s else c.start_s end, case when same then r.e else c.end_s end, case when same then r.w else c.speaker end, not same
+    from r join c on c.lane = r.lane and c.i = r.i + 1 cross join lateral (select abs(c.start_s - r.s) <= 0.1 and abs(c.end_s - r.e) <= 0.1 and c.speaker = r.w as same))
+  select lane, s as start_s, e as end_s, w as speaker from r where kept""")
+def merged_windows(spark, d):
+    """What two passes over the same speech found, without what the second found again."""
+    s = view(spark, d, "v_segments").withColumn("lane", F.floor(F.col("seg_id") / 100)).select("lane", "seg_id", "start_s", "end_s", "speaker")
+    again = s.filter("seg_id % 3 <> 0").withColumns({"start_s": F.col("start_s") + 0.05, "end_s": F.col("end_s") - 0.05})
+    return linking.merged_windows(s.union(again), ["lane"], "start_s", "end_s", "speaker")
+
+
+@add("registered_identities", [], """with recursive n as (select vec_id // 100 as part, vec_id, vec_id * 7 % 100 as s, vec_id * 7 % 100 + vec_id % 9 as e, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings),
+  c as (select *, list_transform(embedding, lambda x: cast(x as double) / norm) as v, row_number() over (partition by part order by s, vec_id) as i from n),
+  r as (select part, cast(0 as bigint) as i, cast([] as struct(s bigint, e bigint, v double[])[]) as known, cast(null as bigint) as vec_id, cast(null as bigint) as identity from (select distinct part from c) union all
+    select r.part, c.i, case when spot is null then list_append(known, {'s': c.s, 'e': c.e, 'v': c.v}) else list_concat(list_append(known[1:spot - 1], {'s': c.s, 'e': c.e, 'v': known[spot].v}), known[spot + 1:]) end, c.vec_id, coalesce(spot - 1, len(known))
+    from r join c on c.part = r.part and c.i = r.i + 1 cross join lateral (select nullif(list_position(list_transform(known, lambda k: (c.e <= k.s or c.s >= k.e) and list_dot_product(k.v, c.v) >= 0.15), true), 0) as spot))
+  select part, vec_id, cast(identity as int) as identity from r where i > 0""")
+def registered_identities(spark, d):
+    """Tracks taken in order of start by the first identity that is alike and free; their times are made up from their ids."""
+    e = table(spark, d, "embeddings").withColumns({"part": F.floor(F.col("vec_id") / 100), "s": F.col("vec_id") * 7 % 100, "e": F.col("vec_id") * 7 % 100 + F.col("vec_id") % 9})
+    return linking.registered(e, ["part"], "vec_id", "s", "e", "embedding", 0.15)
+
+
+@add("minibatches", ["v_segments"], """with recursive c as (select video_id, seg_id, cast(floor(end_s - start_s) as bigint) as n, row_number() over (partition by video_id order by cast(floor(end_s - start_s) as bigint) desc, seg_id desc) as i from v_segments),
+  r as (select video_id, cast(1 as bigint) as i, 0 as batch from (select distinct video_id from c) union all
+    select r.video_id, r.i + greatest(4000 // greatest(c.n, 1), 1), r.batch + 1 from r join c on c.video_id = r.video_id and c.i = r.i)
+  select c.video_id, c.seg_id, max(r.batch) as batch from c join r on r.video_id = c.video_id and r.i <= c.i group by 1, 2""")
+def minibatches(spark, d):
+    """Segments from long to short in batches that their longest leaves room for."""
+    s = view(spark, d, "v_segments").withColumn("n", F.floor(F.col("end_s") - F.col("start_s")))
+    return linking.batched(s, ["video_id"], "n", "seg_id", 4000)
+
+
+@add("unfinished_chunks", ["v_shots"], "select video_id, shot_id from v_shots where not (shot_id % 3 = 0 or (shot_id % 2 = 0 and shot_id % 5 = 0))")
+def unfinished_chunks(spark, d):
+    """Shots without a finished output; failed outputs don't count."""
+    s = view(spark, d, "v_shots").select("video_id", "shot_id")
+    done = s.filter("shot_id % 3 = 0 or shot_id % 2 = 0").withColumn("error", F.when((F.col("shot_id") % 3 != 0) & (F.col("shot_id") % 5 != 0), "failed"))
+    return linking.resume(s, done, ["video_id", "shot_id"])

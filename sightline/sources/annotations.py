@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.operators.prune import require_subset
+from sightline.operators.prune import dense_ids, require_subset
+from sightline.runtime import materialize
 
 IMAGE_SET = (
     "struct<images:array<struct<id:long,file_name:string,width:int,height:int,text_input:string>>,"
@@ -19,7 +22,7 @@ VIDEO_SET = (
 
 
 def _parts(spark: SparkSession, path: str, schema: str) -> dict[str, DataFrame]:
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+    whole = materialize(spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")), "annotations")
     return {f: whole.select(F.explode(f"d.{f}").alias("r")).select("r.*") for f in whole.schema["d"].dataType.fieldNames()}
 
 
@@ -83,7 +86,7 @@ def last_rows(spark: SparkSession, paths: str) -> DataFrame:
 def read_times(spark: SparkSession, path: str) -> DataFrame:
     """(frame, pts) of a probe's CSV of times; empty and N/A are null."""
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.trim(F.regexp_replace("value", ",.*$", "")).alias("v"))
-    return rows.withColumn("frame", F.row_number().over(Window.orderBy("i")) - 1).select("frame", F.col("v").try_cast("double").alias("pts"))
+    return dense_ids(rows, ["i"], "frame", 0).select("frame", F.col("v").try_cast("double").alias("pts"))
 
 
 def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mp4", "mkv", "mov", "avi", "webm", "m4v")) -> DataFrame:
@@ -93,3 +96,25 @@ def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     ranked = parts.withColumn("rank", F.array_position(F.array(*[F.lit(e) for e in extensions]), F.col("ext"))).filter("rank > 0")
     w = Window.partitionBy("name").orderBy("rank", "path")
     return ranked.withColumn("r", F.row_number().over(w)).filter("r = 1").select("name", "path")
+
+
+def resolve_video(spark: SparkSession, folder: str, name: str) -> str:
+    """The path of one video by its base name, by the order of scan_folder(); none is an error."""
+    found = scan_folder(spark, folder).filter(F.col("name") == name).first()
+    if found is None:
+        raise FileNotFoundError(f"no video {name!r} in {folder}")
+    return found["path"]
+
+
+def crawl_configs(spark: SparkSession, folder: str, filename: str, without: str = "/code/") -> DataFrame:
+    """(path) of the files of one name below a folder, less those with a part in their path. File contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", filename).load(folder)
+    return files.select("path").filter(~F.contains("path", F.lit(without)))
+
+
+def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at a path, made and written first if it isn't there: a stage's result that a later run takes up again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

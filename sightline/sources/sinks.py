@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
 
-HEADER = ["[Script Info]", "ScriptType: v4.00+", "", "[Events]", "Format: Layer, Start, End, Style, Text"]
+# The sections and fields that players expect of a subtitle script.
+INFO = ["[Script Info]", "ScriptType: v4.00+", "WrapStyle: 0", "ScaledBorderAndShadow: yes", "YCbCr Matrix: TV.601", "PlayResX: 1280", "PlayResY: 720"]
+STYLE_FIELDS = (
+    "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, "
+    "ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+)
+STYLE = "{name},{font},42,{colour},&H000000FF,&H00202020,&H00000000,0,0,0,0,100,100,0,0,1,2,0,2,30,30,30,1"
+EVENT_FIELDS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def header(styles: dict[str, str], font: str = "Noto Sans CJK SC") -> list[str]:
+    """The lines before the dialogue: a style for each name, in the colour given as &HAABBGGRR."""
+    rows = [f"Style: {STYLE.format(name=n, font=font, colour=c)}" for n, c in {"Default": "&H00FFFFFF", **styles}.items()]
+    return [*INFO, "", "[V4+ Styles]", f"Format: {STYLE_FIELDS}", *rows, "", "[Events]", f"Format: {EVENT_FIELDS}"]
 
 
 def dialogue(lines: DataFrame) -> DataFrame:
     """(start_s, end_s, style, text) as Dialogue rows in order."""
-    row = F.concat(F.lit("Dialogue: 0,"), tx.ass_time(F.col("start_s")), F.lit(","), tx.ass_time(F.col("end_s")), F.lit(","), F.col("style"), F.lit(","), tx.escape_braces(F.col("text")))
+    row = F.concat(F.lit("Dialogue: 0,"), tx.ass_time(F.col("start_s")), F.lit(","), tx.ass_time(F.col("end_s")), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"), tx.escape_braces(F.col("text")))
     return lines.orderBy("start_s", "end_s", "style", "text").select(row.alias("value"))
 
 
@@ -45,10 +58,15 @@ def word_lines(segments: DataFrame, width: int = tx.LATIN_WIDTH) -> DataFrame:
     return g.agg(F.min("z.w.start").alias("start_s"), F.max("z.w.end").alias("end_s"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "z.w.word"))), lambda x: x["word"]), " ").alias("text"))
 
 
-def write_subtitles(lines: DataFrame, path: str) -> None:
-    """One subtitle file; subtitles of one video are few, so a single ordered part is meant here."""
+def write_subtitles(lines: DataFrame, path: str, colours: dict[str, str] | None = None) -> None:
+    """One subtitle file; subtitles of one video are few, so a single ordered part is meant here.
+
+    colours are those of the styles by name; styles without one are white.
+    """
     spark = lines.sparkSession
-    head = spark.createDataFrame([(i - len(HEADER), h) for i, h in enumerate(HEADER)], "i long, value string")
+    named = {r["style"]: (colours or {}).get(r["style"], "&H00FFFFFF") for r in lines.select("style").distinct().orderBy("style").collect()}
+    top = header(named)
+    head = spark.createDataFrame([(i - len(top), h) for i, h in enumerate(top)], "i long, value string")
     body = dialogue(lines).withColumn("i", F.monotonically_increasing_id())
     head.union(body.select("i", "value")).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
 
@@ -59,11 +77,28 @@ def write_predictions(dets: DataFrame, path: str) -> None:
     dets.select("image_id", "category_id", F.transform("bbox", five).alias("bbox"), five(F.col("score")).alias("score")).write.mode("overwrite").json(path)
 
 
+def write_video_results(masks: DataFrame, path: str) -> None:
+    """Tracks of videos as JSON lines: rows (video_id, category_id, track_id, frame, score, counts, height, width) and lengths.
+
+    Each line is a track: its mean score and its segmentations by frame, null where it isn't seen. `length` is the video's.
+    """
+    seen = masks.select("video_id", "category_id", "track_id", "length", "frame", "score", F.struct(F.array("height", "width").alias("size"), "counts").alias("segmentation"))
+    rows = seen.groupBy("video_id", "category_id", "track_id", "length").agg(F.avg("score").alias("score"), F.map_from_entries(F.collect_list(F.struct("frame", "segmentation"))).alias("m"))
+    frames = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda f: F.try_element_at("m", f.cast("int")))
+    rows.select("video_id", "category_id", "score", frames.alias("segmentations")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_results(fields: DataFrame, path: str) -> None:
     """A long result table (seq, cls, field, value) as CSV, one column a field."""
     fields.groupBy("seq", "cls").pivot("field").agg(F.first("value")).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_details(fields: DataFrame, path: str) -> None:
+    """The same table in full: one row a sequence, class and field with its values by threshold, as JSON lines."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("level", "value"))), lambda x: x["value"])
+    fields.groupBy("seq", "cls", "field").agg(values.alias("values")).write.mode("overwrite").json(path)
+
+
 @contextmanager
 def stage(spark: SparkSession, name: str, path: str) -> Iterator[None]:
     """Append how long a stage took to a JSON table; a failure to write is no failure of the stage."""

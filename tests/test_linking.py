@@ -82,3 +82,12 @@ def test_rotated_boxes():
     octagon = 8 * (math.sqrt(2) - 1)
     assert rotated.iou(a, np.array([0, 0, 2, 2, 45.0])) == pytest.approx(octagon / (8 - octagon))
     assert rotated.iou(a, np.array([9, 9, 2, 2, 45.0])) == 0
+
+
+def test_groups_of_tables(spark):
+    rows = [(1, 0, 0.0, 1.0, [1.0, 0.0]), (1, 1, 2.0, 3.0, [2.0, 0.1]), (1, 2, 0.0, 9.0, [0.0, 1.0]), (2, 5, 0.0, 2.0, [1.0, 0.0]), (2, 6, 1.0, 3.0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "v int, t int, s double, e double, x array<double>")
+    linked = {(r["v"], r["t"]): r["group"] for r in linking.linked_groups(df, ["v"], "t", "s", "e", "x", 0.5, 1.1).collect()}
+    assert linked == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (2, 5): 0, (2, 6): 1}
+    joined = {(r["v"], r["t"]): r["group"] for r in linking.joined_groups(df, ["v"], "t", "s", "e", "x", 0.5, 5.0, 0.9, 50.0).collect()}
+    assert joined == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (2, 5): 0, (2, 6): 1}

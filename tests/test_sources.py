@@ -49,13 +49,49 @@ def test_folder(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1] for r in annotations.scan_folder(spark, str(tmp_path)).collect()} == {"a.mp4", "b.mkv"}
 
 
+def test_single_files(spark, tmp_path):
+    for n in ("a.avi", "a.mp4", "x/conf.yaml", "y/code/conf.yaml", "y/other.yaml"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    assert annotations.resolve_video(spark, str(tmp_path), "a").endswith("a.mp4")
+    with pytest.raises(FileNotFoundError):
+        annotations.resolve_video(spark, str(tmp_path), "z")
+    assert [r["path"].rsplit("/", 2)[1] for r in annotations.crawl_configs(spark, str(tmp_path), "conf.yaml").collect()] == ["x"]
+
+
+def test_a_stage_is_made_once(spark, tmp_path):
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert annotations.read_or_make(spark, str(tmp_path / "stage"), make).count() == 3
+    assert len(calls) == 1
+
+
+def test_video_results_and_details(spark, tmp_path):
+    rows = [(1, 2, 7, 3, 0, 0.5, [4, 2], 2, 3), (1, 2, 7, 3, 2, 1.0, [0, 6], 2, 3)]
+    masks = spark.createDataFrame(rows, "video_id long, category_id long, track_id long, length int, frame int, score double, counts array<int>, height int, width int")
+    sinks.write_video_results(masks, str(tmp_path / "r"))
+    r = json.loads(spark.read.text(str(tmp_path / "r")).first()["value"])
+    assert r["score"] == 0.75 and r["segmentations"] == [{"size": [2, 3], "counts": [4, 2]}, None, {"size": [2, 3], "counts": [0, 6]}]
+    fields = spark.createDataFrame([("s", "c", "hota", 1, 0.2), ("s", "c", "hota", 0, 0.4)], "seq string, cls string, field string, level int, value double")
+    sinks.write_details(fields, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).first()["values"] == [0.4, 0.2]
+
+
 def test_subtitles(spark, tmp_path):
     seg = spark.createDataFrame([(1, 0.0, 2.0, "P", "one two three four five six")], "seg_id int, start_s double, end_s double, style string, text string")
     rows = sinks.sliced(seg).orderBy("start_s").collect()
     assert [(r["start_s"], r["end_s"]) for r in rows] == [(0.0, 1.0), (1.0, 2.0)]
     sinks.write_subtitles(sinks.sliced(seg), str(tmp_path / "s"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()]
-    assert lines[0] == "[Script Info]" and lines[-1].startswith("Dialogue: 0,0:00:01.00,0:00:02.00,P,")
+    assert lines[0] == "[Script Info]" and lines[-1].startswith("Dialogue: 0,0:00:01.00,0:00:02.00,P,,0,0,0,,")
+    assert [x for x in lines if x.startswith("Style: ")] == [x for x in sinks.header({"P": "&H00FFFFFF"}) if x.startswith("Style: ")] and "[V4+ Styles]" in lines
+    # every event has the fields that its format names
+    assert all(len(x.split(": ", 1)[1].split(",")) == len(sinks.EVENT_FIELDS.split(",")) for x in lines if x.startswith("Dialogue"))
     words = spark.createDataFrame([(1, "P", [(0.0, 1.0, "x" * 20), (1.0, 2.0, "y" * 20)])], "seg_id int, style string, words array<struct<start:double,end:double,word:string>>")
     assert [(r["line"], r["start_s"]) for r in sinks.word_lines(words).orderBy("line").collect()] == [(0, 0.0), (1, 1.0)]
 

@@ -12,6 +12,7 @@ from sightline.operators import linking, masks, metrics, pairs, shaping, speaker
 from sightline.plans.detections import _greedy_sql, _iou
 from sightline.plans.evaluation import _HOTA, _HOTA_FIELDS, _sides
 from sightline.plans.views import oracle, table, view
+from sightline.streaming import sessions
 
 Q: dict = {}
 O: dict = {}
@@ -272,3 +273,33 @@ def unfinished_chunks(spark, d):
     s = view(spark, d, "v_shots").select("video_id", "shot_id")
     done = s.filter("shot_id % 3 = 0 or shot_id % 2 = 0").withColumn("error", F.when((F.col("shot_id") % 3 != 0) & (F.col("shot_id") % 5 != 0), "failed"))
     return linking.resume(s, done, ["video_id", "shot_id"])
+
+
+_REQUESTS = """q as (select user_id, event_id, case event_id % 11 when 0 then 'start' when 5 then 'reset' when 9 then 'close' when 3 then 'remove' when 7 then 'remove' else 'add' end as type, event_id % 6 as obj_id from events)"""
+
+
+@add("session_states", [], f"""with {_REQUESTS}, s as (select user_id, max(event_id) filter (type in ('start', 'reset')) as fresh, max(event_id) filter (type = 'close') as closed from q group by 1),
+  l as (select q.user_id, obj_id, arg_max(type, event_id) as last from q join s on s.user_id = q.user_id where event_id > fresh and type in ('add', 'remove') group by 1, 2),
+  o as (select user_id, string_agg(cast(obj_id as varchar), ' ' order by obj_id) as objects from l where last = 'add' group by 1)
+  select s.user_id, fresh is not null and (closed is null or closed < fresh) as is_open, case when fresh is not null and (closed is null or closed < fresh) then coalesce(objects, '') else '' end as objects from s left join o on o.user_id = s.user_id""")
+def session_states(spark, d):
+    """What a user's requests, made up from the events, leave open."""
+    kind = F.expr("case event_id % 11 when 0 then 'start' when 5 then 'reset' when 9 then 'close' when 3 then 'remove' when 7 then 'remove' else 'add' end")
+    q = table(spark, d, "events").select("user_id", "event_id", kind.alias("type"), (F.col("event_id") % 6).alias("obj_id"))
+    s = sessions.session_states(q, "user_id", "event_id")
+    return s.select("user_id", "is_open", F.array_join(F.col("objects").cast("array<string>"), " ").alias("objects"))
+
+
+@add("next_propagations", [], """with a as (select user_id, event_id, list_extract(['add', 'remove', 'refine', 'propagation_full', 'propagation_partial', 'propagation_fetch'], cast(event_id % 6 as bigint) + 1) as type, event_id % 10 as frame, event_id % 7 as obj from events),
+  s as (select user_id, arg_max({'t': type, 'f': frame, 'o': obj}, event_id) as l, max(event_id) as le, max(event_id) filter (type like 'propagation%') as run from a group by 1),
+  b as (select a.user_id, arg_max(type, event_id) as t from a join s on s.user_id = a.user_id where event_id < le group by 1),
+  n as (select user_id, string_agg(cast(obj as varchar), ' ' order by obj) as objects from (select distinct a.user_id, obj from a join s on s.user_id = a.user_id where (run is null or event_id > run) and type in ('add', 'refine')) group by 1),
+  x as (select s.user_id, l.t as t, l.o as o, coalesce(b.t in ('propagation_partial', 'propagation_full'), false) or l.f in (0, 9) as done, n.objects from s left join b on b.user_id = s.user_id left join n on n.user_id = s.user_id)
+  select user_id, case when t = 'propagation_fetch' then t when t like 'propagation%' then case when done then 'propagation_fetch' else t end when objects is not null then 'propagation_partial' else 'propagation_fetch' end as kind,
+    case when t = 'propagation_fetch' then null when t like 'propagation%' then case when done then null else cast(o as varchar) end else objects end as objects from x""")
+def next_propagations(spark, d):
+    """What the next propagation of each user's actions, made up from the events, does."""
+    kind = F.element_at(F.array(*[F.lit(a) for a in sessions.ACTIONS]), (F.col("event_id") % 6 + 1).cast("int"))
+    a = table(spark, d, "events").select("user_id", "event_id", kind.alias("type"), (F.col("event_id") % 10).alias("frame"), F.array((F.col("event_id") % 7).cast("long")).alias("objects"), F.lit(10).alias("n_frames"))
+    s = sessions.next_propagation(a, "user_id", "event_id", "n_frames")
+    return s.select("user_id", "kind", F.array_join(F.col("objects").cast("array<string>"), " ").alias("objects"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sightline.operators.assign import hungarian
 from sightline.operators.suppress import pair_iou
 
 OUTPUT = "video_id long, frame long, track_id long, det_id string, x1 double, y1 double, x2 double, y2 double, confirmed boolean"
@@ -35,6 +36,9 @@ class Settings:
     duplicates: int = 8
     confirm: int = 3
     keep_alive: int = 30
+    #: Whether tracks and detections are matched one to one by the largest sum of overlaps, and whether unconfirmed rows are hidden.
+    one_to_one: bool = False
+    hide_unconfirmed: bool = False
 
 
 @dataclass
@@ -53,16 +57,18 @@ class Tracker:
         ids = sorted(self.tracks)
         boxes = np.array([self.tracks[i]["box"] for i in ids]).reshape(-1, 4)
         rows, taken = [], {}
-        for det_id, *box, score in sorted(dets, key=lambda d: (-d[5], d[0])):
+        ranked = sorted(dets, key=lambda d: (-d[5], d[0]))
+        pairs = self._paired(ranked, ids, boxes) if s.one_to_one else None
+        for det_id, *box, score in ranked:
             over = pair_iou(np.array(box, float), boxes) if len(boxes) else np.zeros(0)
             near = [ids[k] for k in np.flatnonzero(over >= s.match_iou)]
             if near:
-                best = max(near, key=lambda i: (over[ids.index(i)], -i))
+                best = max(near, key=lambda i: (over[ids.index(i)], -i)) if pairs is None else pairs.get(det_id)
                 first = min(near, key=lambda i: (self.tracks[i]["first"], i))
                 for i in near:
                     if i != first and i != best:
                         self.tracks[i]["double"] += 1
-                if best not in taken:
+                if best is not None and best not in taken:
                     taken[best] = True
                     self.tracks[best] |= {"box": list(map(float, box))}
                     rows.append((best, det_id, *map(float, box)))
@@ -86,6 +92,14 @@ class Tracker:
         self.buffer.append({"frame": frame, "rows": rows, "ok": {i: t["ok"] for i, t in self.tracks.items()}})
         return self._out(len(self.buffer) - s.delay)
 
+    def _paired(self, dets: list[tuple], ids: list[int], boxes: np.ndarray) -> dict[str, int]:
+        """The track of each detection in the matching of the largest sum of overlaps, of pairs that overlap enough."""
+        if not dets or not ids:
+            return {}
+        over = np.stack([pair_iou(np.array(d[1:5], float), boxes) for d in dets])
+        rows, cols = hungarian(-np.where(over >= self.settings.match_iou, over, 0.0))
+        return {dets[i][0]: ids[j] for i, j in zip(rows, cols, strict=True) if over[i, j] >= self.settings.match_iou}
+
     def flush(self) -> list[dict]:
         return self._out(len(self.buffer))
 
@@ -93,6 +107,8 @@ class Tracker:
         out, gone = [], set(self.removed)
         for entry in self.buffer[: max(0, n)]:
             out += [{"frame": entry["frame"], "track_id": i, "det_id": d, "x1": a, "y1": b, "x2": c, "y2": e, "confirmed": bool(self.tracks.get(i, {}).get("ok", entry["ok"].get(i, False)))} for i, d, a, b, c, e in entry["rows"] if i not in gone]
+        if self.settings.hide_unconfirmed:
+            out = [r for r in out if r["confirmed"]]
         del self.buffer[: max(0, n)]
         held = {r[0] for entry in self.buffer for r in entry["rows"]}
         self.removed = [i for i in self.removed if i in held]

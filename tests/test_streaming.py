@@ -54,3 +54,20 @@ def test_windowed_counts_over_a_stream(spark, tables, tmp_path):
     query = win(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, win(events).collect()))
+
+
+def test_one_to_one_and_hidden_rows(spark):
+    """Two objects close together: each detection its own track by the best sum, where the greedy choice leaves one without."""
+    box = lambda x: (x, 0.0, x + 10.0, 10.0)
+    t = tracker.Tracker(tracker.Settings(one_to_one=True))
+    t.step(0, [("a0", *box(0.0), 0.9), ("b0", *box(12.0), 0.9)])
+    t.step(1, [("a1", *box(6.0), 0.95), ("b1", *box(13.0), 0.9)])
+    assert [{(r[1], r[0]) for r in e["rows"]} for e in t.buffer] == [{("a0", 1), ("b0", 2)}, {("a1", 1), ("b1", 2)}]
+    greedy = tracker.Tracker()
+    greedy.step(0, [("a0", *box(0.0), 0.9), ("b0", *box(12.0), 0.9)])
+    greedy.step(1, [("a1", *box(6.5), 0.95), ("b1", *box(13.0), 0.9)])
+    assert len(greedy.buffer[1]["rows"]) == 1
+    rows = detections()
+    all_rows = tracker.track(spark.createDataFrame(rows, SCHEMA)).collect()
+    shown = tracker.track(spark.createDataFrame(rows, SCHEMA), tracker.Settings(hide_unconfirmed=True)).collect()
+    assert sorted(map(tuple, shown)) == sorted(tuple(r) for r in all_rows if r["confirmed"])

@@ -113,13 +113,17 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
         return Model(np.zeros((len(kinds) * BUCKETS, classes), np.float32), np.zeros(classes), kinds)
     y = np.asarray(table["label"].combine_chunks(), dtype=np.int64)
     index, value = table["index"].combine_chunks(), table["value"].combine_chunks()
+    del table
     rows = np.asarray(index.offsets, dtype=np.int64)
-    idx, val = np.asarray(index.flatten()), np.asarray(value.flatten())
+    # as few bytes a feature as do, which also sorts by radix
+    idx, val = np.asarray(index.flatten()).astype(np.min_scalar_type(len(kinds) * BUCKETS - 1)), np.asarray(value.flatten())
+    del index, value
     full = np.flatnonzero(np.diff(rows) > 0)
     # the same values by feature: where each feature's run begins, and the row and value of each of its items
-    order = np.argsort(idx, kind="stable")
+    order = np.argsort(idx, kind="stable").astype(np.int32 if len(idx) < 1 << 31 else np.int64)
     idx_sorted = idx[order]
     used_features, begins = np.unique(idx_sorted, return_index=True)
+    used_features = used_features.astype(np.int64)
     of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(rows))[order]
     by_feature = val[order]
     del order
@@ -133,7 +137,7 @@ def fit(table: pa.Table, classes: int, kinds: tuple[str, ...] = ALL, rounds: int
     value_of = np.full((free, width), SCALE, np.float32)
     for f in (f for f, kind in enumerate(kinds) if kind[0] == "p"):
         own = slice(*np.searchsorted(idx_sorted, [f * BUCKETS, (f + 1) * BUCKETS]))
-        has = np.stack([np.bincount(idx_sorted[own] - f * BUCKETS, weights=hot[of[own], k] * ~apart[of[own]], minlength=BUCKETS) for k in range(classes)])
+        has = np.stack([np.bincount(idx_sorted[own].astype(np.int64) - f * BUCKETS, weights=hot[of[own], k] * ~apart[of[own]], minlength=BUCKETS) for k in range(classes)])
         odds = np.log((has + 1) / (share[:, None] + 2))
         value_of[:, f * BUCKETS : (f + 1) * BUCKETS] *= odds[1:] - odds[0]
     del idx_sorted
@@ -229,5 +233,4 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, most: int, key: str =
 def fit_on(docs: DataFrame, labelled: DataFrame, classes: int, most: int, kinds: tuple[str, ...] = ALL) -> Model:
     """Train on a bounded sample; features are made on the executors and only they come to the driver."""
     sample = labelled_sample(docs, labelled, most).repartition(8, "doc_id").sortWithinPartitions("doc_id")
-    table = feature_table(sample, "text", "label", kinds).toArrow()
-    return fit(table, classes, kinds)
+    return fit(feature_table(sample, "text", "label", kinds).toArrow(), classes, kinds)

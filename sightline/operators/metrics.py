@@ -178,6 +178,28 @@ def teta(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str], ste
     return j.select(*seq, "level", "alpha", "tp", (F.col("n_gt") - F.col("tp")).alias("fn"), (F.col("n_close") - F.col("n_kept")).alias("fp"), "cls_tp", loc.alias("loc_a"), ass.alias("assoc_a"), cls.alias("cls_a"))
 
 
+def class_sequences(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str], assigned: DataFrame | None = None, near: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truth, predictions and pairs as they are evaluated class by class, with the class as a further key `of`.
+
+    A predicted track takes part in a class, with all its frames, if in some frame it overlaps a truth of that class by `near` and
+    isn't assigned (seq, t, gt_id, tk_id) to a truth of another class there.
+    """
+    own = truth.withColumn("of", F.col("cls"))
+    classed = sim.join(own.select(*seq, "t", "gt_id", "of"), [*seq, "t", "gt_id"])
+    close = classed.filter(F.col("sim") >= near)
+    if assigned is not None:
+        elsewhere = assigned.join(own.select(*seq, "t", "gt_id", F.col("of").alias("held")), [*seq, "t", "gt_id"]).select(*seq, "t", "tk_id", "held")
+        close = close.join(elsewhere, [*seq, "t", "tk_id"], "left").filter(F.col("held").isNull() | (F.col("held") == F.col("of")))
+    tracks = close.select(*seq, "of", "tk_id").distinct()
+    return own, found.join(tracks, [*seq, "tk_id"]), classed.join(tracks, [*seq, "of", "tk_id"], "left_semi")
+
+
+def assigned_pairs(truth: DataFrame, found: DataFrame, sim: DataFrame, seq: list[str]) -> DataFrame:
+    """(seq, t, gt_id, tk_id) of the matching of all classes together, as in hota() and teta()."""
+    scored = aligned(truth, found, sim, seq).withColumn("cost", -F.col("score"))
+    return assign.assign(scored, [*seq, "t"], "gt_id", "tk_id", "cost", missing=0.0).drop("cost")
+
+
 def teta_summary(per_sequence: DataFrame, keys: list[str]) -> DataFrame:
     """The three accuracies averaged over thresholds and their mean, in percent."""
     m = per_sequence.groupBy(*keys).agg(F.avg("loc_a").alias("loc_a"), F.avg("assoc_a").alias("assoc_a"), F.coalesce(F.avg("cls_a"), F.lit(0.0)).alias("cls_a"))

@@ -92,6 +92,19 @@ def teta(spark, d):
     return metrics.teta_summary(metrics.teta(*_sides(spark, d), ["video_id"]), ["video_id"])
 
 
+@add("class_tracks", ["v_gt", "v_pred"], f"""{_SEQUENCES},
+  cl as (select sm.video_id, sm.gt_cls as of, sm.tk_id from sm left join hit on hit.video_id = sm.video_id and hit.t = sm.t and hit.tk_id = sm.tk_id where sm.sim >= 0.5 and (hit.gt_cls is null or hit.gt_cls = sm.gt_cls) group by 1, 2, 3)
+  select cl.video_id, cl.of, cl.tk_id, count(*) as n_frames, (select count(*) from sm where sm.video_id = cl.video_id and sm.tk_id = cl.tk_id and sm.gt_cls = cl.of) as n_pairs
+  from cl join h on h.video_id = cl.video_id and h.tk_id = cl.tk_id group by 1, 2, 3""")
+def class_tracks(spark, d):
+    """The predicted tracks that are evaluated in each class, with their frames and pairs."""
+    g, p, sim = _sides(spark, d)
+    _, found, pairs_of = metrics.class_sequences(g, p, sim, ["video_id"], metrics.assigned_pairs(g, p, sim, ["video_id"]))
+    k = ["video_id", "of", "tk_id"]
+    n = pairs_of.groupBy(*k).agg(F.count("*").alias("n_pairs"))
+    return found.groupBy(*k).agg(F.count("*").alias("n_frames")).join(n, k, "left").fillna(0, ["n_pairs"])
+
+
 def _images(spark, d):
     """Truth, predictions, their overlapping pairs, the keys of an image and all images that were looked at."""
     k = ["video_id", "frame", "category_id"]

@@ -64,11 +64,16 @@ def assign(pairs: DataFrame, keys: list[str], left: str, right: str, cost: str,
 
     def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
         sides = [np.asarray(pc.dictionary_encode(t[c].combine_chunks()).indices, dtype=np.int64) for c in (left, right)]
-        value, taken = column(t, cost), np.zeros(t.num_rows, bool)
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if e - s == 1:
-                taken[s] = missing is None or value[s] < missing
-                continue
+        value = column(t, cost)
+        taken = np.ones(t.num_rows, bool) if missing is None else value < missing
+        # groups in which no row of either side is in two pairs are settled: all pairs that are worth it
+        of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        shared = np.zeros(len(cut) - 1, bool)
+        for side in sides:
+            order = np.lexsort((side, of))
+            shared[of[order[1:]][(of[order[1:]] == of[order[:-1]]) & (side[order[1:]] == side[order[:-1]])]] = True
+        for s, e in zip(cut[:-1][shared], cut[1:][shared], strict=True):
+            taken[s:e] = False
             (a, x), (b, y) = (np.unique(c[s:e], return_inverse=True) for c in sides)
             high = 1e6 * (1 + np.abs(value[s:e]).max()) if missing is None else missing
             m, at = np.full((len(a), len(b)), high), np.zeros((len(a), len(b)), np.int64)

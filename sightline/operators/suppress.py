@@ -19,8 +19,11 @@ Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 XYXY = ["x1", "y1", "x2", "y2"]
 
 
+# Measures of a box `a` with many boxes `b` (n, 4), or of n boxes a (4, n) with one of b each.
+
+
 def pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of one box with many, 0 where the union is empty."""
+    """IoU, 0 where the union is empty."""
     w = np.clip(np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]), 0, None)
     h = np.clip(np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]), 0, None)
     inter = w * h
@@ -39,7 +42,7 @@ def pair_iom(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def pair_centre(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of centres over the longest side of either, at least 1."""
     d = np.hypot((a[0] + a[2] - b[:, 0] - b[:, 2]) / 2, (a[1] + a[3] - b[:, 1] - b[:, 3]) / 2)
-    side = np.maximum.reduce([np.full(len(b), max(1.0, a[2] - a[0], a[3] - a[1])), b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]])
+    side = np.maximum(np.maximum(1.0, np.maximum(a[2] - a[0], a[3] - a[1])), np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))
     return d / side
 
 
@@ -70,18 +73,36 @@ def greedy(boxes: np.ndarray, order: np.ndarray, conflict: Conflict) -> np.ndarr
     return kept
 
 
+#: Rows of a group beyond which it is gone through alone.
+SMALL = 48
+
+
+def greedy_groups(boxes: np.ndarray, cut: np.ndarray, conflict: Conflict) -> np.ndarray:
+    """greedy() of many groups, runs of rows in their order: the i-th rows of all small groups meet their later rows at once."""
+    size = np.diff(cut)
+    alive = np.ones(len(boxes), bool)
+    for s, e in zip(cut[:-1][size > SMALL], cut[1:][size > SMALL], strict=True):
+        alive[s:e] = greedy(boxes[s:e], np.arange(e - s), conflict)
+    first, size = cut[:-1][size <= SMALL], size[size <= SMALL]
+    for i in range(int(size.max(initial=0)) - 1):
+        first, size = first[size > i + 1], size[size > i + 1]
+        on = alive[first + i]
+        row, left = first[on] + i, size[on] - i - 1
+        for step in range(1, int(left.max(initial=0)) + 1):
+            row, left = row[left >= step], left[left >= step]
+            later = row + step
+            open_ = alive[later]
+            alive[later[open_]] = ~conflict(boxes[row[open_]].T, boxes[later[open_]])
+    return alive
+
+
 def suppress(df: DataFrame, keys: list[str], score: str, ties: list[str], conflict: Conflict, boxes: list[str] | None = None) -> DataFrame:
     """The rows of df that stay; equal scores go in the order of `ties`."""
     cols = boxes or XYXY
 
     def run(t: pa.Table, cut: np.ndarray) -> pa.Table:
         xyxy = np.stack([column(t, c).astype(float) for c in cols], 1)
-        kept = np.zeros(len(xyxy), bool)
-        kept[cut[:-1]] = True
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if e - s > 1:
-                kept[s:e] = greedy(xyxy[s:e], np.arange(e - s), conflict)
-        return t.filter(pa.array(kept))
+        return t.filter(pa.array(greedy_groups(xyxy, cut, conflict)))
 
     return map_groups(df, keys, [F.desc(score), *ties], run, df.schema)
 

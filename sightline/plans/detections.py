@@ -531,6 +531,7 @@ def assignment(spark, d):
     """Matches of least cost; of equally near truths the first by id is taken."""
     t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"))
     rank = F.dense_rank().over(Window.partitionBy("video_id", "frame").orderBy("gt_det_id"))
-    t = t.withColumn("cost", 1 - F.col("iou") * (1 - 1e-9 * rank))
-    matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", keep=("iou",))
+    t = t.withColumn("cost", 1 - F.col("iou") * (1 - 1e-9 * rank)).filter("iou > 0")
+    # a pair without overlap costs 1, as one that isn't listed does here
+    matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", missing=1.0, keep=("iou",))
     return matched.withColumn("cost", 1 - F.col("iou")).filter("cost <= 0.9").drop("iou")

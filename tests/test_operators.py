@@ -279,3 +279,27 @@ def test_shared_folder(spark, monkeypatch):
         with pytest.raises(ValueError, match="share"):
             runtime.shared_dir(spark)
     assert runtime.unused(["a", "_X", "_x_"], "_x") == "_x__" and runtime.unused([], "_x") == "_x"
+
+
+def test_groups_at_once_equal_one_by_one(monkeypatch):
+    """Greedy suppression of many groups at once, small and large ones, for every measure."""
+    rng = np.random.default_rng(9)
+    size = rng.integers(1, 9, 60)
+    cut = np.concatenate([[0], np.cumsum(size)])
+    corner = rng.uniform(0, 20, (cut[-1], 2))
+    boxes = np.concatenate([corner, corner + rng.uniform(0, 15, (cut[-1], 2))], 1)
+    for small in (48, 4):
+        monkeypatch.setattr(suppress, "SMALL", small)
+        for conflict in (suppress.iou_at_least(0.2), suppress.iou_above(0.1), suppress.iom_above(0.3), suppress.iou_or_centre(0.5, 0.2)):
+            want = np.concatenate([suppress.greedy(boxes[s:e], np.arange(e - s), conflict) for s, e in itertools.pairwise(cut)])
+            assert (suppress.greedy_groups(boxes, cut, conflict) == want).all() and not want.all()
+    assert suppress.greedy_groups(boxes[:0], np.array([0]), suppress.iou_above(0.1)).tolist() == []
+
+
+def test_groups_without_conflict_take_all_pairs(spark):
+    rows = [(1, "a", "x", -0.5), (1, "b", "y", 0.2), (2, "a", "x", -0.5), (2, "a", "y", -0.9), (2, "b", "y", -0.7), (3, "a", "x", 0.3)]
+    df = spark.createDataFrame(rows, "k int, l string, r string, cost double")
+    got = lambda **o: sorted((r["k"], r["l"], r["r"]) for r in assign.assign(df, ["k"], "l", "r", "cost", **o).collect())
+    assert got(missing=0.0) == [(1, "a", "x"), (2, "a", "x"), (2, "b", "y")]
+    assert got() == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y"), (3, "a", "x")]
+    assert got(most=0.25) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y")]

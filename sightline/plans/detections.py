@@ -493,7 +493,7 @@ def _matching_sql(pairs_name: str) -> str:
   mt as (select k, p.gt as gt, p.dt as dt from (select k, unnest(picks) as p from mb))"""
 
 
-_TRACK_PAIRS = f"""t as (select *, floor(frame / 100) as shot from v_track_frames),
+_TRACK_PAIRS = f"""t as (select *, cast(floor(frame / 100) as bigint) as shot from v_track_frames),
   p as (select video_id, shot, a_id, b_id, count(*) as n, sum(i) / nullif(sum(u), 0) as shared, median(iou) as m_iou, median(dist) as m_dist from
     (select a.video_id, a.shot, a.track_id as a_id, b.track_id as b_id, {_iou('a.', 'b.')} as iou, {_dist('a.', 'b.')} as dist, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as i,
        (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as u

@@ -78,7 +78,7 @@ def occlusion_suppression(spark, d):
     return masks.recently_occluded(met, ["video_id", "frame"], 0.1)
 
 
-@add("frame_pts", ["v_scores", "v_track_frames"], "select t.video_id, t.track_id, t.frame, p.pts from v_track_frames t join (select frame, min(sec) * 1.0 as pts from v_scores group by frame) p on p.frame = t.frame")
+@add("frame_pts", ["v_scores", "v_track_frames"], "select t.video_id, t.track_id, t.frame, p.pts from v_track_frames t join (select frame, cast(min(sec) as double) as pts from v_scores group by frame) p on p.frame = t.frame")
 def frame_pts(spark, d):
     times = view(spark, d, "v_scores").groupBy("frame").agg(F.min("sec").cast("double").alias("pts"))
     return shaping.frame_times(view(spark, d, "v_track_frames").select("video_id", "track_id", "frame"), times)

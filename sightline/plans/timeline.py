@@ -286,7 +286,7 @@ def nearest_frames(spark, d):
 
 _RUNS = """m as (select frame, arg_max(track_id, (score, -track_id)) as win from v_scores group by frame), g as (select frame, frame // 24 as day, win from m),
   q as (select *, sum(case when win = pw then 0 else 1 end) over (partition by day order by frame) as run from (select *, lag(win) over (partition by day order by frame) as pw from g)),
-  w as (select day, min(frame) * 1.0 as s, max(frame) + 1.0 as e, min(win) as win, run from q group by day, run)"""
+  w as (select day, cast(min(frame) as double) as s, cast(max(frame) + 1 as double) as e, min(win) as win, run from q group by day, run)"""
 #: Runs x (day, i, s, e, label) with equal neighbours as one.
 _JOINED = """y as (select *, sum(case when label = pl then 0 else 1 end) over (partition by day order by i) as part from (select *, lag(label) over (partition by day order by i) as pl from x))
   select day, min(s) as s, max(e) as e, min(label) as label from y group by day, part"""

@@ -17,8 +17,8 @@ article or main, or half of the page's text outside links, unless the name is on
 any element left out, an article in those but comments, aside and footer; the header of an article or main is part of it.
 
 Streams are merged by host inside tasks before a shuffle, and then in rounds of bounded shares, so a host may hold any
-number of pages. Strings and paths that are in fewer than RARE of a host's pages seen so far are forgotten once there are many,
-which bounds a wrapper; a count falls short by that share at most. Everything is linear in a page, without recursion.
+number of pages. Strings and paths that are in fewer than RARE of a host's pages seen so far (paths also: in one of several) are
+forgotten once there are many, which bounds a wrapper; a string's count falls short by that share at most. Everything is linear in a page, without recursion.
 
 Defined cases: null html gives an empty text, a null or odd url the host ''; a page without the article's node of its host is
 read by a wrapper of its own; equal pages of a host get equal texts; ties go to the node that comes first; rows may repeat;
@@ -293,8 +293,8 @@ class Wrapper:
             self.below[node] = [*behind.get(None, ()), *(x for c in mine for x in (c, *behind.get(c, ())))]
 
     def _without_rare_paths(self) -> Wrapper:
-        """The wrapper less paths that few pages have, whose text counts as their parent's."""
-        least = RARE * self.pages
+        """The wrapper less paths that few pages have, or one of several only, whose text counts as their parent's."""
+        least = max(RARE * self.pages, 2 if self.pages > 1 else 1)
         out, to = Wrapper(), [0] * len(self.key)
         out.pages = self.pages
         for i, key in enumerate(self.key):

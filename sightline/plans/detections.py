@@ -528,10 +528,14 @@ def track_dedupe(spark, d):
   {_matching_sql('pr')}
   select mt.k.v as video_id, mt.k.f as frame, mt.gt as gt_det_id, mt.dt as dt_det_id, 1 - iou as cost from mt join pr on pr.k = mt.k and pr.gt = mt.gt and pr.dt = mt.dt where 1 - iou <= 0.9""")
 def assignment(spark, d):
-    """Matches of least cost; of equally near truths the first by id is taken."""
+    """Matches of least cost; of equally near truths the first by id is taken, as of equally near predictions that only one truth meets.
+
+    The SQL leaves the choice between such predictions to the order in which its threads end.
+    """
     t = pairs.pair_table(view(spark, d, "v_gt"), view(spark, d, "v_pred"), ["video_id", "frame"], ("det_id", "det_id"))
     rank = F.dense_rank().over(Window.partitionBy("video_id", "frame").orderBy("gt_det_id"))
-    t = t.withColumn("cost", 1 - F.col("iou") * (1 - 1e-9 * rank)).filter("iou > 0")
-    # a pair without overlap costs 1, as one that isn't listed does here
-    matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", missing=1.0, keep=("iou",))
+    # the weight itself and not 1 less it, which rounds its last bits away
+    t = t.withColumn("cost", -F.col("iou") * (1 - 1e-9 * rank)).filter("iou > 0")
+    # a pair without overlap costs 0, as one that isn't listed does here
+    matched = assign.assign(t, ["video_id", "frame"], "gt_det_id", "dt_det_id", "cost", missing=0.0, keep=("iou",))
     return matched.withColumn("cost", 1 - F.col("iou")).filter("cost <= 0.9").drop("iou")

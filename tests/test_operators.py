@@ -1,5 +1,6 @@
 """Hand-computed cases and brute-force versions of the operators that have no SQL form."""
 
+import datetime
 import itertools
 import random
 
@@ -14,6 +15,8 @@ from sightline.functions import rle
 from sightline.functions import text as tx
 from sightline.operators import assign, cluster, intervals, metrics, pairs, prune, sequences, speakers, suppress
 from sightline.operators.components import components
+from sightline.plans import catalog
+from tests.oracle import connect, rows_of, rows_of_sql
 
 
 def boxes(spark, rows):
@@ -303,3 +306,38 @@ def test_groups_without_conflict_take_all_pairs(spark):
     assert got(missing=0.0) == [(1, "a", "x"), (2, "a", "x"), (2, "b", "y")]
     assert got() == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y"), (3, "a", "x")]
     assert got(most=0.25) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y")]
+
+
+def test_equal_costs_go_by_id_whatever_the_batch_holds(spark):
+    """Ids of other groups of a batch don't decide which of two equal pairs is taken."""
+    tied = [(k, "a", r, -0.5) for k in range(8, 16) for r in ("x", "y")]
+    for before in ([], [(k, "a", "y", -0.5) for k in range(8)]):
+        df = spark.createDataFrame(before + tied, "k int, l string, r string, cost double").coalesce(1)
+        assert {r["r"] for r in assign.assign(df, ["k"], "l", "r", "cost", missing=0.0).collect() if r["k"] >= 8} == {"x"}
+
+
+def assignment_and_sql(spark, folder, rows):
+    """The rows of `assignment`, found equal to its SQL's, over boxes (orderkey, quantity, flag) of one frame."""
+    at = datetime.datetime(1995, 3, 1)
+    spark.createDataFrame(
+        [(k, 5, 3, 1, q, 50000.0, 0.0, 0.0, flag, at) for k, q, flag in rows],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp",
+    ).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    df = catalog.queries()["assignment"](spark, str(folder))
+    got = rows_of(df)
+    assert got == rows_of_sql(connect(str(folder)), catalog.oracle_sql()["assignment"], df.columns)
+    return got
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_assignment_tells_overlaps_apart_that_differ_in_the_last_bits(spark, tmp_path, swap):
+    """The nearer prediction is taken, as in the SQL, also where 1 - iou is the same number for both."""
+    near, far = ("2", "1") if swap else ("1", "2")
+    got = assignment_and_sql(spark, tmp_path, [(0, 0.0, "N"), (int(near), 2.5001, "R"), (int(far), 2.5001000000000007, "R")])
+    assert [r[1] for r in got] == [f"{near}-1-5-3"]
+
+
+def test_assignment_of_repeated_ids(spark, tmp_path):
+    """As in the SQL, two ids are as near as their nearest rows, and all their rows come out if they are matched."""
+    got = assignment_and_sql(spark, tmp_path, [(0, 0.0, "N"), (0, 0.0, "N"), (1, 0.5, "R"), (1, 2.0, "R"), (2, 1.0, "R"), (2, 1.0, "R")])
+    assert [r[1] for r in got] == ["1-1-5-3"] * 4 and len({r[0] for r in got}) == 2
